@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing
+from . import mixing, simhash, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
+    "op1_warc": warc.op1_warc,
+    "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
