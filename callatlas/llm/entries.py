@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, simhash, warc
+from . import counts, covertree, mixing, pieces, quality, simhash, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op1_warc": warc.op1_warc,
+    "op3_covertree": covertree.op3_covertree,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_token_counts": counts.op6_token_counts,
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op3_covertree": covertree.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
