@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import counts, covertree, mixing, pieces, quality, simhash, warc
+from . import counts, covertree, lines, mixing, pieces, quality, simhash, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": counts.op6_token_counts,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }

@@ -81,30 +81,81 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.select("w.lid", F.element_at("parts", F.col("w.pos") + 1).alias("line"))
 
 
+#: Characters are counted in eight classes; those in none are the eighth.
+CLASSES = ("aàáâäA", "eéèêëE", "iouíóöüIOU", "nñmNM", "tdTD", "sçczS", "rlRL")
+
+
+def class_counts(line: Column, length: Column) -> Column:
+    """Counts of the classes' characters, at most 255 each, in the bytes of a long. An edit changes them by two in sum."""
+    left = [length - F.length(F.translate(line, c, "")) for c in CLASSES]
+    left.append(length - sum(left, F.lit(0)))
+    packed = F.lit(0).cast("long")
+    for k, n in enumerate(left):
+        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
+    return packed
+
+
+def class_difference(a: Column, b: Column) -> Column:
+    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(255)
+    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, 8)), F.abs(byte(a, 0) - byte(b, 0)))
+
+
 def candidates(docs: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFrame:
     """(left, right) of the lines that meet under a key, left indexed and right asking.
 
     first: doc_key, pos, lid of the first occurrence of each distinct line. Each line is indexed under its segments and
-    asks for substrings of its own. The keys are joined by sort-merge, which splits a key
-    with very many lines.
+    asks for substrings of its own; lines whose class counts differ by more than the edits allow do not meet. The keys
+    are joined by sort-merge, which splits a key with very many lines.
     """
-    lines = _texts(docs, first)
-    own = lines.select("lid", "line", F.length("line").alias("size"))
-    index = own.select(F.col("lid").alias("left"), F.explode(index_keys(F.col("line"), F.col("size"), edits)).alias("key"))
-    probe = own.select(F.col("lid").alias("right"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("key"))
-    return index.join(probe, "key").where("left <> right").select("left", "right").distinct()
+    line = F.col("line")
+    own = _texts(docs, first).select("lid", "line", F.length("line").alias("size")).withColumn("counts", class_counts(line, F.col("size")))
+    index = own.select(F.explode(index_keys(line, F.col("size"), edits)).alias("key"), F.col("lid").alias("left"), F.col("counts").alias("n"))
+    probe = own.select(F.explode(probe_keys(line, F.col("size"), edits)).alias("key2"), F.col("lid").alias("right"), F.col("counts").alias("m"))
+    near = (F.col("key") == F.col("key2")) & (F.col("left") != F.col("right")) & (class_difference(F.col("n"), F.col("m")) <= 2 * edits)
+    return index.join(probe, near).select("left", "right").distinct()
+
+
+def _same_start(a: str, b: str, most: str) -> Column:
+    """Length of the common prefix of two columns, by bisection with whole-string comparisons."""
+    return F.expr(f"aggregate(transform(sequence(20, 0, -1), k -> cast(shiftleft(1, k) as int)), 0, (n, p) -> if(n + p <= {most} and left({a}, n + p) = left({b}, n + p), n + p, n))")
+
+
+def _ends_fit(edits: int) -> Column:
+    """Whether x and y, which differ in their first and last characters, can be within two edits: one edit at each end."""
+    if edits > 2:
+        return F.lit(True)
+    ways = []
+    for a, b in ((1, 1), (1, 0), (0, 1)):
+        for c, d in ((1, 1), (1, 0), (0, 1)):
+            cut_x, cut_y = (f"substring({z}, {1 + u}, greatest(length({z}) - {u + v}, 0))" for z, u, v in (("x", a, c), ("y", b, d)))
+            ways.append(f"{cut_x} = {cut_y}")
+    return F.expr("length(x) <= 2 and length(y) <= 2 or " + " or ".join(ways))
 
 
 def verified(docs: DataFrame, first: DataFrame, met: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(left, right) of the pairs met whose lines are within the edits."""
+    """(left, right) of the pairs met whose lines are within the edits.
+
+    What both lines begin and end with is cut off, and the rest goes through the banded bit-parallel distance.
+    """
     asked = met.select(F.col("left").alias("lid")).union(met.select("right")).distinct()
     texts = _texts(docs, first.join(asked, "lid", "left_semi"))
     a = texts.select(F.col("lid").alias("left"), F.col("line").alias("a"))
     b = texts.select(F.col("lid").alias("right"), F.col("line").alias("b"))
     pairs = met.join(a, "left").join(b, "right").where("a <> b").where(F.abs(F.length("a") - F.length("b")) <= edits)
     longer = F.length("a") >= F.length("b")
-    chars = pairs.select("left", "right", F.split(F.when(longer, F.col("a")).otherwise(F.col("b")), "").alias("x"), F.split(F.when(longer, F.col("b")).otherwise(F.col("a")), "").alias("y"))
-    return chars.where(distance("x", "y", edits) <= edits).select("left", "right")
+    p = pairs.select("left", "right", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
+    for _ in range(2):  # from the start, then reversed from the end; twice reversed, the text reads forward again
+        p = _once(p, "left", "right", "x", "y", _same_start("x", "y", "length(y)").alias("same"))
+        p = _once(p, "left", "right", *[F.expr(f"reverse(substring({c}, same + 1))").alias(c) for c in ("x", "y")])
+    p = p.where(F.expr(f"length(y) = 0 and length(x) <= {edits}") | (F.expr("length(y) > 0") & _ends_fit(edits)))
+    p = _once(p, "left", "right", F.split("x", "").alias("x"), F.expr("if(y = '', cast(array() as array<string>), split(y, ''))").alias("y"))
+    p = _once(p, "left", "right", F.when(F.size("y") == 0, F.size("x")).otherwise(distance("x", "y", edits)).alias("d"))
+    return p.where(F.col("d") <= edits).select("left", "right")
+
+
+def _once(df: DataFrame, *columns) -> DataFrame:
+    """df.select(columns), computed once a row: later filters are not merged into it."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("c")).select("c.*")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
