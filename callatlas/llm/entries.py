@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import counts, covertree, lines, mixing, pieces, quality, simhash, warc
+from . import counts, covertree, lines, mixing, pieces, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op1_warc": warc.op1_warc,
     "op3_covertree": covertree.op3_covertree,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": counts.op6_token_counts,
     "op9_line_dedup": lines.op9_line_dedup,
