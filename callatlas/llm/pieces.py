@@ -15,8 +15,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
-#: Stretches whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Longest stretch that is decoded in a lane beside others; longer ones stream on their own.
+LANE = 64
 
 
 class Codec:
@@ -43,7 +43,116 @@ class Codec:
             self.reach[p[0]] = max(self.reach.get(p[0], 0), len(p))
         # no piece holds these two characters in a row, so every path has a boundary between them
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memo: dict[str, list[int]] = {}
+        self._plant()
+        self.names = pa.array([self.text[i].replace(SPACE, " ") if self.plain[i] else "" for i in range(n)], pa.string())
+        # a line feed that no piece holds stands alone on every path
+        self.alone = not any("\n" in p for p in self.ids)
+
+    def _plant(self) -> None:
+        """The trie of the pieces as an open hash table from (node, character) to node, and the piece that ends at a node."""
+        nodes: dict[tuple[int, int], int] = {}
+        ends = {0: -1}
+        for p, i in self.ids.items():
+            at = 0
+            for c in p:
+                at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
+                ends.setdefault(at, -1)
+            ends[at] = i
+        self.ends = np.array([ends[k] for k in range(len(ends))], np.int64)
+        keys = np.array([a << 21 | c for a, c in nodes], np.int64)
+        size = 1 << (len(keys) * 4).bit_length()
+        self.mask, self.keys, self.next = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        todo, slot, value = keys, self._slot(keys), np.fromiter(nodes.values(), np.int64, len(nodes))
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.next[slot[put]] = todo[put], value[put]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, slot, value = todo[rest], (slot[rest] + 1) & self.mask, value[rest]
+        scores = np.full(len(self.text), self.unknown)
+        for i, x in self.score.items():
+            scores[i] = x
+        self.scores = scores
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The trie node after char, or -1."""
+        keys = node << 21 | char
+        slot, out = self._slot(keys), np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            found = self.keys[slot]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.next[slot[hit]]
+            more = ~hit & (found >= 0)
+            todo, slot = todo[more], (slot[more] + 1) & self.mask
+        return out
+
+    def lanes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, odd) of many short stretches, decoded side by side, one position of all lanes at a time.
+
+        All paths of a stretch meet at its two ends, so its ids are committed as a whole, and only the boundaries of the
+        stretches at hand are retained. Stretches with a character that no piece holds are odd and get no ids here.
+        """
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.int32).astype(np.int64)
+        start = np.cumsum(size) - size
+        n = len(chars)
+        rel = np.arange(n) - np.repeat(start, size)
+        left = np.repeat(size, size) - rel
+        pos, node = np.arange(n), np.zeros(n, np.int64)
+        begins, lengths, found = [], [], []
+        for k in range(1, self.longest + 1):
+            node = self._step(node, chars[pos + k - 1])
+            ok = node >= 0
+            pos, node = pos[ok], node[ok]
+            piece = self.ends[node]
+            whole = piece >= 0
+            begins.append(pos[whole])
+            lengths.append(np.full(int(whole.sum()), k))
+            found.append(piece[whole])
+            ok = left[pos] > k
+            pos, node = pos[ok], node[ok]
+            if not len(pos):
+                break
+        single = np.zeros(n, bool)
+        single[begins[0]] = True
+        lone = np.flatnonzero(~single)
+        begin, length, piece = (np.concatenate(x) for x in ([*begins, lone], [*lengths, np.ones(len(lone), np.int64)], [*found, np.full(len(lone), -1)]))
+        turn = rel[begin]
+        order = np.argsort(turn, kind="stable")
+        begin, length, piece, turn = begin[order], length[order], piece[order], turn[order]
+        worth = np.where(piece >= 0, self.scores[piece], self.unknown)
+        # boundary b of lane w has number start[w] + w + b
+        shift = np.repeat(np.arange(len(size)), size)
+        a = begin + shift[begin]
+        z = a + length
+        best, back, used, count = np.full(n + len(size), -np.inf), np.zeros(n + len(size), np.int64), np.full(n + len(size), -1, np.int64), np.zeros(n + len(size), np.int64)
+        best[start + np.arange(len(size))] = 0.0
+        edges = np.searchsorted(turn, np.arange(int(size.max()) + 1 if len(size) else 1))
+        for lo, hi in zip(edges, [*edges[1:], len(turn)], strict=True):
+            x, y = a[lo:hi], z[lo:hi]
+            s = best[x] + worth[lo:hi]
+            up = np.flatnonzero(s > best[y])
+            x, y = x[up], y[up]
+            best[y], back[y], used[y], count[y] = s[up], x, piece[lo:hi][up], count[x] + 1
+        end = start + size + np.arange(len(size))
+        sizes = count[end]
+        odd = np.zeros(len(size), bool)
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        to, lane = np.cumsum(sizes) - 1, np.arange(len(size))
+        first = start + lane
+        while len(lane):
+            live = end > first
+            end, to, lane, first = end[live], to[live], lane[live], first[live]
+            ids[to] = used[end]
+            odd[lane[used[end] < 0]] = True
+            end, to = back[end], to - 1
+        return ids, sizes, odd
 
     def viterbi(self, chars: str) -> list[int]:
         """Ids of the best-scoring path over chars, earlier starts winning ties.
@@ -111,6 +220,8 @@ class Codec:
         if self.inner:  # pieces may hold marks inside: no cut is safe
             return marked, np.arange(len(marked))
         cut = pc.replace_substring_regex(marked, f"([^{SPACE}]){SPACE}", "\\1\x00" + SPACE)
+        if self.alone:
+            cut = pc.replace_substring(cut, "\n", "\x00\n\x00")
         lists = pc.split_pattern(cut, "\x00")
         return pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -123,16 +234,20 @@ class Codec:
         nul = pc.match_substring(some, "\x00").to_numpy(zero_copy_only=False)
         parts, of = self.stretches(pc.if_else(pa.array(~nul), some, ""))
         enc = parts.dictionary_encode()
-        known, memo = [], self.memo
-        for s in enc.dictionary.to_pylist():
-            ids = memo.get(s)
-            if ids is None:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                ids = memo[s] = self.viterbi(s)
-            known.append(ids)
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for k in known for i in k), np.int32, int(size.sum()))
+        short = pc.less_equal(pc.utf8_length(enc.dictionary), LANE)
+        at = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        flat, size, odd = self.lanes(enc.dictionary.filter(short))
+        own = np.ones(len(enc.dictionary), bool)
+        own[at[~odd]] = False
+        if own.any():  # long or odd ones stream on their own
+            known: list = [None] * len(own)
+            cuts = np.cumsum(size) - size
+            for k, a, n in zip(at.tolist(), cuts.tolist(), size.tolist(), strict=True):
+                known[k] = flat[a : a + n]
+            for k in np.flatnonzero(own):
+                known[k] = np.array(self.viterbi(enc.dictionary[int(k)].as_py()), np.int32)
+            size = np.fromiter(map(len, known), np.int64, len(known))
+            flat = np.concatenate(known) if known else flat
         start = np.cumsum(size) - size
         which = enc.indices.to_numpy(zero_copy_only=False)
         each = size[which]
@@ -147,6 +262,33 @@ class Codec:
         offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32), mask=np.concatenate((null, [False])))
         return pa.ListArray.from_arrays(offsets, pa.array(ids))
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """decode() of every list: pieces are taken and joined by row; rows with byte pieces go one by one."""
+        flat = lists.flatten()
+        ids = flat.to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        other = np.concatenate(([0], np.cumsum(~self.plain[ids])))
+        odd = np.flatnonzero(other[edges[1:]] > other[edges[:-1]])
+        taken = self.names.take(flat)  # its bytes are all texts in a row; only their edges are wanted
+        taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1][edges] if len(taken) else np.zeros(len(edges), np.int32)
+        raw = np.frombuffer(taken.buffers()[2], np.uint8) if len(taken) else np.zeros(0, np.uint8)
+        raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        lead = offsets[:-1][offsets[1:] > offsets[:-1]]
+        lead = lead[raw[lead] == 32]
+        keep = np.ones(len(raw), bool)
+        keep[lead] = False
+        offsets = offsets - np.searchsorted(lead, offsets)
+        text = pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[keep]))
+        text = pc.if_else(pc.is_valid(lists), text, pa.scalar(None, pa.string()))
+        if not len(odd):
+            return text
+        out = np.array(text.to_numpy(zero_copy_only=False), object)
+        for k in odd:
+            out[k] = self.decode(ids[edges[k] : edges[k + 1]].tolist())
+        return pa.array(out, pa.string())
+
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of ids: pieces joined, byte pieces as UTF-8, marks as spaces, without the leading mark."""
         if ids is None:
@@ -182,7 +324,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", 8_000_000):
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], codec.encode(b.column("text").cast(pa.string()))], [*names, "ids"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
@@ -196,10 +338,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                texts = [codec.decode(x) for x in c.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            for at in range(0, b.num_rows, 1024):
+                c = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([*c.columns, codec.decode_all(c.column("ids"))], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, decoded string")

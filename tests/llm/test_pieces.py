@@ -101,6 +101,7 @@ def test_round_trip_and_nulls():
     texts = [*TEXTS, *random_texts(), "a\x00b c", None]
     got = codec.encode(pa.array(texts, pa.string())).to_pylist()
     assert [codec.decode(x) for x in got] == texts
+    assert codec.decode_all(pa.array(got, pa.list_(pa.int32()))).to_pylist() == texts
 
 
 def test_long_stretch_commits_with_bounded_window():
