@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import counts, covertree, lines, mixing, pieces, quality, simhash, toxicity, warc
+from . import counts, covertree, lines, mixing, pieces, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": counts.op6_token_counts,
+    "op7_pii": pii.op7_pii,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
