@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core
+
+QUERIES: dict = {**core.QUERIES}
+ORACLES: dict = {**core.ORACLES}
