@@ -81,16 +81,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.select("w.lid", F.element_at("parts", F.col("w.pos") + 1).alias("line"))
 
 
-#: Characters are counted in eight classes; those in none are the eighth.
-CLASSES = ("aàáâäA", "eéèêëE", "iouíóöüIOU", "nñmNM", "tdTD", "sçczS", "rlRL")
+#: Letters that are counted before lines meet, and others that are counted before they are compared.
+FIRST, THEN = "etnaiors", "dhlucmgb"
 
 
-def class_counts(line: Column, length: Column) -> Column:
-    """Counts of the classes' characters, at most 255 each, in the bytes of a long. An edit changes them by two in sum."""
-    left = [length - F.length(F.translate(line, c, "")) for c in CLASSES]
-    left.append(length - sum(left, F.lit(0)))
+def class_counts(line: Column, letters: str) -> Column:
+    """Counts of eight letters, at most 255 each, in the bytes of a long. An edit changes them by two in sum at most."""
     packed = F.lit(0).cast("long")
-    for k, n in enumerate(left):
+    for k, c in enumerate(letters):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
     return packed
 
@@ -108,7 +107,7 @@ def candidates(docs: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFra
     are joined by sort-merge, which splits a key with very many lines.
     """
     line = F.col("line")
-    own = _texts(docs, first).select("lid", "line", F.length("line").alias("size")).withColumn("counts", class_counts(line, F.col("size")))
+    own = _texts(docs, first).select("lid", "line", F.length("line").alias("size")).withColumn("counts", class_counts(line, FIRST))
     index = own.select(F.explode(index_keys(line, F.col("size"), edits)).alias("key"), F.col("lid").alias("left"), F.col("counts").alias("n"))
     probe = own.select(F.explode(probe_keys(line, F.col("size"), edits)).alias("key2"), F.col("lid").alias("right"), F.col("counts").alias("m"))
     near = (F.col("key") == F.col("key2")) & (F.col("left") != F.col("right")) & (class_difference(F.col("n"), F.col("m")) <= 2 * edits)
@@ -139,9 +138,11 @@ def verified(docs: DataFrame, first: DataFrame, met: DataFrame, edits: int = EDI
     """
     asked = met.select(F.col("left").alias("lid")).union(met.select("right")).distinct()
     texts = _texts(docs, first.join(asked, "lid", "left_semi"))
-    a = texts.select(F.col("lid").alias("left"), F.col("line").alias("a"))
-    b = texts.select(F.col("lid").alias("right"), F.col("line").alias("b"))
-    pairs = met.join(a, "left").join(b, "right").where("a <> b").where(F.abs(F.length("a") - F.length("b")) <= edits)
+    texts = texts.withColumn("counts", class_counts(F.col("line"), THEN))
+    a = texts.select(F.col("lid").alias("left"), F.col("line").alias("a"), F.col("counts").alias("n"))
+    b = texts.select(F.col("lid").alias("right"), F.col("line").alias("b"), F.col("counts").alias("m"))
+    near = (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= edits) & (class_difference(F.col("n"), F.col("m")) <= 2 * edits)
+    pairs = met.join(a, "left").join(b, "right").where(near)
     longer = F.length("a") >= F.length("b")
     p = pairs.select("left", "right", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
     for _ in range(2):  # from the start, then reversed from the end; twice reversed, the text reads forward again
