@@ -17,6 +17,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 #: Longest stretch that is decoded in a lane beside others; longer ones stream on their own.
 LANE = 64
+#: Lanes at a time.
+TOGETHER = 16_384
 
 
 class Codec:
@@ -236,7 +238,10 @@ class Codec:
         enc = parts.dictionary_encode()
         short = pc.less_equal(pc.utf8_length(enc.dictionary), LANE)
         at = np.flatnonzero(short.to_numpy(zero_copy_only=False))
-        flat, size, odd = self.lanes(enc.dictionary.filter(short))
+        some, done = enc.dictionary.filter(short), []
+        for k in range(0, max(len(some), 1), TOGETHER):
+            done.append(self.lanes(some.slice(k, TOGETHER)))
+        flat, size, odd = (np.concatenate(x) for x in zip(*done, strict=True))
         own = np.ones(len(enc.dictionary), bool)
         own[at[~odd]] = False
         if own.any():  # long or odd ones stream on their own
@@ -324,7 +329,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        for b in slices(batches, "text", 8_000_000):
+        for b in slices(batches, "text", 4_000_000):
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], codec.encode(b.column("text").cast(pa.string()))], [*names, "ids"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
@@ -346,9 +351,21 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, ids, same): the ids of each text, and whether decoding them gives the text back (marks count as spaces)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model)
+        for b in slices(batches, "text", 4_000_000):
+            text = b.column("text").cast(pa.string())
+            ids = codec.encode(text)
+            same = pc.equal(pc.fill_null(codec.decode_all(ids), "\x00"), pc.fill_null(pc.replace_substring(text, SPACE, " "), "\x00"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, same], ["doc_id", "ids", "same"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, same boolean")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: ids, their number and digest, and whether decoding gives the text back (marks count as spaces)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, keep=("doc_id", "text")))
-    same = F.col("decoded").eqNullSafe(F.translate("text", SPACE, " "))
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_digest"), same.alias("round_trip"))
+    """Per document the number and digest of its ids, and whether they decode to the text."""
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_digest"), F.col("same").alias("round_trip"))
