@@ -238,9 +238,9 @@ class Codec:
         enc = parts.dictionary_encode()
         short = pc.less_equal(pc.utf8_length(enc.dictionary), LANE)
         at = np.flatnonzero(short.to_numpy(zero_copy_only=False))
-        some, done = enc.dictionary.filter(short), []
-        for k in range(0, max(len(some), 1), TOGETHER):
-            done.append(self.lanes(some.slice(k, TOGETHER)))
+        lanes, done = enc.dictionary.filter(short), []
+        for k in range(0, max(len(lanes), 1), TOGETHER):
+            done.append(self.lanes(lanes.slice(k, TOGETHER)))
         flat, size, odd = (np.concatenate(x) for x in zip(*done, strict=True))
         own = np.ones(len(enc.dictionary), bool)
         own[at[~odd]] = False
