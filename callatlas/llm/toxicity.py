@@ -59,10 +59,24 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[order], np.searchsorted(r[order], np.arange(len(size) + 1))
 
 
+def all_grams(words: pa.Array, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of many words, step at a time, as 32-bit numbers."""
+    parts = [grams(words.slice(k, step)) for k in range(0, len(words), step)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts]) if parts else np.zeros(0, np.int64)
+    return np.concatenate([b.astype(np.int32) for b, _ in parts]) if parts else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def means(table_: np.ndarray, b: np.ndarray, at: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Mean of the input vectors of each word, step words at a time."""
+    out = np.zeros((len(at) - 1, table_.shape[1]), np.float32)
+    for k in range(0, len(out), step):
+        z = min(k + step, len(out))
+        out[k:z] = np.add.reduceat(table_[b[at[k] : at[z]]], at[k:z] - at[k], axis=0) / np.diff(at[k : z + 1])[:, None]
+    return out
+
+
 def embed(table_: np.ndarray, words: pa.Array) -> np.ndarray:
-    """Mean of the input vectors of each word."""
-    b, at = grams(words)
-    return np.add.reduceat(table_[b], at[:-1], axis=0) / np.diff(at)[:, None] if len(words) else np.zeros((0, table_.shape[1]), table_.dtype)
+    return means(table_, *all_grams(words))
 
 
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,11 +189,11 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256,
     words, rows = split_words(pa.array([t[:CHARS] for t in texts], pa.string()))
     enc = words.dictionary_encode()
     ids, vocabulary = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
-    b, at = grams(vocabulary)
+    b, at = all_grams(vocabulary)
     start, size, row = windows(rows)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    mean = lambda: np.add.reduceat(net.p["E"][b], at[:-1], axis=0) / np.diff(at)[:, None]
+    mean = lambda: means(net.p["E"], b, at)
     for turn in range(rounds):
         scores = window_scores(net, mean(), ids, start, size) if turn >= 2 else rng.random(len(start))
         bad = np.flatnonzero(toxic[row] == 1)
