@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, speech
 
-QUERIES: dict = {**core.QUERIES}
-ORACLES: dict = {**core.ORACLES}
+QUERIES: dict = {**core.QUERIES, **speech.QUERIES}
+ORACLES: dict = {**core.ORACLES, **speech.ORACLES}

@@ -120,3 +120,43 @@ WORDS_SQL = """words as (
   select call_id, seg_idx, word_idx, word, seg_idx * 100 + word_idx * 0.3e0 as start_s, seg_idx * 100 + word_idx * 0.3e0 + 0.3e0 as end_s, speaker
   from (select conv_id as call_id, turn as seg_idx, role as speaker, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as word_idx from conversations)
   where word <> '')"""
+
+
+SCRIPT = [
+    "Guten Tag, mein Name ist Anna Keller.",
+    "Ich kann nicht mehr drucken, es kommt die Meldung: Kein Drucker zugewiesen.",
+    "Das liegt daran, dass der Treiber fehlt.",
+    "Klicken Sie bitte auf „Einstellungen“ und dann auf „Drucker“.",
+    "Dann sehen Sie eine Liste mit allen Geräten.",
+    "Öffnen Sie jetzt bitte das Menü und drücken Sie Strg + P.",
+    "Meine Nummer ist 044 123 45 67 und die Kundennummer: K-4711.",
+    "Now please click on the Save button.",
+    "The export does not work, it says \"File is locked\".",
+    "That happens because another user has it open.",
+    "Please open the file menu and select Close.",
+    "Ähm, das das sieht gut aus , es funktioniert jetzt wieder.",
+    "Great, it works now.",
+    "Vielen Dank und auf Wiederhören.",
+    "You can write to help@example.com if it fails again.",
+    "also, wir warten noch",
+    "kurz auf den Server.",
+]
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript segments: each turn of a conversation says a line of the script; words lie evenly in ten seconds, every
+    fifth without times."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.element_at(F.array(*map(F.lit, SCRIPT)), ((F.col("conv_id") * 5 + F.col("turn") * 3) % len(SCRIPT) + 1).cast("int"))
+    t = t.select(F.col("conv_id").alias("call_id"), F.col("turn").cast("int").alias("seg_idx"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 9.5).alias("end"), line.alias("text"), F.concat(F.lit("SPEAKER_"), F.col("role")).alias("speaker"))
+    step = F.lit(9.5) / F.size(F.split("text", " "))
+    untimed = lambda i: (F.col("seg_idx") + i) % 5 == 0
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), F.when(~untimed(i), F.col("start") + step * i).alias("start"), F.when(~untimed(i), F.col("start") + step * (i + 1)).alias("end"), F.lit(0.9).alias("score"), F.lit(None).cast("string").alias("speaker")))
+    return t.withColumn("words", words)
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript documents (call_id, language, segments) of the scripted calls."""
+    s = segments(spark, sf_dir)
+    item = F.struct("seg_idx", F.struct("start", "end", "text", "speaker", "words").alias("s"))
+    return s.groupBy("call_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["s"]).alias("segments")).select("call_id", F.when(F.col("call_id") % 2 == 0, "de").otherwise("en").alias("language"), "segments")
