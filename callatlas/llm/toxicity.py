@@ -255,11 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from at most sample labelled documents that are not held out, chosen by hash: a third of them toxic
     at most, and first those that are read whole."""
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
-    rows = docs.where(~held_out() & F.col("text").isNotNull()).join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", F.substring("text", 1, CHARS).alias("text"), "label", F.length("text").alias("n"))
-    whole = F.when(F.col("n") <= CHARS, 0).otherwise(1)
-    first = lambda label, most: rows.where(F.col("label") == label).orderBy(whole, F.xxhash64("doc_id"), "text").limit(most).toPandas()
-    both = [first(1, sample // 3), first(0, sample - sample // 3)]
-    texts, toxic = [t for b in both for t in b["text"]], np.concatenate([b["label"].to_numpy(dtype=np.int64) for b in both])
+    # the sample is chosen over narrow rows; its ids, sample at most, then fetch their texts
+    rows = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", (F.length("text") > CHARS).alias("long")).join(marks, F.col("doc_id") == F.col("label_id"))
+    first = lambda label, most: rows.where(F.col("label") == label).orderBy("long", F.xxhash64("doc_id"), "doc_id").select(F.col("doc_id").alias("sample_id"), "label").limit(most)
+    ids = first(1, sample // 3).union(first(0, sample - sample // 3)).distinct()
+    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).select("doc_id", F.substring("text", 1, CHARS).alias("text"), "label")
+    got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
+    texts, toxic = got["text"].tolist(), got["label"].to_numpy(dtype=np.int64)
+    del got
     return fit(texts, toxic) if len(texts) else Network()
 
 
