@@ -11,6 +11,8 @@ from .common import cut, table
 EDITS, LEAST = 2, 10
 #: Bits of a column of the verification band.
 WIDTH = 30
+#: Lines whose places may be sent to all tasks: about 50 bytes each.
+FEW = 50_000
 
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -73,10 +75,11 @@ def doc_key() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit(""))))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lid, line) of the wanted (doc_key, pos, lid), gathered by document."""
+def _texts(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
+    """(lid, line) of the wanted (doc_key, pos, lid), gathered by document. few: the caller has counted them and found FEW at
+    most, so they go to the documents; else both are shuffled."""
     per = wanted.groupBy(F.col("doc_key").alias("wanted_key")).agg(F.collect_set(F.struct("pos", "lid")).alias("wanted"))
-    j = docs.join(per, docs["doc_key"] == per["wanted_key"])
+    j = docs.join(F.broadcast(per) if few else per, docs["doc_key"] == per["wanted_key"])
     parts = j.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     return parts.select("w.lid", F.element_at("parts", F.col("w.pos") + 1).alias("line"))
 
@@ -137,7 +140,7 @@ def verified(docs: DataFrame, first: DataFrame, met: DataFrame, edits: int = EDI
     What both lines begin and end with is cut off, and the rest goes through the banded bit-parallel distance.
     """
     asked = met.select(F.col("left").alias("lid")).union(met.select("right")).distinct()
-    texts = _texts(docs, first.join(asked, "lid", "left_semi"))
+    texts = _texts(docs, first.join(asked, "lid", "left_semi"), few=asked.count() <= FEW)
     texts = texts.withColumn("counts", class_counts(F.col("line"), THEN))
     a = texts.select(F.col("lid").alias("left"), F.col("line").alias("a"), F.col("counts").alias("n"))
     b = texts.select(F.col("lid").alias("right"), F.col("line").alias("b"), F.col("counts").alias("m"))
