@@ -146,18 +146,20 @@ def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0
     schema = "call_id long, time_s double, x1 int, y1 int, x2 int, y2 int, text string, text_confidence double, interactive_confidence double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_text", "seq"], ascending=[False, True])
-        held: list[list] = []
+        rows = rows.sort_values(["time_s", "is_text", "seq"], ascending=[True, False, True])
+        done, held, now = [], [], None
         for r in rows.itertuples(index=False):
+            if r.time_s != now:
+                done, held, now = done + held, [], r.time_s
             box = [r.x1, r.y1, r.x2, r.y2]
             best = max(held, key=lambda e: _overlap(e[2:6], box), default=None) if not r.is_text else None
             if best is not None and _overlap(best[2:6], box) >= least:
                 best[8] = max(best[8], r.interactive_confidence)
             else:
                 held.append([r.call_id, r.time_s, *box, r.text, r.text_confidence, r.interactive_confidence])
-        return pd.DataFrame(held, columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame(done + held, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return both.groupBy("call_id", "time_s").applyInPandas(run, schema)
+    return both.groupBy("call_id").applyInPandas(run, schema)
 
 
 def requests(events: DataFrame, calls: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, speech
+from . import core, media, speech
 
-QUERIES: dict = {**core.QUERIES, **speech.QUERIES}
-ORACLES: dict = {**core.ORACLES, **speech.ORACLES}
+QUERIES: dict = {**core.QUERIES, **speech.QUERIES, **media.QUERIES}
+ORACLES: dict = {**core.ORACLES, **speech.ORACLES, **media.ORACLES}
