@@ -140,25 +140,33 @@ def score(forest: dict, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / (len(forest["trees"]) * forest["scale"]))
 
 
-def calibrate(scored: DataFrame, most_lost: float = 0.002) -> float:
-    """The least anomaly at which a document goes: at most most_lost of all good labelled rows reach it. From a histogram of
-    all labelled rows over BINS bins; without good rows, nothing goes."""
-    bins = scored.groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
-    held = {r["bin"]: r["good"] for r in bins.collect()}  # BINS rows at most
-    good, lost, at = sum(held.values()), 0, BINS
-    if not good:
-        return 2.0
-    while at > 0 and lost + held.get(at - 1, 0) <= most_lost * good:
-        at -= 1
-        lost += held.get(at, 0)
-    return at / BINS
+#: Features that a forest is grown on: each by itself, and all together.
+VIEWS = ((0,), (1,), (2,), (3,), (0, 1, 2, 3))
+
+
+def calibrate(scored: DataFrame, most_lost: float = 0.001) -> list[float]:
+    """For each forest the least anomaly at which a document goes: at most most_lost of all good labelled rows reach it. From a
+    histogram of all labelled rows over BINS bins; without good rows, nothing goes."""
+    each = scored.select("quality", F.posexplode("anomalies").alias("k", "a"))
+    bins = each.groupBy("k", F.least(F.floor(F.col("a") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
+    held: list[dict] = [{} for _ in VIEWS]
+    for r in bins.collect():  # BINS rows a forest at most
+        held[r["k"]][r["bin"]] = r["good"]
+    cuts = []
+    for h in held:
+        good, lost, at = sum(h.values()), 0, BINS
+        while good and at > 0 and lost + h.get(at - 1, 0) <= most_lost * good:
+            at -= 1
+            lost += h.get(at, 0)
+        cuts.append(at / BINS if good else 2.0)
+    return cuts
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, the other statistics, base_failed, anomaly and kept of every document.
+    """doc_id, n_words, the other statistics, base_failed, anomalies (one a forest) and kept of every document.
 
-    base_failed: under 10 words, or over 20 % of the words in repeated 5-word windows. kept: not base_failed and an anomaly
-    below the threshold. Base-failed rows take no part in forest and threshold. Null and empty texts have no words and
+    base_failed: under 10 words, or over 20 % of the words in repeated 5-word windows. kept: not base_failed and all anomalies
+    below their thresholds. Base-failed rows take no part in forest and threshold. Null and empty texts have no words and
     fail. Labels of null doc_id or quality count for nothing; several labels of one document count each. Repeated rows
     are judged alike. No rows: none.
     """
@@ -166,19 +174,22 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     s = s.withColumn("base_failed", failed)
     part = s.where("not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(SAMPLE).select(*STATS).toPandas()
-    forest = grow(features(part)) if len(part) else None
+    sample = features(part)
+    forests = [grow(sample[:, v], seed=k) for k, v in enumerate(VIEWS)] if len(part) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features({k: b.column(k).to_numpy() for k in STATS})
-            a = score(forest, x) if forest else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a)], [*b.schema.names, "anomaly"])
+            a = np.stack([score(f, x[:, v]) for f, v in zip(forests, VIEWS, strict=True)], axis=1) if forests else np.zeros((len(x), len(VIEWS)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(VIEWS)), pa.array(a.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "anomalies"])
 
-    scored = s.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, anomaly double")
+    scored = s.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, anomalies array<double>")
     marks = labels.where("quality is not null").select(F.col("doc_id").alias("label_id"), "quality")
-    least = calibrate(scored.where("not base_failed").join(marks, F.col("doc_id") == F.col("label_id")))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < least))
+    cuts = calibrate(scored.where("not base_failed").join(marks, F.col("doc_id") == F.col("label_id")))
+    usual = F.forall(F.arrays_zip("anomalies", F.array(*map(F.lit, cuts)).alias("cuts")), lambda z: z["anomalies"] < z["cuts"])
+    return scored.withColumn("kept", ~F.col("base_failed") & usual)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", F.round("anomaly", 9).alias("anomaly"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", F.round(F.element_at("anomalies", -1), 9).alias("anomaly"))
