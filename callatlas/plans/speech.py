@@ -12,6 +12,7 @@ from ..operators import fusion, targets
 from ..operators import transcripts as S
 from ..sources import fixtures as X
 from . import core
+from .held import held
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -139,8 +140,8 @@ def cloud_answers(spark, d):
 
 def draft(spark, d):
     s = segs(spark, d)
-    refs = S.instructions(s)
-    return A.draft(S.sentences(S.words_of(s)), refs, X.transcripts(spark, d).select("call_id", "language")), refs
+    refs = held(S.instructions(s))
+    return A.draft(held(S.sentences(S.words_of(s))), refs, X.transcripts(spark, d).select("call_id", "language")), refs
 
 
 @query()
@@ -172,7 +173,7 @@ def article_pages(spark, d):
 
 def graph(spark, d):
     e = targets.targets_at_points(core.events(spark, d), X.derived(spark, d, "elements"))
-    b = core.bound(spark, d)
+    b = held(core.bound(spark, d))
     return fusion.grounded_events(e, b, core.references(spark, d), X.derived(spark, d, "elements")), fusion.unbound(core.references(spark, d), b)
 
 
@@ -220,13 +221,13 @@ def screenshot_times(spark, d):
 
 def answers(spark, d):
     """Model answers made of the drafts: every second step, sentence numbers as strings, some answers not JSON."""
-    (a, s), refs = draft(spark, d)
-    sents = S.sentences(S.words_of(segs(spark, d)))
+    (a, s), _ = draft(spark, d)
+    a, s, sents = held(a), held(s), held(S.sentences(S.words_of(segs(spark, d))))
     steps = s.join(sents.select("call_id", F.col("start_s").alias("time_s"), "sent_no"), ["call_id", "time_s"], "left").where("number % 2 = 1")
     g = steps.groupBy("call_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "title", "instruction", "sent_no"))), lambda x: F.struct(x["title"].alias("title"), x["instruction"].alias("instruction"), F.lit("none").alias("details"), F.array(F.concat(F.lit("["), x["sent_no"].cast("string"), F.lit("]"))).alias("sentences"))).alias("steps"))
     j = a.join(g, "call_id", "left")
     raw = F.when(F.col("call_id") % 5 == 4, F.lit("no answer")).otherwise(F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.lit("A title").alias("title"), F.lit("n/a").alias("cause"), "steps", F.lit("true").alias("resolved"), F.array(F.lit("print"), F.lit("none")).alias("keywords")))))
-    return j.select("call_id", raw.alias("raw")), sents, a, s
+    return held(j.select("call_id", raw.alias("raw"))), sents, a, s
 
 
 @query()
@@ -241,7 +242,7 @@ def written_articles(spark, d):
 def restored_steps(spark, d):
     """J3, E9, F6, C11, C12"""
     raw, sents, _, s = answers(spark, d)
-    w, ws = A.parsed_answers(raw, sents)
+    w, ws = map(held, A.parsed_answers(raw, sents))
     missing = A.missing_steps(s.withColumn("point", F.array(F.lit(1), F.lit(2))), ws, w)
     return A.restored(ws, missing).select("call_id", "number", "instruction", "actor", "was_restored", F.round("time_s", 6).alias("time_s"))
 
