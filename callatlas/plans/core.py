@@ -195,7 +195,8 @@ def fine_over_coarse(spark, d):
 def analysis_windows(spark, d):
     """E5"""
     s = X.derived(spark, d, "instructions").select("call_id", (F.col("anchor_s") - 1.5).alias("from_s"), (F.col("anchor_s") + 2.5).alias("to_s"))
-    return clicks.merged_windows(s, 120.0).select("call_id", F.round("from_s", 6).alias("from_s"), F.round("to_s", 6).alias("to_s"))
+    s = s.join(X.durations(spark, d), "call_id")
+    return clicks.merged_windows(s, F.col("duration_s")).select("call_id", F.round("from_s", 6).alias("from_s"), F.round("to_s", 6).alias("to_s"))
 
 
 @query(X.derived_sql("elements") + """, p as (select a.call_id, a.element_seq as left_seq, b.element_seq as right_seq, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))::bigint * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as inter,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import frames as P
@@ -28,24 +29,25 @@ def query(oracle: str | None = None):
 
 
 def frames(spark, d):
-    """A10: gray frames drawn from the clicks: a frame each quarter second up to twelve seconds; a light cursor wanders, and the
+    """A10: gray frames drawn from the clicks: a frame each quarter second of the whole call; a light cursor wanders, and the
     screen half below changes at each click."""
-    e = X.derived(spark, d, "clicks").where("time_s < 12")
-    g = e.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("time_s", "vis_seq"))).alias("e"))
+    at = F.expr(f"explode(sequence(0, cast(floor(duration_s * {FPS}) as int)))")
+    k = X.durations(spark, d).select("call_id", at.alias("k"))
+    new = X.derived(spark, d, "clicks").groupBy("call_id", F.ceil(F.col("time_s") * FPS).cast("int").alias("k")).agg(F.count("*").alias("new"))
+    so_far = F.sum(F.coalesce("new", F.lit(0))).over(W.partitionBy("call_id").orderBy("k"))
+    g = k.join(new, ["call_id", "k"], "left").select("call_id", "k", so_far.alias("n"))
 
     def draw(batches):
         for b in batches:
-            out = []
-            for call, clicks in zip(b.call_id, b.e, strict=True):
-                for k in range(12 * FPS):
-                    t = k / FPS
-                    n = sum(c["time_s"] <= t for c in clicks)
+            for at in range(0, len(b), 1000):
+                out = []
+                for call, k, n in zip(*(b[c].iloc[at : at + 1000].tolist() for c in ("call_id", "k", "n")), strict=True):
                     a = np.full((HEIGHT, WIDTH), 40, np.uint8)
                     a[24:40, 8:40] = 60 + 50 * (n % 4)
                     x, y = int(5 + (call * 7 + k // 6 * 3) % 50), int(2 + (call + k // 6) % 15)
                     a[y : y + 4, x : x + 3] = 230
-                    out.append((call, k, t, WIDTH, HEIGHT, a.tobytes()))
-            yield pd.DataFrame(out, columns=["call_id", "frame_idx", "pts_s", "width", "height", "pixels"])
+                    out.append((call, k, k / FPS, WIDTH, HEIGHT, a.tobytes()))
+                yield pd.DataFrame(out, columns=["call_id", "frame_idx", "pts_s", "width", "height", "pixels"])
 
     return g.mapInPandas(draw, "call_id long, frame_idx int, pts_s double, width int, height int, pixels binary")
 
@@ -72,14 +74,14 @@ def cursor_by_template(spark, d):
 @query()
 def key_frames(spark, d):
     """H4, H5, F3"""
-    return P.key_frames(P.thumbnails(frames(spark, d), 32), X.derived(spark, d, "clicks").where("time_s < 12"))
+    return P.key_frames(P.thumbnails(frames(spark, d), 32), X.derived(spark, d, "clicks"))
 
 
 @query()
 def settled_screenshots(spark, d):
     """F4"""
     n = F.expr("row_number() over (partition by call_id order by time_s, vis_seq)")
-    s = X.derived(spark, d, "clicks").where("time_s < 12").select("call_id", n.alias("number"), "time_s", (F.col("time_s") + 2).alias("end_s"), (F.col("time_s") + 0.5).alias("screenshot_s"), (F.col("vis_seq") % 3 == 0).alias("has_click"))
+    s = X.derived(spark, d, "clicks").select("call_id", n.alias("number"), "time_s", (F.col("time_s") + 2).alias("end_s"), (F.col("time_s") + 0.5).alias("screenshot_s"), (F.col("vis_seq") % 3 == 0).alias("has_click"))
     return P.settled_screenshots(s, P.thumbnails(frames(spark, d), 32))
 
 

@@ -93,6 +93,12 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return events.where(FILTERS[name]).selectExpr(*[f"{e} as {c}" for c, e in _columns(False)[name].items()])
 
 
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(call_id, duration_s): a call lasts until a second after its last event."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as call_id", f"{_columns(False)['clicks']['time_s']} as time_s")
+    return t.groupBy("call_id").agg((F.max("time_s") + 1).alias("duration_s"))
+
+
 def derived_sql(*names: str) -> str:
     """The leading WITH of an oracle: the named tables."""
     return "with " + ",\n".join(f"{n} as (select " + ", ".join(f"{e} as {c}" for c, e in _columns(True)[n].items()) + f" from events where {FILTERS[n]})" for n in names)
