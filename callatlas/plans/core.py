@@ -204,10 +204,18 @@ def analysis_windows(spark, d):
   from elements a join elements b on a.call_id = b.call_id and a.element_seq < b.element_seq and (b.element_seq - a.element_seq) < 2000)
   select call_id, left_seq, right_seq, round(inter / (aa + ab - inter)::double, 6) as iou, round(coalesce(case when isfinite(t) then t end, 0), 6) as time_iou from p""")
 def box_overlaps(spark, d):
-    """Overlap in space and time of elements of one call with near numbers"""
+    """Overlap in space and time of all elements of one call that share area and are seen at one time.
+
+    Boxes meet in the grid cells and time buckets that they touch; a pair is told only in the one with the corner where
+    its overlap begins.
+    """
     b = lambda p: F.struct(*[F.col(f"{p}.{n}").alias(n) for n in ("x1", "y1", "x2", "y2")])
     e = X.derived(spark, d, "elements")
-    p = e.alias("a").join(e.alias("b"), F.expr("a.call_id = b.call_id and a.element_seq < b.element_seq and b.element_seq - a.element_seq < 2000"))
+    for name, low, high, wide in (("cx", "x1", "x2", 128), ("cy", "y1", "y2", 128), ("ct", "first_seen_s", "last_seen_s", 10)):
+        e = e.withColumn(name, F.explode(F.expr(f"sequence(cast(floor({low} / {wide}) as int), cast(floor({high} / {wide}) as int))")))
+    begins = " and ".join(f"a.{c} = cast(floor(greatest(a.{low}, b.{low}) / {wide}) as int)" for c, low, wide in (("cx", "x1", 128), ("cy", "y1", 128), ("ct", "first_seen_s", 10)))
+    overlap = "a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2 and a.first_seen_s <= b.last_seen_s and b.first_seen_s <= a.last_seen_s"
+    p = e.alias("a").join(e.alias("b"), F.expr(f"a.call_id = b.call_id and a.cx = b.cx and a.cy = b.cy and a.ct = b.ct and a.element_seq < b.element_seq and {overlap} and {begins}"))
     return p.select("a.call_id", F.col("a.element_seq").alias("left_seq"), F.col("b.element_seq").alias("right_seq"), F.round(G.iou(b("a"), b("b")), 6).alias("iou"), F.round(G.interval_iou(F.col("a.first_seen_s"), F.col("a.last_seen_s"), F.col("b.first_seen_s"), F.col("b.last_seen_s")), 6).alias("time_iou"))
 
 
