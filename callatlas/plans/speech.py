@@ -201,7 +201,7 @@ def observed_actions(spark, d):
     g, _ = graph(spark, d)
     p = F.col("spatial.point_xy_px")
     e = g.select("call_id", "vis_seq", F.col("temporal.peak_s").alias("peak_s"), F.when(p.isNotNull(), F.struct(p[0].alias("x"), p[1].alias("y"))).alias("point"), "grounding_status", "overall_confidence", F.col("target.text").alias("target_text"), F.transform("audio_references", lambda r: r["transcript"]).alias("said"))
-    return A.observed_actions(e, F.when(F.col("call_id") % 2 == 0, "de").otherwise("en"), 10)
+    return A.observed_actions(e, F.when(F.col("call_id") % 2 == 0, "de").otherwise("en"))
 
 
 @query()

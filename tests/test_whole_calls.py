@@ -40,3 +40,9 @@ def test_boxes_overlap_whatever_their_ids(spark, folder):
     want = [(i, j) for i, a in e.items() for j, b in e.items() if i < j and a["call_id"] == b["call_id"] and cross(a, b, "x1", "x2") > 0 and cross(a, b, "y1", "y2") > 0 and cross(a, b, "first_seen_s", "last_seen_s") >= 0]
     got = [(r["left_seq"], r["right_seq"]) for r in entry.queries()["box_overlaps"](spark, d).collect()]
     assert sorted(got) == sorted(want) and (8, 100708) in got and len(got) > 20
+
+
+def test_forty_actions_of_a_call_are_told(spark, folder):
+    ids = [i for i in range(1, 200) if i % 7 and i % 5 in (0, 1, 3, 4)][:45]
+    d = folder([(i, 1, "click", 2.0 * k) for k, i in enumerate(ids)])
+    assert entry.queries()["observed_actions"](spark, d).count() == 40
