@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Edits allowed between two lines, and the least length of a line that takes part: similarity is 0.8 or more.
+#: Edits allowed between two lines, and the least length of a line that is compared by edits: similarity is 0.8 or more.
 EDITS, LEAST = 2, 10
 #: Bits of a column of the verification band.
 WIDTH = 30
@@ -64,10 +64,12 @@ def distance(a: str, b: str, edits: int) -> Column:
     return F.expr(f"aggregate(sequence(0, size({b}) - 1), named_struct('p', {start}L, 'n', 0L, 's', {edits}), (acc, i) -> {body}, acc -> acc.s)")
 
 
-def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_key, doc_id, pos, line_key, size) of every line of least characters or more; keys are 128-bit digests."""
+def occurrences(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(doc_key, doc_id, pos, line_key, size) of every line of least characters or more, and with short of every shorter one
+    that isn't blank; keys are 128-bit digests."""
     d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.where(F.length("line") >= least).select("doc_key", "doc_id", "pos", F.unhex(F.md5("line")).alias("line_key"), F.length("line").alias("size"), F.xxhash64("line").alias("lid"))
+    takes = (F.length("line") >= least) | (F.lit(short) & F.col("line").rlike("\\S"))
+    return d.where(takes).select("doc_key", "doc_id", "pos", F.unhex(F.md5("line")).alias("line_key"), F.length("line").alias("size"), F.xxhash64("line").alias("lid"))
 
 
 def doc_key() -> Column:
@@ -162,13 +164,13 @@ def _once(df: DataFrame, *columns) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*columns))).alias("c")).select("c.*")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(doc_key, pos) of the lines to drop: those with an earlier line, by (doc_id, doc_key, pos), that is equal or within
-    the edits. A line's own fate doesn't change what it does to later ones."""
-    occ = cut(occurrences(docs, least))
+    the edits; lines under least characters only count as equal. A line's own fate doesn't change what it does to later ones."""
+    occ = cut(occurrences(docs, least, short))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
-    each = cut(occ.groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("lid").alias("lid")))
-    first = each.select("first.doc_key", "first.pos", "lid")
+    each = cut(occ.groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("lid").alias("lid"), F.first("size").alias("size")))
+    first = each.where(F.col("size") >= least).select("first.doc_key", "first.pos", "lid")
     keyed = docs.select("text", F.unhex(doc_key()).alias("doc_key")).dropDuplicates(["doc_key"])
     met = cut(candidates(keyed, first, edits))
     pairs = cut(verified(keyed, first, met, edits))
@@ -178,14 +180,15 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     return occ.join(known, "line_key").where(place > F.col("earliest")).select("doc_key", "pos").distinct()
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text, and lines_removed.
 
-    Lines are what stands between \\n; those of under least characters stay and take no part. Null text stays null. A
+    Lines are what stands between \\n; those of under least characters stay and take no part, unless short
+    is set: then all but blank ones go where they repeat an equal line. Null text stays null. A
     text that loses all its lines becomes empty. Equal rows count as one document and are treated alike; with a null
     doc_id a row comes after all others. No rows: none. Other columns are carried along.
     """
-    drops = repeated_lines(docs, edits, least).groupBy(F.col("doc_key").alias("drop_key")).agg(F.collect_set("pos").alias("drop_pos"))
+    drops = repeated_lines(docs, edits, least, short).groupBy(F.col("doc_key").alias("drop_key")).agg(F.collect_set("pos").alias("drop_pos"))
     j = docs.withColumn("line_doc_key", F.unhex(doc_key())).join(drops, F.col("line_doc_key") == F.col("drop_key"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop_pos", i)), "\n")
     text = F.when(F.col("drop_pos").isNull(), F.col("text")).otherwise(kept)
@@ -193,5 +196,5 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return d.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.md5("text").alias("text_digest"))
