@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, table
+from .lines import doc_key
 
 ZERO = np.uint64(0)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -34,15 +35,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of docs, fp the 64 bits as a signed long."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of docs, fp the 64 bits as a signed long; keyed: with doc_key, the digest of a row's doc_id and text."""
+    more = [F.unhex(doc_key()).alias("doc_key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            key = [b.column("doc_key")] if keyed else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps), *key], ["doc_id", "fp", *["doc_key"] * keyed])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, fp long" + ", doc_key binary" * keyed)
 
 
 def within(groups: np.ndarray, fps: np.ndarray, radius: int, step: int = 8, entries: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
@@ -185,20 +188,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     once. Null doc_ids are returned but never name a component, unless it has no other. Repeated rows are returned as
     often as given. Other columns take no part. No rows: none.
     """
-    marked = cut(with_fingerprint(docs, shingle, seed))
+    return _near(cut(with_fingerprint(docs, shingle, seed)), radius).select("doc_id", "fp", "component_id")
+
+
+def _near(marked: DataFrame, radius: int) -> DataFrame:
+    """marked with component_id."""
     each = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(each, radius))
     own = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return marked.join(named, marked["fp"] == named["f"]).select("doc_id", "fp", "component_id")
+    named = own.join(least, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    return marked.join(named, marked["fp"] == named["f"]).drop("f")
+
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """docs without those that are not the first, by (doc_id, digest), of their near-duplicate component; equal rows stay once.
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that are not the first of their near-duplicate component; one row a doc_id stays."""
-    found = near_duplicates(docs, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    Rows are told apart by doc_id and text, so null and repeated doc_ids lose nothing by themselves."""
+    found = _near(cut(with_fingerprint(docs, shingle, seed, keyed=True)), radius)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key")
+    stay = found.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.doc_key").alias("kept_key"))
+    rows = docs.withColumn("near_key", F.unhex(doc_key()))
+    return rows.join(stay, F.col("near_key") == F.col("kept_key"), "left_semi").dropDuplicates(["near_key"]).drop("near_key")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

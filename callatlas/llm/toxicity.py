@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pieces, split_words, table
+from .lines import doc_key
 
 #: Words in a window, and from one window to the next. Every window of every text is scored.
 WINDOW, STRIDE = 24, 12
@@ -266,14 +267,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     return fit(texts, toxic) if len(texts) else Network()
 
 
-def logits(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, tox_logit) of each whole text."""
+def logits(docs: DataFrame, net: Network, keyed: bool = False) -> DataFrame:
+    """(doc_id, tox_logit) of each whole text; keyed: with doc_key, the digest of a row's doc_id and text."""
+    more = [F.unhex(doc_key()).alias("doc_key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 6_000_000):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score_texts(net, b.column("text")))], ["doc_id", "tox_logit"])
+            key = [b.column("doc_key")] if keyed else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score_texts(net, b.column("text"))), *key], ["doc_id", "tox_logit", *["doc_key"] * keyed])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tox_logit double")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, tox_logit double" + ", doc_key binary" * keyed)
 
 
 def boundary(marked: DataFrame) -> float:
@@ -293,23 +296,24 @@ def boundary(marked: DataFrame) -> float:
     return (float(run[0] + run[-1]) / 2 - size // 2) / STEPS
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, tox_score): from 0 to 1 of each whole text, 0.5 and more for toxic.
+def scores(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, tox_score), keyed with doc_key before tox_score: from 0 to 1 of each whole text, 0.5 and more for toxic.
 
     Null, empty and blank texts score near 0. Equal texts score alike. Only the text is an input of a score. Labels of held
     out documents, and null labels, teach nothing; without labels of both kinds scores mean nothing. No rows: none.
     """
     net = train(docs, labels)
-    out = cut(logits(docs, net))
+    out = cut(logits(docs, net, keyed))
     marks = labels.where("toxic is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
     at = boundary(out.join(marks, F.col("doc_id") == F.col("label_id")))
-    return out.select("doc_id", (1 / (1 + F.exp(F.lit(at) - F.col("tox_logit")))).alias("tox_score"))
+    return out.select("doc_id", *["doc_key"] * keyed, (1 / (1 + F.exp(F.lit(at) - F.col("tox_logit")))).alias("tox_score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more. A doc_id of several rows goes if one of them does."""
-    bad = scores(docs, labels).where("tox_score >= 0.5").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """docs without those that score 0.5 or more. Rows are told apart by doc_id and text: of several under one doc_id, or
+    under none, only the toxic ones go."""
+    bad = scores(docs, labels, keyed=True).where("tox_score >= 0.5").select(F.col("doc_key").alias("bad_key")).distinct()
+    return docs.withColumn("tox_key", F.unhex(doc_key())).join(bad, F.col("tox_key") == F.col("bad_key"), "left_anti").drop("tox_key")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
