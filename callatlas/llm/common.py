@@ -39,6 +39,21 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a table of its own in the shared folder, of which readers take the columns that they need."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reduced(big: DataFrame, key, few: DataFrame, few_key, buckets: int = 1 << 18) -> DataFrame:
+    """The rows of big whose key can be among those of few: all that are, and others by chance. The hash buckets of few are
+    sent to all tasks, a number each and buckets numbers at most; an exact join follows and shuffles less."""
+    bucket = lambda c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
+    held = few.select(bucket(few_key).alias("bucket_of_few")).distinct()
+    return big.join(F.broadcast(held), bucket(key) == F.col("bucket_of_few"), "left_semi")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text column holds about most_bytes at most; a row is never divided."""
     import numpy as np

@@ -5,42 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import reduced, stored, table
 
 #: Edits allowed between two lines, and the least length of a line that is compared by edits: similarity is 0.8 or more.
 EDITS, LEAST = 2, 10
 #: Bits of a column of the verification band.
 WIDTH = 30
-#: Lines whose places may be sent to all tasks: about 50 bytes each.
-FEW = 50_000
+#: Letters whose numbers are compared before lines are: an edit changes at most two of them by one.
+LETTERS = "etaoinsrhldcumgb"
+_LID = ("h1", "h2")
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the edits + 1 segments of a line, the later ones longer where it doesn't divide evenly."""
-    n = edits + 1
-    short, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
-    return [(F.lit(1) + short * i + F.greatest(F.lit(0), longer - (n - i)), short + F.when(longer >= n - i, 1).otherwise(0)) for i in range(n)]
+def length_class(length: Column, edits: int) -> Column:
+    """The least length of the class of lengths: eight classes from a power of two to the next, each wider than the edits."""
+    step = F.greatest(F.lit(2 * edits + 1), F.pow(2, F.length(F.bin(length)) - 4).cast("int"))
+    return (length - length % step).cast("int")
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+def class_keys(line: Column, low: Column, edits: int) -> Column:
+    """Keys of a line among the lines of one class, whose least length is low: its edits + 1 segments, then the shifted ones.
 
+    The first segments lie at fixed places from the start, the last ones from the end, and the middle one takes the slack.
+    Of two lines within the edits some segment i of one is whole in the other with i edits before it and edits - i at
+    most behind, so it is shifted by i or edits - i at most, counted from its own end. A key leaves that many characters
+    out, so that a line which asks at shifts of one sign only meets all the others: with two edits 3 segments and 1 shift.
+    """
+    p = F.floor(low / (edits + 1)).cast("int")
+    plain, shifted = [], []
+    for i in range(edits + 1):
+        j = edits - i
+        key = lambda s, size, at, i=i: F.xxhash64(low * (edits + 1) + i, F.substring(line, at + s, size))
+        if i <= j:  # from the start
+            size, at = (low - p * edits if i == j else p) - i, p * i + 1
+            plain.append(key(0, size, at))
+            shifted += [key(s, size, at) for s in range(1, i + 1)]
+        else:  # from the end
+            size, at = p - j, F.length(line) - p * (j + 1) + j + 1
+            plain.append(key(0, size, at))
+            shifted += [key(-s, size, at) for s in range(1, j + 1)]
+    return F.array(*plain, *shifted)
+
+
+def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
+    """class_keys() in the line's own class, and in the next lower one where a line shorter by the edits lies there."""
+    own, other = length_class(length, edits), length_class(F.greatest(length - edits, F.lit(least)), edits)
+    low = lambda c: F.greatest(c, F.lit(least))
+    return F.concat(class_keys(line, low(own), edits), F.when(low(other) < low(own), class_keys(line, low(other), edits)).otherwise(F.array().cast("array<bigint>")))
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which a line is found: its length, the segment's number and text."""
-    return F.array(*[_key(length, i, F.substring(line, a, n)) for i, (a, n) in enumerate(segments(length, edits))])
 
+def letter_counts(line: Column) -> Column:
+    """Numbers of sixteen letters modulo 16, in the bits of a long."""
+    parts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(15), 4 * k) for k, c in enumerate(LETTERS)]
+    return sum(parts[1:], parts[0])
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys that a line asks for: for each length from its own down to edits less, the substrings that can align with a
-    segment, as the edits left and right of it are bounded by the numbers of segments there."""
-    keys = []
-    for gap in range(edits + 1):
-        other = length - gap
-        for i, (a, n) in enumerate(segments(other, edits)):
-            low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
-            keys += [_key(other, i, F.substring(line, a + shift, n)) for shift in range(low, high + 1)]
-    return F.array_distinct(F.array(*keys))
+
+def letter_difference(a: str, b: str) -> Column:
+    """A lower bound of the sum of the differences: each counts the short way round."""
+    one = "abs((shiftrightunsigned({a}, {k}) & 15) - (shiftrightunsigned({b}, {k}) & 15))"
+    return F.expr(" + ".join(f"least({(d := one.format(a=a, b=b, k=4 * k))}, 16 - {d})" for k in range(16)))
 
 
 def distance(a: str, b: str, edits: int) -> Column:
@@ -64,59 +86,37 @@ def distance(a: str, b: str, edits: int) -> Column:
     return F.expr(f"aggregate(sequence(0, size({b}) - 1), named_struct('p', {start}L, 'n', 0L, 's', {edits}), (acc, i) -> {body}, acc -> acc.s)")
 
 
-def occurrences(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
-    """(doc_key, doc_id, pos, line_key, size) of every line of least characters or more, and with short of every shorter one
-    that isn't blank; keys are 128-bit digests."""
-    d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    takes = (F.length("line") >= least) | (F.lit(short) & F.col("line").rlike("\\S"))
-    return d.where(takes).select("doc_key", "doc_id", "pos", F.unhex(F.md5("line")).alias("line_key"), F.length("line").alias("size"), F.xxhash64("line").alias("lid"))
-
-
 def doc_key() -> Column:
     """Digest of a row's doc_id and text: equal rows are one document."""
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit(""))))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
-    """(lid, line) of the wanted (doc_key, pos, lid), gathered by document. few: the caller has counted them and found FEW at
-    most, so they go to the documents; else both are shuffled."""
-    per = wanted.groupBy(F.col("doc_key").alias("wanted_key")).agg(F.collect_set(F.struct("pos", "lid")).alias("wanted"))
-    j = docs.join(F.broadcast(per) if few else per, docs["doc_key"] == per["wanted_key"])
-    parts = j.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    return parts.select("w.lid", F.element_at("parts", F.col("w.pos") + 1).alias("line"))
-
-
-#: Letters that are counted before lines meet, and others that are counted before they are compared.
-FIRST, THEN = "etnaiors", "dhlucmgb"
-
-
-def class_counts(line: Column, letters: str) -> Column:
-    """Counts of eight letters, at most 255 each, in the bytes of a long. An edit changes them by two in sum at most."""
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(letters):
-        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
-    return packed
-
-
-def class_difference(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(255)
-    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, 8)), F.abs(byte(a, 0) - byte(b, 0)))
+def occurrences(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(h1, h2, place, size, letters, keys) of every line of least characters or more, and with short of every shorter one that
+    isn't blank. h1 and h2 are 128 bits of hash of the line, place is in the order of documents and lines; letters and
+    keys serve the edit join and are null for lines under least characters."""
+    d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = d.withColumn("size", F.length("line"))
+    line, size = F.col("line"), F.col("size")
+    d = d.where((size >= least) | (F.lit(short) & line.rlike("\\S")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
+    joins = size >= least
+    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", F.when(joins, letter_counts(line)).alias("letters"), F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
 
 
-def candidates(docs: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(left, right) of the lines that meet under a key, left indexed and right asking.
+def candidates(each: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h1, h2, g1, g2) of the lines that meet under a key, with lengths and letters within the edits.
 
-    first: doc_key, pos, lid of the first occurrence of each distinct line. Each line is indexed under its segments and
-    asks for substrings of its own; lines whose class counts differ by more than the edits allow do not meet. The keys
-    are joined by sort-merge, which splits a key with very many lines.
+    Each line has a row for each of its keys, which are dealt out once; sort-merge joins them to themselves, and splits a
+    key with very many lines. Shifted keys meet plain ones only.
     """
-    line = F.col("line")
-    own = _texts(docs, first).select("lid", "line", F.length("line").alias("size")).withColumn("counts", class_counts(line, FIRST))
-    index = own.select(F.explode(index_keys(line, F.col("size"), edits)).alias("key"), F.col("lid").alias("left"), F.col("counts").alias("n"))
-    probe = own.select(F.explode(probe_keys(line, F.col("size"), edits)).alias("key2"), F.col("lid").alias("right"), F.col("counts").alias("m"))
-    near = (F.col("key") == F.col("key2")) & (F.col("left") != F.col("right")) & (class_difference(F.col("n"), F.col("m")) <= 2 * edits)
-    return index.join(probe, near).select("left", "right").distinct()
+    kinds = edits + 1 + sum(min(i, edits - i) for i in range(edits + 1))
+    rows = each.where("keys is not null").select(*_LID, "size", "letters", F.posexplode("keys").alias("pos", "key"))
+    rows = rows.select("key", *_LID, "size", "letters", (F.col("pos") % kinds > edits).alias("shifted"))
+    a, b = rows.alias("a"), rows.toDF("key", "g1", "g2", "other_size", "other_letters", "other_shifted").alias("b")
+    near = (F.expr("a.key = b.key") & F.expr("h1 < g1 or h1 = g1 and h2 < g2") & F.expr("not (shifted and other_shifted)")
+            & F.expr(f"abs(size - other_size) <= {edits}") & (letter_difference("letters", "other_letters") <= 2 * edits))
+    return a.join(b, near).select(*_LID, "g1", "g2").distinct()
 
 
 def _same_start(a: str, b: str, most: str) -> Column:
@@ -136,27 +136,32 @@ def _ends_fit(edits: int) -> Column:
     return F.expr("length(x) <= 2 and length(y) <= 2 or " + " or ".join(ways))
 
 
-def verified(docs: DataFrame, first: DataFrame, met: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(left, right) of the pairs met whose lines are within the edits.
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, place, line) of the lines wanted (h1, h2, place). Only documents that can hold one are shuffled."""
+    per = wanted.groupBy(F.col("place.doc_key").alias("wanted_key")).agg(F.collect_set(F.struct(*_LID, "place")).alias("wanted"))
+    d = docs.select("text", F.unhex(doc_key()).alias("doc_key")).where("text is not null")
+    d = reduced(d, ["doc_key"], wanted.select("place.doc_key"), ["doc_key"]).dropDuplicates(["doc_key"])
+    parts = d.join(per, F.col("doc_key") == F.col("wanted_key")).select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    return parts.select("w.h1", "w.h2", "w.place", F.element_at("parts", F.col("w.place.pos") + 1).alias("line"))
+
+
+def verified(texts: DataFrame, met: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(place, other) of the pairs met whose lines are within the edits: the first places of both.
 
     What both lines begin and end with is cut off, and the rest goes through the banded bit-parallel distance.
     """
-    asked = met.select(F.col("left").alias("lid")).union(met.select("right")).distinct()
-    texts = _texts(docs, first.join(asked, "lid", "left_semi"), few=asked.count() <= FEW)
-    texts = texts.withColumn("counts", class_counts(F.col("line"), THEN))
-    a = texts.select(F.col("lid").alias("left"), F.col("line").alias("a"), F.col("counts").alias("n"))
-    b = texts.select(F.col("lid").alias("right"), F.col("line").alias("b"), F.col("counts").alias("m"))
-    near = (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= edits) & (class_difference(F.col("n"), F.col("m")) <= 2 * edits)
-    pairs = met.join(a, "left").join(b, "right").where(near)
+    a = texts.select(*_LID, "place", F.col("line").alias("a"))
+    b = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("place").alias("other"), F.col("line").alias("b"))
+    pairs = met.join(a, list(_LID)).join(b, ["g1", "g2"])
     longer = F.length("a") >= F.length("b")
-    p = pairs.select("left", "right", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
+    p = pairs.select("place", "other", F.when(longer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("y"))
     for _ in range(2):  # from the start, then reversed from the end; twice reversed, the text reads forward again
-        p = _once(p, "left", "right", "x", "y", _same_start("x", "y", "length(y)").alias("same"))
-        p = _once(p, "left", "right", *[F.expr(f"reverse(substring({c}, same + 1))").alias(c) for c in ("x", "y")])
+        p = _once(p, "place", "other", "x", "y", _same_start("x", "y", "length(y)").alias("same"))
+        p = _once(p, "place", "other", *[F.expr(f"reverse(substring({c}, same + 1))").alias(c) for c in ("x", "y")])
     p = p.where(F.expr(f"length(y) = 0 and length(x) <= {edits}") | (F.expr("length(y) > 0") & _ends_fit(edits)))
-    p = _once(p, "left", "right", F.split("x", "").alias("x"), F.expr("if(y = '', cast(array() as array<string>), split(y, ''))").alias("y"))
-    p = _once(p, "left", "right", F.when(F.size("y") == 0, F.size("x")).otherwise(distance("x", "y", edits)).alias("d"))
-    return p.where(F.col("d") <= edits).select("left", "right")
+    p = _once(p, "place", "other", F.split("x", "").alias("x"), F.expr("if(y = '', cast(array() as array<string>), split(y, ''))").alias("y"))
+    p = _once(p, "place", "other", F.when(F.size("y") == 0, F.size("x")).otherwise(distance("x", "y", edits)).alias("d"))
+    return p.where(F.col("d") <= edits).select("place", "other")
 
 
 def _once(df: DataFrame, *columns) -> DataFrame:
@@ -167,17 +172,18 @@ def _once(df: DataFrame, *columns) -> DataFrame:
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(doc_key, pos) of the lines to drop: those with an earlier line, by (doc_id, doc_key, pos), that is equal or within
     the edits; lines under least characters only count as equal. A line's own fate doesn't change what it does to later ones."""
-    occ = cut(occurrences(docs, least, short))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
-    each = cut(occ.groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("lid").alias("lid"), F.first("size").alias("size")))
-    first = each.where(F.col("size") >= least).select("first.doc_key", "first.pos", "lid")
-    keyed = docs.select("text", F.unhex(doc_key()).alias("doc_key")).dropDuplicates(["doc_key"])
-    met = cut(candidates(keyed, first, edits))
-    pairs = cut(verified(keyed, first, met, edits))
-    both = pairs.union(pairs.select("right", "left"))
-    near = both.join(each.select(F.col("lid").alias("left"), F.col("first").alias("other")), "left").groupBy(F.col("right").alias("near_lid")).agg(F.min("other").alias("other"))
-    known = each.join(near, each["lid"] == near["near_lid"], "left").where("n > 1 or other < first").select("line_key", F.least("first", "other").alias("earliest"))
-    return occ.join(known, "line_key").where(place > F.col("earliest")).select("doc_key", "pos").distinct()
+    if least < (edits + 1) * (edits // 2 + 1):
+        raise ValueError(f"lines of {least} characters have no {edits + 1} segments for shifts of {edits // 2}")
+    occ = stored(occurrences(docs, edits, least, short), "lines")
+    each = stored(occ.groupBy(*_LID).agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("letters").alias("letters"), F.first("keys").alias("keys")), "distinct-lines")
+    met = stored(candidates(each, edits), "pairs")
+    asked = met.select(*_LID).union(met.select("g1", "g2")).distinct()
+    wanted = reduced(each.select(*_LID, "place"), _LID, asked, _LID).join(asked, list(_LID), "left_semi")
+    texts = stored(line_texts(docs, stored(wanted, "wanted")), "texts")
+    near = verified(texts, met, edits).select(F.greatest("place", "other").alias("place"))
+    again = each.where("n > 1").select(*_LID, F.col("place").alias("first"))
+    again = occ.select(*_LID, "place").join(again, list(_LID)).where("place > first").select("place")
+    return again.union(near).select("place.doc_key", "place.pos").distinct()
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
@@ -186,15 +192,20 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool =
     Lines are what stands between \\n; those of under least characters stay and take no part, unless short
     is set: then all but blank ones go where they repeat an equal line. Null text stays null. A
     text that loses all its lines becomes empty. Equal rows count as one document and are treated alike; with a null
-    doc_id a row comes after all others. No rows: none. Other columns are carried along.
+    doc_id a row comes after all others. No rows: none. Other columns are carried along, whatever their names; one named
+    lines_removed is replaced.
     """
-    drops = repeated_lines(docs, edits, least, short).groupBy(F.col("doc_key").alias("drop_key")).agg(F.collect_set("pos").alias("drop_pos"))
-    j = docs.withColumn("line_doc_key", F.unhex(doc_key())).join(drops, F.col("line_doc_key") == F.col("drop_key"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop_pos", i)), "\n")
-    text = F.when(F.col("drop_pos").isNull(), F.col("text")).otherwise(kept)
-    return j.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.size("drop_pos"), F.lit(0)).alias("lines_removed"))
+    drops = repeated_lines(docs, edits, least, short).groupBy("doc_key").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(doc_key()).alias("doc_key"))
+    j = rows.join(drops, "doc_key", "left").withColumn("parts", F.when(F.col("drops").isNotNull(), F.split("row.text", "\n")))
+    # the runs of lines between those dropped
+    j = j.withColumn("ends", F.expr("concat(array(-1), drops, array(size(parts)))"))
+    runs = F.expr("transform(sequence(0, size(ends) - 2), i -> slice(parts, ends[i] + 2, ends[i + 1] - ends[i] - 1))")
+    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return j.select(*[(text.alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in docs.columns if c != "lines_removed"], F.coalesce(F.size("drops"), F.lit(0)).alias("lines_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines removed, characters left and digest of the text left; null text: null digest, no rows: none."""
     d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return d.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.md5("text").alias("text_digest"))
