@@ -11,8 +11,8 @@ from .common import reduced, stored, table
 EDITS, LEAST = 2, 10
 #: Bits of a column of the verification band.
 WIDTH = 30
-#: Letters whose numbers are compared before lines are: an edit changes at most two of them by one.
-LETTERS = "etaoinsrhldcumgb"
+#: Letters that are counted before lines are compared: an edit changes at most two of them by one.
+LETTERS = "etaoinsrhl"
 _LID = ("h1", "h2")
 
 
@@ -54,15 +54,19 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Numbers of sixteen letters modulo 16, in the bits of a long."""
-    parts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(15), 4 * k) for k, c in enumerate(LETTERS)]
-    return sum(parts[1:], parts[0])
+    """Numbers of the LETTERS modulo 16, in the bits of a long: what each shortens the rest of the line by."""
+    packed, rest = F.lit(0).cast("long"), line
+    for k, c in enumerate(LETTERS):
+        less = F.replace(rest, F.lit(c), F.lit(""))
+        packed = packed + F.shiftleft((F.length(rest) - F.length(less)).cast("long").bitwiseAND(15), 4 * k)
+        rest = less
+    return packed
 
 
 def letter_difference(a: str, b: str) -> Column:
     """A lower bound of the sum of the differences: each counts the short way round."""
     one = "abs((shiftrightunsigned({a}, {k}) & 15) - (shiftrightunsigned({b}, {k}) & 15))"
-    return F.expr(" + ".join(f"least({(d := one.format(a=a, b=b, k=4 * k))}, 16 - {d})" for k in range(16)))
+    return F.expr(" + ".join(f"least({(d := one.format(a=a, b=b, k=4 * k))}, 16 - {d})" for k in range(len(LETTERS))))
 
 
 def distance(a: str, b: str, edits: int) -> Column:
@@ -94,14 +98,14 @@ def doc_key() -> Column:
 def occurrences(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(h1, h2, place, size, letters, keys) of every line of least characters or more, and with short of every shorter one that
     isn't blank. h1 and h2 are 128 bits of hash of the line, place is in the order of documents and lines; letters and
-    keys serve the edit join and are null for lines under least characters."""
-    d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    d = d.withColumn("size", F.length("line"))
+    keys serve the edit join; keys are null for lines under least characters."""
+    d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.split("text", "\n").alias("parts"))  # before lines part: once a text
+    d = d.select("doc_id", "doc_key", F.posexplode("parts").alias("pos", "line")).withColumn("size", F.length("line"))
     line, size = F.col("line"), F.col("size")
     d = d.where((size >= least) | (F.lit(short) & line.rlike("\\S")))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
     joins = size >= least
-    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", F.when(joins, letter_counts(line)).alias("letters"), F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
+    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", letter_counts(line).alias("letters"), F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
 
 
 def candidates(each: DataFrame, edits: int = EDITS) -> DataFrame:
