@@ -15,8 +15,8 @@ from .lines import doc_key
 
 #: Words in a window, and from one window to the next. Every window of every text is scored.
 WINDOW, STRIDE = 24, 12
-#: Labelled documents that the network is trained on, at most, a third of them toxic where there are enough; characters read of one.
-SAMPLE, CHARS = 4500, 3000
+#: Labelled documents that the network is trained on, at most, a third of them toxic where there are enough; each is read whole.
+SAMPLE = 4500
 HIDDEN, WIDTH, BUCKETS = 8, 12, 1 << 15
 #: Logits are kept between -MOST and MOST, and cut between the classes at a STEPS-th.
 MOST, STEPS = 30.0, 16
@@ -187,7 +187,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256,
     """Train on the windows of labelled texts. A toxic text vouches only for its worst window: after two rounds in which four
     of its windows count, drawn at random, the one that scores highest does. Of clean texts all windows are clean."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    words, rows = split_words(pa.array([t[:CHARS] for t in texts], pa.string()))
+    words, rows = split_words(pa.array(texts, pa.string()))
+    if not len(words):
+        return net
     enc = words.dictionary_encode()
     ids, vocabulary = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
     b, at = all_grams(vocabulary)
@@ -252,19 +254,42 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from at most sample labelled documents that are not held out, chosen by hash: a third of them toxic
-    at most, and first those that are read whole."""
+def sample_ids(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(sample_id, label) of at most sample labelled documents that are not held out, a third of them toxic at most.
+
+    Chosen by hash of doc_id: a threshold from the number of each label's rows lets about twice as many through as are
+    taken, and only these are sorted.
+    """
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
-    # the sample is chosen over narrow rows; its ids, sample at most, then fetch their texts
-    rows = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", (F.length("text") > CHARS).alias("long")).join(marks, F.col("doc_id") == F.col("label_id"))
-    first = lambda label, most: rows.where(F.col("label") == label).orderBy("long", F.xxhash64("doc_id"), "doc_id").select(F.col("doc_id").alias("sample_id"), "label").limit(most)
-    ids = first(1, sample // 3).union(first(0, sample - sample // 3)).distinct()
-    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).select("doc_id", F.substring("text", 1, CHARS).alias("text"), "label")
-    got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
-    texts, toxic = got["text"].tolist(), got["label"].to_numpy(dtype=np.int64)
-    del got
-    return fit(texts, toxic) if len(texts) else Network()
+    rows = docs.where(~held_out()).select("doc_id").join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    rows = cut(rows.distinct())
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row a label
+
+    def first(label: int, most: int) -> DataFrame:
+        below = min(1.0, (2 * most + 200) / max(1, n.get(label, 0)))
+        own = rows.where((F.col("label") == label) & (F.col("h") <= int(-(2**63) + below * (2**64 - 1025))))
+        return own.orderBy("h", "doc_id").select(F.col("doc_id").alias("sample_id"), "label").limit(most)
+
+    return first(1, sample // 3).union(first(0, sample - sample // 3)).distinct()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+    """A network trained on the sample's whole texts in one task, which sends back the parameters. Of several texts under a
+    doc_id the first in order is taken."""
+    ids = sample_ids(docs, labels, sample)
+    got = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            net = fit(t.column("text").to_pylist(), t.column("label").to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([v.tobytes() for v in net.p.values()], pa.binary())], ["name", "value"])
+
+    net = Network()
+    for r in got.repartition(1).sortWithinPartitions("doc_id", "label").select("text", "label").mapInArrow(learn, "name string, value binary").collect():  # the parameters
+        net.p[r["name"]] = np.frombuffer(r["value"], np.float32).reshape(net.p[r["name"]].shape).copy()
+    return net
 
 
 def logits(docs: DataFrame, net: Network, keyed: bool = False) -> DataFrame:
@@ -300,7 +325,8 @@ def scores(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame
     """(doc_id, tox_score), keyed with doc_key before tox_score: from 0 to 1 of each whole text, 0.5 and more for toxic.
 
     Null, empty and blank texts score near 0. Equal texts score alike. Only the text is an input of a score. Labels of held
-    out documents, and null labels, teach nothing; without labels of both kinds scores mean nothing. No rows: none.
+    out documents, and null labels, teach nothing; without labels of both kinds scores mean nothing. No rows: none. Other
+    columns, whatever their names, take no part.
     """
     net = train(docs, labels)
     out = cut(logits(docs, net, keyed))
@@ -311,11 +337,13 @@ def scores(docs: DataFrame, labels: DataFrame, keyed: bool = False) -> DataFrame
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more. Rows are told apart by doc_id and text: of several under one doc_id, or
-    under none, only the toxic ones go."""
-    bad = scores(docs, labels, keyed=True).where("tox_score >= 0.5").select(F.col("doc_key").alias("bad_key")).distinct()
-    return docs.withColumn("tox_key", F.unhex(doc_key())).join(bad, F.col("tox_key") == F.col("bad_key"), "left_anti").drop("tox_key")
+    under none, only the toxic ones go. Repeated clean rows stay repeated; other columns stay, whatever their names."""
+    bad = scores(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), keyed=True).where("tox_score >= 0.5").select("doc_key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(doc_key()).alias("doc_key"))
+    return rows.join(bad, "doc_key", "left_anti").select("row.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and prediction; null and empty texts score near 0, no rows: none."""
     out = scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), F.col("tox_score").alias("score"), F.when(F.col("tox_score") >= 0.5, 1).otherwise(0).alias("predicted"))
