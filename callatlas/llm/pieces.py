@@ -15,10 +15,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
-#: Longest stretch that is decoded in a lane beside others; longer ones stream on their own.
-LANE = 64
-#: Lanes at a time.
-TOGETHER = 16_384
+#: Stretches of at most so many characters, and so many of them, whose ids a task keeps.
+SHORT, KEPT = 64, 1 << 18
 
 
 class Codec:
@@ -39,182 +37,100 @@ class Codec:
         self.bytes = {v: k for k, v in self.byte.items()}
         self.unknown = min(self.score.values()) - 10.0
         self.longest = max(map(len, self.ids))
-        # by first character: the longest piece, so that a position tries no lengths in vain
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[0]] = max(self.reach.get(p[0], 0), len(p))
         # no piece holds these two characters in a row, so every path has a boundary between them
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._plant()
+        self.kept: dict[str, np.ndarray] = {}
+        # the trie of the pieces: character to (node, id of the piece that ends there, its score)
+        self.trie: dict[str, tuple] = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None, 0.0))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, i, self.score[i])
+        for c in {p[0] for p in self.ids if p[0] not in self.ids}:  # such a character stands for its bytes
+            self.trie[c] = (self.trie[c][0], -1, self.unknown)
         self.names = pa.array([self.text[i].replace(SPACE, " ") if self.plain[i] else "" for i in range(n)], pa.string())
         # a line feed that no piece holds stands alone on every path
         self.alone = not any("\n" in p for p in self.ids)
 
-    def _plant(self) -> None:
-        """The trie of the pieces as an open hash table from (node, character) to node, and the piece that ends at a node."""
-        nodes: dict[tuple[int, int], int] = {}
-        ends = {0: -1}
-        for p, i in self.ids.items():
-            at = 0
-            for c in p:
-                at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
-                ends.setdefault(at, -1)
-            ends[at] = i
-        self.ends = np.array([ends[k] for k in range(len(ends))], np.int64)
-        keys = np.array([a << 21 | c for a, c in nodes], np.int64)
-        size = 1 << (len(keys) * 4).bit_length()
-        self.mask, self.keys, self.next = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        todo, slot, value = keys, self._slot(keys), np.fromiter(nodes.values(), np.int64, len(nodes))
-        while len(todo):
-            free = np.flatnonzero(self.keys[slot] < 0)
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.keys[slot[put]], self.next[slot[put]] = todo[put], value[put]
-            rest = np.ones(len(todo), bool)
-            rest[put] = False
-            todo, slot, value = todo[rest], (slot[rest] + 1) & self.mask, value[rest]
-        scores = np.full(len(self.text), self.unknown)
-        for i, x in self.score.items():
-            scores[i] = x
-        self.scores = scores
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
-
-    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """The trie node after char, or -1."""
-        keys = node << 21 | char
-        slot, out = self._slot(keys), np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        while len(todo):
-            found = self.keys[slot]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.next[slot[hit]]
-            more = ~hit & (found >= 0)
-            todo, slot = todo[more], (slot[more] + 1) & self.mask
-        return out
-
-    def lanes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, sizes, odd) of many short stretches, decoded side by side, one position of all lanes at a time.
-
-        All paths of a stretch meet at its two ends, so its ids are committed as a whole, and only the boundaries of the
-        stretches at hand are retained. Stretches with a character that no piece holds are odd and get no ids here.
-        """
-        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.int32).astype(np.int64)
-        start = np.cumsum(size) - size
-        n = len(chars)
-        rel = np.arange(n) - np.repeat(start, size)
-        left = np.repeat(size, size) - rel
-        pos, node = np.arange(n), np.zeros(n, np.int64)
-        begins, lengths, found = [], [], []
-        for k in range(1, self.longest + 1):
-            node = self._step(node, chars[pos + k - 1])
-            ok = node >= 0
-            pos, node = pos[ok], node[ok]
-            piece = self.ends[node]
-            whole = piece >= 0
-            begins.append(pos[whole])
-            lengths.append(np.full(int(whole.sum()), k))
-            found.append(piece[whole])
-            ok = left[pos] > k
-            pos, node = pos[ok], node[ok]
-            if not len(pos):
-                break
-        single = np.zeros(n, bool)
-        single[begins[0]] = True
-        lone = np.flatnonzero(~single)
-        begin, length, piece = (np.concatenate(x) for x in ([*begins, lone], [*lengths, np.ones(len(lone), np.int64)], [*found, np.full(len(lone), -1)]))
-        turn = rel[begin]
-        order = np.argsort(turn, kind="stable")
-        begin, length, piece, turn = begin[order], length[order], piece[order], turn[order]
-        worth = np.where(piece >= 0, self.scores[piece], self.unknown)
-        # boundary b of lane w has number start[w] + w + b
-        shift = np.repeat(np.arange(len(size)), size)
-        a = begin + shift[begin]
-        z = a + length
-        best, back, used, count = np.full(n + len(size), -np.inf), np.zeros(n + len(size), np.int64), np.full(n + len(size), -1, np.int64), np.zeros(n + len(size), np.int64)
-        best[start + np.arange(len(size))] = 0.0
-        edges = np.searchsorted(turn, np.arange(int(size.max()) + 1 if len(size) else 1))
-        for lo, hi in zip(edges, [*edges[1:], len(turn)], strict=True):
-            x, y = a[lo:hi], z[lo:hi]
-            s = best[x] + worth[lo:hi]
-            up = np.flatnonzero(s > best[y])
-            x, y = x[up], y[up]
-            best[y], back[y], used[y], count[y] = s[up], x, piece[lo:hi][up], count[x] + 1
-        end = start + size + np.arange(len(size))
-        sizes = count[end]
-        odd = np.zeros(len(size), bool)
-        ids = np.zeros(int(sizes.sum()), np.int32)
-        to, lane = np.cumsum(sizes) - 1, np.arange(len(size))
-        first = start + lane
-        while len(lane):
-            live = end > first
-            end, to, lane, first = end[live], to[live], lane[live], first[live]
-            ids[to] = used[end]
-            odd[lane[used[end] < 0]] = True
-            end, to = back[end], to - 1
-        return ids, sizes, odd
-
     def viterbi(self, chars: str) -> list[int]:
         """Ids of the best-scoring path over chars, earlier starts winning ties.
 
-        Positions come one by one. Only a window as long as the longest piece is kept: best score, backpointer and id of
-        each boundary that a later piece can start from. Whenever all surviving paths go through one boundary, the ids up
-        to it are committed and what lies before is dropped.
+        Boundaries come one by one. A window is kept of the boundaries since the last committed one: score, backpointer and
+        id. Where no piece reaches over a boundary all paths meet there: the ids up to it are committed and the window
+        starts anew. A window four times as long as the longest piece is searched for a boundary further back that all
+        surviving paths share, and again whenever it has doubled, so that the work stays linear in the text.
         """
         n, out = len(chars), []
-        best, back, used = {0: 0.0}, {}, {}
-        done, furthest = 0, 0  # committed so far; the furthest end of any piece begun
+        base, far, limit = 0, 0, 4 * self.longest
+        best, back, used = [0.0], [0], [0]
+        root, unknown, none = self.trie, self.unknown, float("-inf")
         for at in range(n):
-            if at > done and furthest <= at:  # no piece reaches over: all paths meet here
-                out += self._path(chars, done, at, back, used)
-                best, back, used, done = {at: 0.0}, {}, {}, at
-            elif at - done > 4 * self.longest:  # paths may meet further back all the same
-                meet = self._meeting(range(at, furthest + 1), back, done)
-                if meet > done:
-                    out += self._path(chars, done, meet, back, used)
-                    for x in [x for x in best if x < meet]:
-                        best.pop(x)
-                    for x in [x for x in back if x <= meet]:
-                        back.pop(x)
-                        used.pop(x, None)
-                    done = meet
-            if at not in best:
-                continue
-            here, single = best[at], False
-            for end in range(at + 1, min(n, at + self.reach.get(chars[at], 0)) + 1):
-                i = self.ids.get(chars[at:end])
+            if far == at and at > base:
+                out += self._path(chars, base, at, back, used)
+                base, limit = at, 4 * self.longest
+                best, back, used = [0.0], [0], [0]
+            elif at - base >= limit:
+                meet = self._meeting(at, far, base, back)
+                if meet > base:
+                    out += self._path(chars, base, meet, back, used)
+                    best, back, used, base = best[meet - base :], back[meet - base :], used[meet - base :], meet
+                limit = max(4 * self.longest, 2 * (at - base))
+            here, node, end = best[at - base], root, at
+            while end < n:
+                step = node.get(chars[end])
+                if step is None:
+                    if end > at:
+                        break
+                    step = root, -1, unknown  # no piece begins so: the character's bytes
+                node, i, s = step
+                end += 1
                 if i is not None:
-                    s = here + self.score[i]
-                    single |= end == at + 1
-                    if end not in best or s > best[end]:
-                        best[end], back[end], used[end] = s, at, i
-                    furthest = max(furthest, end)
-            if not single:
-                s = here + self.unknown
-                if at + 1 not in best or s > best[at + 1]:
-                    best[at + 1], back[at + 1], used[at + 1] = s, at, None
-                furthest = max(furthest, at + 1)
-        return out + self._path(chars, done, n, back, used)
-
-    def _path(self, chars: str, start: int, end: int, back: dict, used: dict) -> list[int]:
+                    j = end - base
+                    if end > far:
+                        best += [none] * (end - far)
+                        back += [0] * (end - far)
+                        used += [0] * (end - far)
+                        far = end
+                    if here + s > best[j]:
+                        best[j], back[j], used[j] = here + s, at, i
+                    if node is root:
+                        break
+        return out + self._path(chars, base, n, back, used)
+
+    def _path(self, chars: str, base: int, end: int, back: list, used: list) -> list[int]:
+        """The ids from base to end."""
         ids: list[int] = []
-        while end > start:
-            i = used[end]
-            ids += [i] if i is not None else [self.byte[x] for x in reversed(chars[back[end] : end].encode("utf-8"))]
-            end = back[end]
+        while end > base:
+            i, start = used[end - base], back[end - base]
+            ids += [i] if i >= 0 else [self.byte[x] for x in reversed(chars[start:end].encode("utf-8"))]
+            end = start
         return ids[::-1]
 
     @staticmethod
-    def _meeting(alive: range, back: dict, done: int) -> int:
-        """The last boundary that all paths to the given ends share."""
-        ends = {x for x in alive if x in back}
-        while len(ends) > 1:
-            last = max(ends)
-            ends.discard(last)
-            ends.add(back.get(last, done))
-        return ends.pop() if ends else done
+    def _meeting(at: int, far: int, base: int, back: list) -> int:
+        """The last boundary that all paths to the boundaries from at to far share."""
+        live, count = bytearray(far - base + 1), far - at + 1
+        live[at - base :] = b"\1" * count
+        for x in range(far - base, 0, -1):
+            if live[x]:
+                if count == 1:
+                    return base + x
+                up = back[x] - base
+                count -= live[up]
+                live[up] = 1
+        return base
+
+    def stretch(self, chars: str) -> np.ndarray:
+        """viterbi() of a stretch; those of short ones are kept, KEPT at most."""
+        found = self.kept.get(chars)
+        if found is None:
+            found = np.array(self.viterbi(chars), np.int32)
+            if len(chars) <= SHORT:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[chars] = found
+        return found
 
     def stretches(self, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Texts with their spaces marked, cut before every mark that follows another character, and the row of each part."""
@@ -236,23 +152,9 @@ class Codec:
         nul = pc.match_substring(some, "\x00").to_numpy(zero_copy_only=False)
         parts, of = self.stretches(pc.if_else(pa.array(~nul), some, ""))
         enc = parts.dictionary_encode()
-        short = pc.less_equal(pc.utf8_length(enc.dictionary), LANE)
-        at = np.flatnonzero(short.to_numpy(zero_copy_only=False))
-        lanes, done = enc.dictionary.filter(short), []
-        for k in range(0, max(len(lanes), 1), TOGETHER):
-            done.append(self.lanes(lanes.slice(k, TOGETHER)))
-        flat, size, odd = (np.concatenate(x) for x in zip(*done, strict=True))
-        own = np.ones(len(enc.dictionary), bool)
-        own[at[~odd]] = False
-        if own.any():  # long or odd ones stream on their own
-            known: list = [None] * len(own)
-            cuts = np.cumsum(size) - size
-            for k, a, n in zip(at.tolist(), cuts.tolist(), size.tolist(), strict=True):
-                known[k] = flat[a : a + n]
-            for k in np.flatnonzero(own):
-                known[k] = np.array(self.viterbi(enc.dictionary[int(k)].as_py()), np.int32)
-            size = np.fromiter(map(len, known), np.int64, len(known))
-            flat = np.concatenate(known) if known else flat
+        known = [self.stretch(x) for x in enc.dictionary.to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
         start = np.cumsum(size) - size
         which = enc.indices.to_numpy(zero_copy_only=False)
         each = size[which]
@@ -352,7 +254,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, ids, same): the ids of each text, and whether decoding them gives the text back (marks count as spaces)."""
+    """(doc_id, ids, same): the ids of each text, and whether decoding them gives the text back (marks count as spaces).
+
+    Null text: null ids, which decode to null; empty text: no ids. Repeated rows give equal rows; other columns take no
+    part; no rows: none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
@@ -366,6 +272,6 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the number and digest of its ids, and whether they decode to the text."""
+    """Per document the number and digest of its ids, and whether they decode to the text; null text: none, empty: 0."""
     out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_digest"), F.col("same").alias("round_trip"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -117,3 +118,17 @@ def test_dataframe(spark, n):
     out = pieces.decode(pieces.encode(docs, keep=("doc_id", "text"))).collect()
     assert len(out) == len(rows)
     assert all(r["decoded"] == r["text"] for r in out)
+
+
+def test_unspaced_text_takes_linear_time_and_a_bounded_window(monkeypatch):
+    codec, widest = pieces.Codec(), [0]
+    path = pieces.Codec._path
+    monkeypatch.setattr(pieces.Codec, "_path", lambda self, chars, base, end, *a: (widest.__setitem__(0, max(widest[0], end - base)), path(self, chars, base, end, *a))[1])
+    r = random.Random(2)
+    began = time.time()
+    for t in ("a" * 300_000, "".join(r.choice("abcdefgh") for _ in range(100_000)), "\u6f22" * 50_000):
+        widest[0] = 0
+        assert codec.decode(codec.viterbi(pieces.SPACE + t)) == t
+        if t[0] != "a":
+            assert widest[0] <= 16 * codec.longest
+    assert time.time() - began < 60
