@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, pieces, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: The pretokenizer's pattern of the public 50k byte-level vocabulary.
@@ -32,7 +32,7 @@ def lengths(docs: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
-        for b in batches:
+        for b in pieces(batches, "text"):
             n = np.array([len(encode(t)) if t else 0 for t in b.column("text").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([b.column("source"), pa.array(n)], ["source", "n_tokens"])
 
@@ -84,6 +84,15 @@ def truncated_totals(sums: DataFrame, limits: tuple[int, ...]) -> DataFrame:
     return g.select("source", "limit", F.when(F.col("f").isNull(), F.col("n")).otherwise(F.col("n") - F.col("f.tokens_ge") + F.col("f.docs_ge") * F.col("limit")).alias("tokens"))
 
 
+#: Context limits and shares of documents that the query answers beside every length.
+LIMITS, POINTS = (128, 512, 2048, 8192, 32768), (0.25, 0.5, 0.9, 0.99)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (source, length) of the documents, null source apart; null texts have length 0; no rows: none."""
-    return answers(suffix_sums(histogram(lengths(table(spark, sf_dir, "documents")))))
+    """Answers for every source, null source apart, by kind: length, every length that it holds as a limit; context, the
+    tokens kept at each of LIMITS; quantile, the least length for each of POINTS. Null texts have length 0; no rows: none."""
+    sums = suffix_sums(cut(histogram(lengths(table(spark, sf_dir, "documents")))))
+    each = answers(sums).select(F.lit("length").alias("kind"), "*")
+    context = truncated_totals(sums, LIMITS).select(F.lit("context").alias("kind"), "source", "limit", F.col("tokens").alias("tokens_truncated"))
+    shares = quantiles(sums, POINTS).select(F.lit("quantile").alias("kind"), "source", F.col("n_tokens").alias("limit"), F.col("point").alias("quantile"))
+    return each.unionByName(context, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True)
