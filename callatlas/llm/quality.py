@@ -162,6 +162,14 @@ def calibrate(scored: DataFrame, most_lost: float = 0.001) -> list[float]:
     return cuts
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """most rows at most, the first by a hash of doc_id and statistics: a threshold from the number of rows lets about twice as
+    many through as are taken, and only these are sorted."""
+    h = F.xxhash64("doc_id", *STATS)
+    share = min(1.0, (2 * most + 200) / max(1, rows.count()))
+    return rows.where(h <= int(-(2**63) + share * (2**64 - 1025))).orderBy(h, "doc_id", *STATS).limit(most)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, the other statistics, base_failed, anomalies (one a forest) and kept of every document.
 
@@ -173,9 +181,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     s = cut(with_statistics(docs))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     s = s.withColumn("base_failed", failed)
-    part = s.where("not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(SAMPLE).select(*STATS).toPandas()
-    sample = features(part)
-    forests = [grow(sample[:, v], seed=k) for k, v in enumerate(VIEWS)] if len(part) else None
+    part = sample(s.where("not base_failed"), SAMPLE).select(*STATS).toPandas()  # SAMPLE rows at most
+    x = features(part)
+    forests = [grow(x[:, v], seed=k) for k, v in enumerate(VIEWS)] if len(part) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,4 +200,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and verdict, as judge() gives them."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", F.round(F.element_at("anomalies", -1), 9).alias("anomaly"))
