@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -73,6 +74,7 @@ def dictionary_frame(data: bytes) -> bytes:
 def _filesystem(folder: str):
     from pyarrow import fs
 
+    folder = re.sub("^s3[an]://", "s3://", folder)
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
@@ -126,7 +128,7 @@ def write(pages: DataFrame, folder: str, sample: int = 200, dictionary: int = 16
     return pages.select("page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
-def frames(stream, block: int = 1 << 20) -> Iterator[bytes]:
+def frames(stream, block: int = 1 << 16) -> Iterator[bytes]:
     """The records of an archive, one frame each, read in blocks; ValueError for a frame that is cut short."""
     start = stream.read(8)
     kind, size = struct.unpack("<II", start) if len(start) == 8 else (0, 0)
@@ -181,17 +183,29 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """pages with payload_digest, payload_bytes and refers_to (null for a response).
 
-    Of equal payloads of least bytes or more, the row with the largest page_id is the response. Rows with a null page_id,
-    and repeats of the response's own page_id, are responses. Null html is an empty payload.
+    Of equal payloads of least bytes or more, the row with the largest page_id is the response and all others refer to it,
+    those with a null page_id too; where all page_ids are null there is nothing to refer to, and all are responses. Of
+    several rows with that page_id, the one with the least url is the response (any one of equal rows). Null html is an
+    empty payload. No rows: none.
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     d = pages.select("page_id", "url", "html", F.sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    long = d.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("same")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    j = d.join(long, d["payload_digest"] == long["same"], "left")
-    return j.select(*d.columns, F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    ids = d.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    same = ids.groupBy(F.col("payload_digest").alias("same")).agg(F.max(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("all"))
+    same = same.where("all > 1 and first.page_id is not null").select("same", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("firsts"))
+    j = d.join(same, d["payload_digest"] == same["same"], "left")
+    repeats = F.coalesce((F.col("page_id") == F.col("first_id")) & (F.col("firsts") > 1), F.lit(False))
+    plain = j.where(~repeats).select(*d.columns, F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    # equal rows are counted before they meet, and each is a record again
+    many = j.where(repeats).groupBy("page_id", "url", "payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.min("html").alias("html"))
+    least_url = many.groupBy(F.col("payload_digest").alias("own")).agg(F.min(F.struct(F.col("url").isNotNull().alias("known"), "url")).alias("least"))
+    many = many.join(least_url, F.col("payload_digest") == F.col("own")).withColumn("k", F.explode(F.expr("sequence(1L, n)")))
+    response = (F.col("k") == 1) & F.col("url").eqNullSafe(F.col("least.url"))
+    return plain.union(many.select(*d.columns, F.when(~response, F.col("page_id")).alias("refers_to")))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back, as with_revisits() marks them; no rows: none."""
     shared_dir(spark)
     folder = new_folder(spark, "warc")
     pages = with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -207,9 +221,9 @@ with p as (
   select page_id, url, encode(coalesce(html, '')) as b from pages),
 q as (select page_id, url, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest from p),
 r as (
-  select *, max(page_id) over (partition by payload_digest) as m from q)
+  select *, max(page_id) over (partition by payload_digest) as m, row_number() over (partition by payload_digest, page_id order by url nulls first) as k from q)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 1000 and page_id <> m then m end as refers_to, url
+  case when payload_bytes >= 1000 and m is not null and (page_id is distinct from m or k > 1) then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and (page_id is distinct from m or k > 1) then m end as refers_to, url
 from r
 """
