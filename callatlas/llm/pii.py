@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from .common import table
 ROUNDS = 8
 #: Days that are permuted: 1900-01-01 to 2099-12-31 are 73049 = 229 * 319 days.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
-#: What is looked for, first match first: e-mail addresses, dates, IPv4 addresses, phone numbers, digit groups.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: What is looked for, first match first: e-mail addresses, dates, IPv4 addresses, phone numbers, digit groups. All repeats of
+#: groups are bounded and a match starts at the start of a run, so that no text takes more than linear time or a deep stack.
+#: A name before the @ has 64 characters at most; of a domain, eight labels of 63 and the one after them count.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,63}"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-])"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])"
@@ -84,7 +88,7 @@ def _email_part(c: str, key: str, back: bool) -> str:
 
 def kind(m: str) -> str:
     """SQL: what a match is once validated, or null. Dates exist in the calendar and lie in the range, addresses have four
-    parts up to 255, cards pass Luhn, IBANs pass modulo 97, social security numbers have no zero or reserved group."""
+    parts up to 255 without leading zeros, cards pass Luhn, IBANs pass modulo 97, social security numbers have no zero or reserved group."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     iban = f"regexp_replace({m}, ' ', '')"
     mod97 = f"aggregate(split(concat(substring({iban}, 5), left({iban}, 4)), ''), 0, (t, c) -> pmod(if(c rlike '[A-Z]', t * 100 + ascii(c) - 55, t * 10 + coalesce(try_cast(c as int), 0)), 97))"
@@ -92,7 +96,7 @@ def kind(m: str) -> str:
     return f"""case
       when {full(EMAIL)} then 'email'
       when {full(DATE)} then if({_day(m)} between 0 and {DAYS[0] * DAYS[1] - 1}, 'date', null)
-      when {full(IPV4)} then if(forall(split({m}, '[.]'), o -> cast(o as int) <= 255), 'ipv4', null)
+      when {full(IPV4)} then if(forall(split({m}, '[.]'), o -> cast(o as int) <= 255 and (o = '0' or left(o, 1) <> '0')), 'ipv4', null)
       when {full(SSN)} then if({m} rlike r'^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', 'ssn', null)
       when {full(PHONE)} then if(length({digits}) between 7 and 15, 'phone', null)
       when {full(IBAN)} then if(length({iban}) between 15 and 34 and {mod97} = 1, 'iban', null)
@@ -125,28 +129,31 @@ def pseudonym(m: str, k: str, key: str, back: bool = False) -> str:
     return f"case {k} when 'card' then {card} when 'phone' then {phone} when 'date' then {date} when 'ipv4' then {ip} when 'ssn' then {ssn} when 'iban' then {iban} when 'email' then {mail} else {m} end"
 
 
-def pseudonymised(docs: DataFrame, key: str = "documents", column: str = "text", back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, column: str = "text", back: bool = False) -> DataFrame:
     """docs with the text's validated personal numbers, dates and addresses replaced, and pii_found, an array of
     (kind, length) in order of place.
 
     Each value is permuted within its format under the key, so it is the same in all documents, and back undoes it (for
     mail addresses up to letter case). Matches that fail validation stay. Null and empty texts stay and find nothing. Equal
-    rows give equal rows. No rows: none. Other columns are carried along; one named pii_found is replaced.
+    rows give equal rows. No rows: none. Other columns are carried along, whatever their names; one named pii_found is
+    replaced. Only a digest of the key is in the plan.
     """
-    c = f"`{column}`"
-    hit = F.col(column).rlike("[0-9]") | F.col(column).contains("@")
-    d = docs.withColumn("pii_parts", F.when(hit, F.expr(f"regexp_extract_all({c}, {_sql(ANY)}, 0)")))
-    some = F.size("pii_parts") > 0
-    d = d.withColumn("pii_new", F.when(some, F.expr(f"transform(pii_parts, m -> {_let('k', kind('m'), 'named_struct(' + repr('k') + ', k, ' + repr('n') + ', length(m), ' + repr('t') + ', ' + pseudonym('m', 'k', key, back) + ')')})")))
-    between = F.expr(f"split({c}, {_sql(ANY)}, -1)")
+    secret = hashlib.sha256(key.encode()).hexdigest()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{column}`").alias("t"))
+    hit = F.col("t").rlike("[0-9]") | F.col("t").contains("@")
+    d = d.withColumn("parts", F.when(hit, F.expr(f"regexp_extract_all(t, {_sql(ANY)}, 0)")))
+    some = F.size("parts") > 0
+    d = d.withColumn("new", F.when(some, F.expr(f"transform(parts, m -> {_let('k', kind('m'), 'named_struct(' + repr('k') + ', k, ' + repr('n') + ', length(m), ' + repr('t') + ', ' + pseudonym('m', 'k', secret, back) + ')')})")))
     # pieces between the matches and the matches themselves take turns
-    joined = F.expr("array_join(transform(pii_between, (b, i) -> concat(b, coalesce(get(pii_new, i).t, ''))), '')")
-    d = d.withColumn("pii_between", F.when(some, between))
-    d = d.withColumns({column: F.when(some, joined).otherwise(F.col(column)), "pii_found": F.coalesce(F.expr("transform(filter(pii_new, x -> x.k is not null), x -> struct(x.k as kind, x.n as length))"), F.expr("cast(array() as array<struct<kind: string, length: int>>)"))})
-    return d.drop("pii_parts", "pii_new", "pii_between")
+    d = d.withColumn("between", F.when(some, F.expr(f"split(t, {_sql(ANY)}, -1)")))
+    joined = F.expr("array_join(transform(between, (b, i) -> concat(b, coalesce(get(new, i).t, ''))), '')")
+    text = F.when(some, joined).otherwise(F.col("t")).alias(column)
+    found = F.coalesce(F.expr("transform(filter(new, x -> x.k is not null), x -> struct(x.k as kind, x.n as length))"), F.expr("cast(array() as array<struct<kind: string, length: int>>)"))
+    return d.select(*[text if c == column else F.col(f"row.`{c}`") for c in docs.columns if c != "pii_found"], found.alias("pii_found"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's text with pseudonyms under a key of the given tables, and the numbers of values by kind."""
+    d = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="given tables")
     kinds = [F.expr(f"size(filter(pii_found, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in ("email", "date", "ipv4", "phone", "ssn", "iban", "card")]
     return d.select("doc_id", *kinds, "text")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, pieces, table
 from .lines import doc_key
 
 ZERO = np.uint64(0)
@@ -40,7 +40,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42, keyed: b
     more = [F.unhex(doc_key()).alias("doc_key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             key = [b.column("doc_key")] if keyed else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps), *key], ["doc_id", "fp", *["doc_key"] * keyed])
@@ -208,10 +208,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42)
     found = _near(cut(with_fingerprint(docs, shingle, seed, keyed=True)), radius)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key")
     stay = found.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.doc_key").alias("kept_key"))
-    rows = docs.withColumn("near_key", F.unhex(doc_key()))
-    return rows.join(stay, F.col("near_key") == F.col("kept_key"), "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(doc_key()).alias("near_key"))
+    return rows.join(stay, F.col("near_key") == F.col("kept_key"), "left_semi").dropDuplicates(["near_key"]).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component, as near_duplicates() gives them."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

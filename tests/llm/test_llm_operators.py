@@ -1,9 +1,11 @@
 """Operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import datetime
 import hashlib
 import io
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from callatlas.llm import common, counts, covertree, lines, mixing, pii, quality, simhash, toxicity, warc
+from callatlas.llm import common, counts, covertree, lines, mixing, pii, quality, simhash, similar, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,12 +47,13 @@ def test_words_are_split_at_ascii_space_only():
 
 def test_archives_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 600
-    pages = [(1, "u1", big), (2, "u2", big), (3, "u3", "short"), (4, "u4", "short"), (5, None, None), (6, "u\r\n6", ""), (None, "n", big)]
+    pages = [(1, "u1", big), (2, "u2", big), (3, "u3", "short"), (4, "u4", "short"), (5, None, None), (6, "u\r\n6", ""), (None, "n", big), (2, "u1b", big), (2, "u2", big)]
     df = warc.with_revisits(spark.createDataFrame(pages, "page_id long, url string, html string"))
     folder = str(tmp_path / "w")
     listed = spark.createDataFrame(warc.write(df, folder).collect(), "path string, records long, bytes long")
-    got = sorted(warc.read(listed, folder).collect(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
-    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == [(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "response", None)]
+    got = sorted(warc.read(listed, folder).collect(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["url"]))
+    want = [(1, "revisit", 2), (2, "response", None), (2, "revisit", 2), (2, "revisit", 2), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 2)]
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == want and got[1]["url"] == "u1b"
     for r in got:
         html = next(h for i, _, h in pages if i == r["page_id"]) or ""
         assert r["payload_bytes"] == len(html.encode()) and r["payload_digest"] == hashlib.sha1(html.encode()).hexdigest()
@@ -168,7 +171,7 @@ TEXT = "call +1 (974) 555-3436 or und.34@mail7.example.com from 97.51.17.173 on
 def test_pseudonyms_keep_format_link_equal_values_and_can_be_undone(spark):
     rows = [(1, TEXT, "a"), (2, "again 4111-1111-1111-1111 and 97.51.17.173", "a"), (3, None, None), (4, "", "b"), (5, "1234", "b"), (1, TEXT, "a")]
     d = make_docs(spark, rows)
-    p = pii.pseudonymised(d)
+    p = pii.pseudonymised(d, "k1")
     got = p.collect()
     new = [r["text"] for r in got if r["doc_id"] == 1][0]
     assert new != TEXT and re.sub(r"[0-9]", "9", new.replace("vno", "und")).count("9") > 40
@@ -178,11 +181,102 @@ def test_pseudonyms_keep_format_link_equal_values_and_can_be_undone(spark):
     assert total % 10 == 0
     other = next(r["text"] for r in got if r["doc_id"] == 2)
     assert re.search(r"[\d-]{19}", other)[0].replace("-", "") == digits and re.search(r"from (\S+)", new)[1] in other
-    back = {(r["doc_id"], r["text"]) for r in pii.pseudonymised(p, back=True).collect()}
+    back = {(r["doc_id"], r["text"]) for r in pii.pseudonymised(p, "k1", back=True).collect()}
     assert back == {(i, t) for i, t, _ in rows}
     assert pii.pseudonymised(d, key="other").where("doc_id = 1").first()["text"] != new
 
 
+def test_no_text_is_slow_or_deep_for_the_patterns(spark):
+    texts = ["a" * 1_000_000 + " @", "a@" + "b." * 100_000 + "com", "1" * 1_000_000, "1 " * 200_000, "a@" * 200_000, "+1 " * 100_000, "x" * 65 + "@b.com", "010.01.1.1 1.2.3.4"]
+    began = time.time()
+    got = [r["text"] for r in pii.pseudonymised(make_docs(spark, [(k, t, "a") for k, t in enumerate(texts)]), "k'1\\").orderBy("doc_id").collect()]
+    assert time.time() - began < 60 and got[:1] == texts[:1] and got[6] == texts[6]
+    assert got[7].startswith("010.01.1.1 ") and got[7] != texts[7]
+
+
+def test_clashing_columns_stay(spark):
+    names = ["parts", "new", "between", "row", "t", "doc_key", "drops", "key", "size", "b_source", "mix_flag", "tox_key", "near_key", "a.b"]
+    d = make_docs(spark, [(1, "one line of words\nmail a@b.com", "a"), (None, None, None), (2, "", "b")])
+    for k, n in enumerate(names):
+        d = d.withColumn(n, F.lit(k))
+    kept = lambda out: sorted(tuple(r[n] for n in names) for r in out.collect())
+    want = [tuple(range(len(names)))] * 3
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out in (pii.pseudonymised(d, "k"), lines.dedup(d, short=True), mixing.mix(d), toxicity.without_toxic(d, labels)):
+        assert kept(out) == want
+    assert kept(simhash.keep_one(d)) == want[:2] and kept(similar.keep_one(d)) == want[:2]
+
+
+def feistel(left, right, a, b, tweak, key):
+    """The permutation in plain Python."""
+    for i in range(pii.ROUNDS):
+        h = int(hashlib.sha256(f"{key}|{tweak}|{i}|{right if i % 2 == 0 else left}".encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            left = (left + h % a) % a
+        else:
+            right = (right + h % b) % b
+    return left, right
+
+
+def moved(digits, tweak, key):
+    n = len(digits) // 2
+    x, y = feistel(int(digits[:n] or 0), int(digits[n:] or 0), 10**n, 10 ** (len(digits) - n), f"{tweak}{len(digits)}", key)
+    return (str(x).zfill(n) if n else "") + str(y).zfill(len(digits) - n)
+
+
+def brute_pseudonym(m, key):
+    """The pseudonym of a card number, address of four parts or date that is valid, else the match."""
+    digits = re.sub(r"\D", "", m)
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", m):
+        try:
+            day = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return m
+        x, y = feistel(day // 319, day % 319, 229, 319, "date", key)
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(x * 319 + y)).isoformat() if 0 <= day < 73051 else m
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        o = m.split(".")
+        if any(int(x) > 255 or (x[0] == "0" and x != "0") for x in o):
+            return m
+        a, b, c, e = map(int, o)
+        x, y = feistel(a * 256 + b, c * 256 + e, 65536, 65536, "ipv4", key)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    check = lambda d: str(-sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10)
+    if not 13 <= len(digits) <= 19 or check(digits[:-1]) != digits[-1]:
+        return m
+    body = moved(digits[:-1], "card", key)
+    new = iter(body + check(body))
+    return "".join(next(new) if c.isdigit() else c for c in m)
+
+
+def test_pseudonyms_are_brute_force_on_documents(spark):
+    key = hashlib.sha256(b"k2").hexdigest()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.union(make_docs(spark, [(10**6 + k, t, "a") for k, t in enumerate(["10.0.0.1 on 2024-02-29 with 4111 1111 1111 1111, 2023-02-29, 256.1.1.1", "4111111111111111 4111-1111-1111-1112 0.0.0.0 1899-12-31"])]))
+    want = Counter()
+    for r in docs.collect():
+        for m in re.finditer(pii.ANY, r["text"] or "", re.ASCII):
+            if (kind := brute_kind(m[0])) in ("card", "ipv4", "date"):
+                want[r["doc_id"], kind, brute_pseudonym(m[0], key)] += brute_pseudonym(m[0], key) != m[0]
+    text = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, "k2").collect()}
+    assert sum(want.values()) >= 5
+    for (i, _, new), n in want.items():
+        assert not n or new in text[i], (i, new)
+    found = Counter((r["doc_id"], x["kind"]) for r in pii.pseudonymised(docs, "k2").collect() for x in r["pii_found"] if x["kind"] in ("card", "ipv4", "date"))
+    for (i, kind, _), n in want.items():
+        assert not n or found[i, kind] >= 1
+
+
+def brute_kind(m):
+    if "@" in m:
+        return "email"
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", m):
+        return "date"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        return "ipv4"
+    return "card" if re.fullmatch(r"[\d -]+", m) and 13 <= len(re.sub(r"\D", "", m)) <= 19 else None
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(91).selectExpr("id div 13 as l", "id % 13 as r")
     x = d.withColumn("s", F.expr(pii.feistel("l", "r", "7", "13", "k", "'t'")))
