@@ -29,7 +29,8 @@ class Node:
 
 def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
     """Nodes are split over a net of centres taken farthest first, until all their points lie within half the radius of a
-    centre, or fan centres are taken; so children are apart by more than they cover. Covering radii are exact."""
+    centre, or fan centres are taken; so children are apart by more than they cover. Covering radii are exact. A node of
+    leaf points, or of four times as many that lie in no groups, is not split."""
 
     def distances(rows: np.ndarray, at: int) -> np.ndarray:
         d = points[rows] - points[at]
@@ -50,6 +51,8 @@ def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
             nearer = d < best
             owner[nearer], best[nearer] = len(centres), d[nearer]
             centres.append(at)
+        if len(node.rows) <= 4 * leaf and 4 * len(centres) > len(node.rows):
+            continue  # no groups in it: parts would bound no better than the whole
         for k, at in enumerate(centres):
             mine = owner == k
             if mine.any():
@@ -61,11 +64,12 @@ def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
 
 
 class Top:
-    """The k best (score, vec_id) of each query so far; ties to the smaller vec_id."""
+    """The k best (score, vec_id) of each query so far; ties to the smaller vec_id. least: scores below it are not wanted."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
         self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.worst = np.full(n, -np.inf)
+        self.least = np.full(n, -np.inf) if least is None else least
+        self.worst = self.least.copy()
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.score.shape[1]
@@ -81,51 +85,82 @@ class Top:
         i = np.concatenate((self.id[rows], np.broadcast_to(ids, scores.shape)), axis=1)
         order = np.lexsort((i, -s), axis=1)[:, :k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        self.worst[rows] = self.score[rows, -1]
+        self.worst[rows] = np.maximum(self.score[rows, -1], self.least[rows])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, tree: Node, top: Top, leaf: int = 128) -> None:
-    """Dual-tree search: a pair of nodes is pruned when no inner product in it can reach the worst kth score of the queries
-    below; <q, c> <= <q0, c0> + R|q0| + r|c0| + rR for balls (q0, r) and (c0, R). Best pairs come first."""
+def bounds(q: Node, nodes: list[Node]) -> np.ndarray:
+    """No inner product of a point below q and one below each node is larger: <q, c> <= <q0, c0> + r|q0| + R|c0| + rR for balls
+    (q0, R) and (c0, r)."""
+    c = np.stack([x.centre for x in nodes])
+    r = np.array([x.radius for x in nodes])
+    b = c @ q.centre + r * q.norm + q.radius * np.array([x.norm for x in nodes]) + q.radius * r
+    return b + 1e-9 * np.abs(b) + 1e-6
 
-    def bounds(q: Node, nodes: list[Node]) -> np.ndarray:
-        c = np.stack([x.centre for x in nodes])
-        r = np.array([x.radius for x in nodes])
-        b = c @ q.centre + r * q.norm + q.radius * np.array([x.norm for x in nodes]) + q.radius * r
-        return b + 1e-9 * np.abs(b) + 1e-6
+
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, tree: Node, top: Top, leaf: int = 8) -> dict[str, int]:
+    """Dual-tree search: queries and data are descended together, and a pair of nodes is pruned when its bound is below the
+    worst kth score of the queries under it. Each group of queries first meets the leaf that lies best for it, so that
+    kth scores are there before pairs are judged; then best pairs come first. Gives the numbers of pairs met, pruned
+    and scored (pairs of nodes, the last of vectors)."""
+    told = {"met": 0, "pruned": 0, "scored": 0}
+    if not len(queries) or not len(data):
+        return told
+
+    def score(q: Node, x: Node) -> None:
+        s = queries[q.rows] @ data[x.rows].T
+        s[query_ids[q.rows][:, None] == ids[x.rows][None, :]] = -np.inf
+        told["scored"] += s.size
+        top.offer(q.rows, s, ids[x.rows])
+
+    def under(q: Node) -> np.ndarray:
+        """The rows below q, kept with it."""
+        if q.rows is None:
+            q.rows = np.concatenate([under(c) for c in q.children])
+        return q.rows
+
+    def seed(q: Node) -> None:
+        if q.children:
+            for c in q.children:
+                seed(c)
+            return
+        x = tree
+        while x.children:
+            x = x.children[int(np.argmax(bounds(q, x.children)))]
+        first[id(q)] = x
+        score(q, x)
 
     def walk(q: Node, frontier: list[Node]) -> None:
+        """frontier: nodes of the data, none above another, that can matter to q."""
         if q.children:
-            wider = [c for x in frontier for c in (x.children or [x])]
-            bound = bounds(q, wider)
             for child in q.children:
-                rows = under(child)
-                keep = bound >= top.worst[rows].min()
-                walk(child, [x for x, k in zip(wider, keep, strict=True) if k])
-            return
-        if not frontier:
+                wider = [c for x in frontier for c in (x.children or [x])]
+                keep = bounds(child, wider) >= top.worst[under(child)].min()
+                told["met"] += len(wider)
+                told["pruned"] += len(wider) - int(keep.sum())
+                if keep.any():
+                    walk(child, [x for x, k in zip(wider, keep, strict=True) if k])
             return
         turn = count()
         heap = [(-b, next(turn), x) for b, x in zip(bounds(q, frontier).tolist(), frontier, strict=True)]
         heapq.heapify(heap)
-        mine, own = queries[q.rows], query_ids[q.rows]
+        told["met"] += len(heap)
         while heap:
             b, _, x = heapq.heappop(heap)
             if -b < top.worst[q.rows].min():
+                told["pruned"] += len(heap) + 1
                 return
             if x.children:
+                told["met"] += len(x.children)
                 for c, v in zip(x.children, bounds(q, x.children).tolist(), strict=True):
                     heapq.heappush(heap, (-v, next(turn), c))
-            else:
-                s = mine @ data[x.rows].T
-                s[own[:, None] == ids[x.rows][None, :]] = -np.inf
-                top.offer(q.rows, s, ids[x.rows])
-
-    def under(q: Node) -> np.ndarray:
-        return q.rows if not q.children else np.concatenate([under(c) for c in q.children])
+            elif x is not first[id(q)]:
+                score(q, x)
 
-    if len(queries) and len(data):
-        walk(cover_tree(queries, leaf), [tree])
+    first: dict[int, Node] = {}
+    root = cover_tree(queries, leaf)
+    seed(root)
+    walk(root, [tree])
+    return told
 
 
 def vectors(table_: DataFrame) -> DataFrame:
@@ -135,53 +170,144 @@ def vectors(table_: DataFrame) -> DataFrame:
     return table_.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * 64)).alias("v"))
 
 
-def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, block: int = 2048) -> DataFrame:
+def matrices(ids: pa.Array, v: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vector: places in the input, ids and the matrix."""
+    size = v.value_lengths().to_numpy(zero_copy_only=False)
+    flat, start = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
+    own = ids.to_numpy(zero_copy_only=False)
+    return {int(d): (at := np.flatnonzero(size == d), own[at], flat[(start[at][:, None] + np.arange(d)).ravel()].reshape(len(at), d)) for d in np.unique(size)}
+
+
+class Cells:
+    """Pivots, by length of vector, and the cells of the vectors nearest to each; once known, their shards and radii."""
+
+    def __init__(self, ids: pa.Array, v: pa.Array, most: int):
+        self.pivots, n = {}, 0
+        for d, (_, _, x) in matrices(ids, v).items():
+            x = x[:: max(1, -(-len(x) // most))]
+            self.pivots[d] = (n, x)
+            n += len(x)
+        self.first, self.parts, self.radius = {}, {}, {}
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance from its pivot) of vectors of one length; a length without pivots is a cell of its own."""
+        d = x.shape[1]
+        if d not in self.pivots:
+            return np.full(len(x), -1 - d), np.zeros(len(x))
+        n, p = self.pivots[d]
+        at = np.argmax(x @ p.T - 0.5 * np.einsum("ij,ij->i", p, p), axis=1)
+        diff = x - p[at]
+        return n + at, np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+    def reached(self, x: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(rows, cell) for each cell that can hold a score of least or more for the queries x of one length."""
+        d = x.shape[1]
+        if d not in self.pivots:
+            if -1 - d in self.first:
+                yield np.arange(len(x)), -1 - d
+            return
+        n, p = self.pivots[d]
+        norm, dots = np.sqrt(np.einsum("ij,ij->i", x, x)), x @ p.T
+        for k in range(len(p)):
+            if n + k in self.first:
+                bound = dots[:, k] + norm * self.radius[n + k]
+                yield np.flatnonzero(bound + 1e-9 * np.abs(bound) + 1e-6 >= least), n + k
+
+
+def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, block: int = 2048, pivots: int = 256, sample: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products of each query; ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by every; all other rows are candidates. The data is dealt by hash into
-    shards of about shard rows, each with a cover tree of its own; the query set goes to every shard and is searched
-    there in blocks of block rows. A shard sends its k best a query, and the best of these are taken. Vectors of different
-    lengths have no inner product and do not meet. Repeated vec_ids are candidates each, but not for a query with their
-    own id. Components are exact up to 2**20 in size. Fewer candidates than k: all. No rows: none.
+    Queries are the rows whose vec_id is divisible by every; all other rows are candidates. Vectors lie in cells around
+    pivots, which come from a sample of sample vectors by hash; a cell of more than shard rows is divided by hash. Each
+    shard is a cover tree in one task, and queries come to it in blocks of block rows, each a tree of its own. A query
+    is searched first in its own shard, which gives it a kth score, then in those shards only whose cell can reach that
+    score. A shard sends its k best a query, and the best of these are taken. Vectors of different lengths have no inner
+    product and do not meet. Repeated vec_ids are candidates each, but not for a query with their own id. Components
+    are exact up to 2**20 in size. Fewer candidates than k: all. No rows: none.
+    """
+    n = rows.count()
+    h = F.xxhash64("vec_id")
+    some = rows.where(h <= int(-(2**63) + min(1.0, (2 * sample + 200) / max(1, n)) * (2**64 - 1025))).orderBy(h, "vec_id").limit(sample).toArrow()  # sample rows at most
+    cells = Cells(*[pa.concat_arrays(some.column(c).chunks) if some.num_rows else pa.array([], t) for c, t in (("vec_id", pa.int64()), ("v", pa.list_(pa.int64())))], min(pivots, max(1, 4 * n // shard)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, far = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for at, _, x in matrices(b.column("vec_id"), b.column("v")).values():
+                cell[at], far[at] = cells.of(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], ["vec_id", "v", "cell", "far"])
+
+    placed = cut(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, cell long, far double"))
+    shards = 0
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").collect():  # a row a pivot
+        cells.first[r["cell"]], cells.parts[r["cell"]], cells.radius[r["cell"]] = shards, -(-r["n"] // shard), r["far"]
+        shards += cells.parts[r["cell"]]
+    known = placed.sparkSession.createDataFrame([(c, cells.first[c], cells.parts[c]) for c in cells.first], "own_cell long, first int, parts int")
+    home = placed.join(F.broadcast(known), F.col("cell") == F.col("own_cell"))
+    home = home.select((F.col("first") + F.pmod(h, F.col("parts")).cast("int")).alias("s"), "vec_id", "v")
+    data = home.select("s", F.lit(0).alias("kind"), "vec_id", "v", F.lit(float("-inf")).alias("least"))
+    asked = home.where(F.col("vec_id") % every == 0)
+    own = cut(_searched(data, asked.select("s", F.lit(1).alias("kind"), "vec_id", "v", F.lit(float("-inf")).alias("least")), shards, k, block))
+    kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+    seeded = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("s", "vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                mine, least = b.column("s").to_numpy(), b.column("least").to_numpy()
+                for at, _, x in matrices(b.column("vec_id"), b.column("v")).values():
+                    for rows_, cell in cells.reached(x, least[at]):
+                        for s in range(cells.first[cell], cells.first[cell] + cells.parts[cell]):
+                            to = at[rows_]
+                            to = to[mine[to] != s]
+                            if len(to):
+                                t = b.take(pa.array(to))
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), s, np.int32)), pa.array(np.ones(len(to), np.int32)), t.column("vec_id"), t.column("v"), t.column("least")], ["s", "kind", "vec_id", "v", "least"])
+
+    routed = seeded.mapInArrow(route, "s int, kind int, vec_id long, v array<long>, least double")
+    found = own.union(_searched(data, routed, shards, k, block))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(data: DataFrame, asked: DataFrame, shards: int, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): of each shard, the k best of the queries asked of it, of least or more.
+
+    Shards are dealt out by range, so that tasks hold about as many rows each, and data comes before queries.
     """
-    rows = cut(rows)
-    n = max(1, -(-rows.count() // shard))
-    home = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("s"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"), F.lit(1).alias("kind"), "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[int, tuple] = {}
         now, data, held = None, [], []
 
-        def matrix(part: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-            t = pa.Table.from_batches(part)
-            ids, v = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
-            v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-            size = v.value_lengths().to_numpy(zero_copy_only=False)
-            flat, start = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
-            return {int(d): (ids[at := np.flatnonzero(size == d)], flat[(start[at][:, None] + np.arange(d)).ravel()].reshape(len(at), d)) for d in np.unique(size)}
+        def joined(part: list[pa.RecordBatch]):
+            t = pa.Table.from_batches(part).combine_chunks()
+            one = [pa.concat_arrays(c.chunks) for c in t.columns]
+            return one[t.schema.get_field_index("least")].to_numpy(), matrices(one[t.schema.get_field_index("vec_id")], one[t.schema.get_field_index("v")])
 
         def plant():
             nonlocal data
             if data:
-                for d, (ids, v) in matrix(data).items():
-                    trees[d] = (ids, v, cover_tree(v, 512))
+                for d, (_, ids, v) in joined(data)[1].items():
+                    trees[d] = (ids, v, cover_tree(v, 128))
                 data = []
 
         def answer() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if held:
-                for d, (ids, v) in matrix(held).items():
+                least, by = joined(held)
+                for d, (at, ids, v) in by.items():
                     if d in trees:
                         own, x, tree = trees[d]
-                        top = Top(len(ids), k)
+                        top = Top(len(ids), k, least[at])
                         search(v, ids, x, own, tree, top)
                         q, r = np.nonzero(np.isfinite(top.score))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(top.id[q, r]), pa.array(top.score[q, r].astype(np.int64))], ["query_id", "vec_id", "score"])
                 held = []
 
         for b in batches:
-            key = b.column("s").to_numpy() * 2 + b.column("kind").to_numpy()
+            key = b.column("s").to_numpy().astype(np.int64) * 2 + b.column("kind").to_numpy()
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0]
             for a, z in zip(edges, edges[1:], strict=False):
                 s, kind = divmod(int(key[a]), 2)
@@ -199,12 +325,11 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, bloc
                         yield from answer()
         yield from answer()
 
-    found = home.union(asked).repartition(n, "s").sortWithinPartitions("s", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return data.union(asked).repartitionByRange(max(1, shards), "s").sortWithinPartitions("s", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def op3_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every twentieth vector, as top_k() gives them."""
     return top_k(vectors(table(spark, sf_dir, "embeddings")))
 
 

@@ -104,9 +104,50 @@ def test_cover_tree_covers_and_separates():
         if n.rows is not None:
             seen += n.rows.tolist()
             assert np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
+        if n.children:
+            c = np.stack([y.centre for y in n.children])
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.eye(len(c)) * 1e9
+            assert apart.min() >= max(y.radius for y in n.children) - 1e-9 and max(y.radius for y in n.children) < n.radius
+            assert (np.abs(c - n.centre).sum(1) < 1e-9).any()  # a node's centre is a child's too
     assert sorted(seen) == list(range(500))
 
 
+def clustered(n, dims, groups, seed=0):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(groups, dims))
+    centres *= 64 / np.sqrt((centres**2).sum(1))[:, None]
+    return np.floor(centres[r.integers(groups, size=n)] + r.normal(size=(n, dims)))
+
+
+def test_node_pairs_are_pruned_on_clustered_vectors():
+    x = clustered(8192, 32, 60)
+    ids = np.arange(len(x))
+    q = ids % 20 == 0
+    top = covertree.Top(int(q.sum()), 20)
+    told = covertree.search(x[q], ids[q], x, ids, covertree.cover_tree(x, 128), top)
+    assert told["pruned"] > 0 and told["scored"] < 0.4 * q.sum() * len(x)
+    s = x[q] @ x.T
+    s[np.arange(q.sum()), ids[q]] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :20]
+    assert (top.id == want).all()
+
+
+def test_queries_go_only_to_cells_that_can_matter(spark):
+    x = clustered(4000, 16, 40, seed=3)
+    v = pa.array([[int(c) for c in row] for row in x], pa.list_(pa.int64()))
+    cells = covertree.Cells(pa.array(range(len(x))), v, 40)
+    cell, far = cells.of(x)
+    for c in np.unique(cell):
+        cells.first[c], cells.parts[c], cells.radius[c] = int(c), 1, far[cell == c].max()
+    s = x[:200] @ x.T
+    kth = -np.sort(-s, axis=1)[:, 19]
+    sent = sum(len(rows) for rows, _ in cells.reached(x[:200], kth))
+    assert sent < 0.5 * 200 * len(cells.first)
+    for rows, c in cells.reached(x[:200], kth):
+        left_out = np.setdiff1d(np.arange(200), rows)
+        assert not (s[left_out][:, cell == c] >= kth[left_out][:, None]).any()
+
+
 # --- op5
 
 
