@@ -44,7 +44,7 @@ def judged(m: DataFrame, tolerance: float = 0.25, require_speaker: bool = False)
 def scores(j: DataFrame, *by: str) -> DataFrame:
     """Shares over all true events, by call or for the corpus; nothing to average is NaN."""
     share = lambda c: nan_if_none(F.sum(c) / F.count("*"))
-    return j.groupBy(*by).agg(share("all_ok").alias("avaga"), share("point_ok").alias("point_hit"), share("action_ok").alias("action_accuracy"), share("time_ok").alias("time_success"), share("phrase").alias("phrase_recall"), nan_if_none(F.avg("off_px")).alias("mean_px"), nan_if_none(F.percentile("off_px", F.lit(0.95))).alias("p95_px"), F.count("*").alias("n"))
+    return j.groupBy(*by).agg(share("all_ok").alias("all_right"), share("point_ok").alias("point_hit"), share("action_ok").alias("action_accuracy"), share("time_ok").alias("time_success"), share("phrase").alias("phrase_recall"), nan_if_none(F.avg("off_px")).alias("mean_px"), nan_if_none(F.percentile("off_px", F.lit(0.95))).alias("p95_px"), F.count("*").alias("n"))
 
 
 def factual_precision(events: DataFrame, *by: str) -> DataFrame:

@@ -47,6 +47,25 @@ PAIRS = """pairs as (select r.call_id, r.ref_seq, c.vis_seq, r.anchor_s, c.time_
 CLICKY = "('click','double_click','right_click','tap','select')"
 SEMANTIC = f"case when spoken_action = action then 1.0 when spoken_action = 'unknown' or action = 'unknown' then 0.5 when spoken_action in {CLICKY} and action in {CLICKY} then 0.7 when spoken_action = 'point' and action in {CLICKY} then 0.5 else 0.25 end"
 SCORED = f"""scored as (select *, least(1, greatest(0, 0.35e0 * exp(-abs(time_s - anchor_s) / 0.75e0) + 0.2e0 * ({SEMANTIC}) + 0.15e0 * (case when x is not null then 1.0 else 0.2 end) + 0.15e0 * ui_interactive_confidence + 0.15e0 * state_change_confidence)) * detector_confidence as score from pairs)"""
+#: One-to-one matching, best score first: a pair is taken where neither side is; the lists are what earlier pairs took.
+BOUND = """ranked as (select *, row_number() over (partition by call_id order by score desc, ref_seq, vis_seq) as k from scored where score >= 0.35),
+ walk as (select distinct call_id, 0::bigint as k, []::bigint[] as heard, []::bigint[] as seen, false as took from ranked
+  union all
+  select r.call_id, r.k, case when free then list_append(heard, r.ref_seq) else heard end, case when free then list_append(seen, r.vis_seq) else seen end, free
+  from (select w.heard, w.seen, r.call_id, r.k, r.ref_seq, r.vis_seq, not list_contains(w.heard, r.ref_seq) and not list_contains(w.seen, r.vis_seq) as free from walk w join ranked r on w.call_id = r.call_id and r.k = w.k + 1) r),
+ bound as (select r.call_id, r.ref_seq, r.vis_seq, r.score from ranked r join walk w using (call_id, k) where took)"""
+
+
+def rounded(x: str) -> str:
+    """Three digits, half to even, of the shortest decimal form of a double."""
+    d = f"({x})::varchar::decimal(30, 18) * 1000"
+    return f"((case when {d} - floor({d}) > 0.5 or ({d} - floor({d}) = 0.5 and floor({d})::bigint % 2 = 1) then floor({d}) + 1 else floor({d}) end)::double / 1000)"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
 BASE = X.derived_sql("instructions", "clicks") + ",\n" + REFS + ",\n" + PAIRS + ",\n" + SCORED
 
 
@@ -75,13 +94,15 @@ def bound(spark, d) -> DataFrame:
     return fusion.resolve(fusion.candidates(r.drop("text", "speaker"), e.drop("start_s", "end_s", "evidence")))
 
 
-@query()
+@query(recursive(BASE + ",\n" + BOUND + " select call_id, ref_seq, vis_seq, round(score, 6) as score from bound"))
 def associations(spark, d):
     """C3"""
     return bound(spark, d).select("call_id", "ref_seq", "vis_seq", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(recursive(BASE + ",\n" + BOUND + """, n as (select call_id, count(*) as n_references, count(distinct speaker) as n_speakers from refs group by 1), v as (select call_id, count(*) as n_events from clicks group by 1),
+ b as (select call_id, count(*) as n_bound, round(avg(score), 6) as mean_score from bound group by 1)
+ select call_id, coalesce(n_references, 0) as n_references, coalesce(n_speakers, 0) as n_speakers, coalesce(n_events, 0) as n_events, coalesce(n_bound, 0) as n_bound, coalesce(n_references, 0) - coalesce(n_bound, 0) as n_unbound, mean_score from n full join v using (call_id) left join b using (call_id)"""))
 def call_binding_summary(spark, d):
     """D7 with C3, C14, C15: per call the references, events, bindings, unbound references and mean score."""
     r, e, b = references(spark, d), events(spark, d), bound(spark, d)
@@ -92,20 +113,12 @@ def call_binding_summary(spark, d):
     return j.select("call_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_references", "n_speakers", "n_events", "n_bound")], (F.coalesce("n_references", F.lit(0)) - F.coalesce("n_bound", F.lit(0))).alias("n_unbound"), "mean_score")
 
 
-@query()
+@query(recursive(BASE + ",\n" + BOUND + " select call_id, ref_seq, spoken_action, 'no_visual_event_found' as relation from refs anti join bound using (call_id, ref_seq)"))
 def unbound_references(spark, d):
     """C15"""
     return fusion.unbound(references(spark, d), bound(spark, d)).select("call_id", "ref_seq", "spoken_action", fusion.relation(F.col("deictic"), F.lit(False)).alias("relation"))
 
 
-@query()
-def event_graph(spark, d):
-    """Grounded events with targets"""
-    e = targets.targets_at_points(events(spark, d), X.derived(spark, d, "elements"))
-    g = fusion.grounded_events(e, bound(spark, d), references(spark, d), X.derived(spark, d, "elements"), X.WIDTH, X.HEIGHT)
-    return g.select("call_id", "vis_seq", "event_id", "type", F.col("temporal.peak_s").alias("peak_s"), F.col("spatial.point_xy_px").alias("point_xy_px"), F.col("target.object_id").alias("object_id"), F.size("audio_references").alias("n_references"), "grounding_status", "overall_confidence")
-
-
 EVIDENCE = "case when point_source is null or point_source = 'vlm_pointing' then case when x is null then 0 else state_change_confidence end when point_source in ('telemetry','cursor_tracker','frame_state_change','sam2') then greatest(detector_confidence, state_change_confidence) end"
 
 
@@ -128,6 +141,22 @@ def point_targets(spark, d):
     return targets.targets_at_points(events(spark, d), X.derived(spark, d, "elements")).select("call_id", "vis_seq", "target_seq")
 
 
+GRAPH = (BASE + ", elements as (" + X.derived_sql("elements").split(" as (", 1)[1] + ",\n" + BOUND + f", early as ({ELEMENT_AT.format(tol='0.6e0', shift='(-0.3e0)')}), late as ({ELEMENT_AT.format(tol='1.0e0', shift='0.0e0')})," + f"""
+ c as (select c.*, coalesce(early.element_seq, late.element_seq) as target_seq, b.ref_seq, b.score, case when x is null then 'unobservable' when point_source in ('telemetry','cursor_tracker','frame_state_change') then 'observed' when point_source = 'sam2' then 'tracked' else 'inferred' end as grounding_status,
+  case when x is null then 0 else coalesce({EVIDENCE}, 0.4) end as spatial, least(1, greatest(0, 0.6e0 * detector_confidence + 0.4e0 * state_change_confidence)) as temporal, row_number() over (partition by c.call_id order by c.time_s, c.vis_seq) - 1 as n
+  from clicks c left join early using (call_id, vis_seq) left join late using (call_id, vis_seq) left join bound b using (call_id, vis_seq)),
+ g as (select *, {rounded('(case when score is null then 0.5e0 * temporal + 0.5e0 * spatial else 0.4e0 * score + 0.3e0 * temporal + 0.3e0 * spatial end)')} as overall_confidence from c)""")
+
+
+@query(recursive(GRAPH + """ select call_id, vis_seq, printf('event_%04d', n) as event_id, action as type, ROUNDED_TIME as peak_s, case when x is not null then [x, y] end as point_xy_px, case when target_seq is not null then printf('ui_%03d', target_seq) end as object_id,
+ case when ref_seq is null then 0 else 1 end as n_references, grounding_status, overall_confidence from g""".replace("ROUNDED_TIME", rounded("time_s"))))
+def event_graph(spark, d):
+    """Grounded events with targets"""
+    e = targets.targets_at_points(events(spark, d), X.derived(spark, d, "elements"))
+    g = fusion.grounded_events(e, bound(spark, d), references(spark, d), X.derived(spark, d, "elements"), X.WIDTH, X.HEIGHT)
+    return g.select("call_id", "vis_seq", "event_id", "type", F.col("temporal.peak_s").alias("peak_s"), F.col("spatial.point_xy_px").alias("point_xy_px"), F.col("target.object_id").alias("object_id"), F.size("audio_references").alias("n_references"), "grounding_status", "overall_confidence")
+
+
 @query(X.derived_sql("instructions", "elements") + ",\n" + REFS + """, p as (select r.call_id, r.ref_seq, e.element_seq, 1 - levenshtein(lower(explicit_target), lower(e.text)) / greatest(length(explicit_target), length(e.text))::double as sim
   from refs r join elements e on r.call_id = e.call_id and r.explicit_target is not null and e.text is not null and e.first_seen_s - 2 <= r.anchor_s and r.anchor_s <= e.last_seen_s + 2)
   select call_id, ref_seq, element_seq, round(sim, 6) as sim from (select *, row_number() over (partition by call_id, ref_seq order by sim desc, element_seq) as k from p where sim >= 0.6) where k = 1""")
@@ -136,7 +165,13 @@ def spoken_target_elements(spark, d):
     return targets.spoken_targets(references(spark, d), X.derived(spark, d, "elements")).select("call_id", "ref_seq", "element_seq", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(X.derived_sql("instructions", "clicks", "elements") + ",\n" + REFS + f", early as ({ELEMENT_AT.format(tol='0.6e0', shift='(-0.3e0)')}), late as ({ELEMENT_AT.format(tol='1.0e0', shift='0.0e0')})," + """
+ p as (select r.call_id, r.ref_seq, r.anchor_s, e.element_seq, 1 - levenshtein(lower(explicit_target), lower(e.text)) / greatest(length(explicit_target), length(e.text))::double as sim
+  from refs r join elements e on r.call_id = e.call_id and r.explicit_target is not null and e.text is not null and e.first_seen_s - 2 <= r.anchor_s and r.anchor_s <= e.last_seen_s + 2),
+ said as (select call_id, ref_seq, anchor_s, element_seq from (select *, row_number() over (partition by call_id, ref_seq order by sim desc, element_seq) as k from p where sim >= 0.6) where k = 1),
+ c as (select c.call_id, c.vis_seq, c.time_s, c.point_source, coalesce(early.element_seq, late.element_seq) as target_seq from clicks c left join early using (call_id, vis_seq) left join late using (call_id, vis_seq)),
+ near as (select c.call_id, c.vis_seq, arg_min(said.element_seq, said.ref_seq) as spoken_seq from c join said on c.call_id = said.call_id and c.target_seq is null and abs(c.time_s - said.anchor_s) <= 2.5 group by 1, 2)
+ select call_id, vis_seq, coalesce(target_seq, spoken_seq) as target_seq, case when point_source is null then 1 else 2 end + case when spoken_seq is null then 0 else 1 end as n_evidence from c left join near using (call_id, vis_seq)""")
 def events_with_spoken_targets(spark, d):
     """Targets by point, then by the spoken word"""
     el = X.derived(spark, d, "elements")
@@ -188,7 +223,8 @@ def fine_over_coarse(spark, d):
     return clicks.fine_over_coarse(e.where("vis_seq % 2 = 0"), e.where("vis_seq % 2 = 1")).select("call_id", "vis_seq", F.round("time_s", 6).alias("time_s"))
 
 
-@query(X.derived_sql("instructions") + """, s as (select call_id, greatest(anchor_s - 1.5e0, 0) as a, least(anchor_s + 2.5e0, 120) as b from instructions), t as (select * from s where b > a),
+@query(X.derived_sql("instructions") + f""", d as (select user_id as call_id, max({X.time_sql()}) + 1 as duration_s from events group by 1),
+ s as (select call_id, greatest(anchor_s - 1.5e0, 0) as a, least(anchor_s + 2.5e0, duration_s) as b from instructions join d using (call_id)), t as (select * from s where b > a),
  r as (select *, max(b) over (partition by call_id order by a, b rows between unbounded preceding and 1 preceding) as reach from t),
  i as (select *, sum(case when reach is null or a > reach + 0.05e0 then 1 else 0 end) over (partition by call_id order by a, b rows unbounded preceding) as island from r)
  select call_id, round(min(a), 6) as from_s, round(max(b), 6) as to_s from i group by call_id, island""")
@@ -201,7 +237,7 @@ def analysis_windows(spark, d):
 
 @query(X.derived_sql("elements") + """, p as (select a.call_id, a.element_seq as left_seq, b.element_seq as right_seq, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))::bigint * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as inter,
   (a.x2 - a.x1)::bigint * (a.y2 - a.y1) as aa, (b.x2 - b.x1)::bigint * (b.y2 - b.y1) as ab, greatest(0, least(a.last_seen_s, b.last_seen_s) - greatest(a.first_seen_s, b.first_seen_s)) / (greatest(a.last_seen_s, b.last_seen_s) - least(a.first_seen_s, b.first_seen_s)) as t
-  from elements a join elements b on a.call_id = b.call_id and a.element_seq < b.element_seq and (b.element_seq - a.element_seq) < 2000)
+  from elements a join elements b on a.call_id = b.call_id and a.element_seq < b.element_seq and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2 and a.first_seen_s <= b.last_seen_s and b.first_seen_s <= a.last_seen_s)
   select call_id, left_seq, right_seq, round(inter / (aa + ab - inter)::double, 6) as iou, round(coalesce(case when isfinite(t) then t end, 0), 6) as time_iou from p""")
 def box_overlaps(spark, d):
     """Overlap in space and time of all elements of one call that share area and are seen at one time.
@@ -235,7 +271,11 @@ def registry_elements(spark, d):
     return targets.stable_elements(det)
 
 
-@query()
+@query(X.derived_sql("clicks", "elements") + f", early as ({ELEMENT_AT.format(tol='0.6e0', shift='(-0.3e0)')}), late as ({ELEMENT_AT.format(tol='1.0e0', shift='0.0e0')})," + """
+ c as (select c.call_id, c.vis_seq, c.time_s, c.x, coalesce(early.element_seq, late.element_seq) as target_seq, max(c.time_s) over (partition by c.call_id) + 1 as d from clicks c left join early using (call_id, vis_seq) left join late using (call_id, vis_seq)),
+ a as (select *, 'ui_frame' as service, time_s - 0.3 as f, time_s - 0.3 as t from c union all select *, 'ui_frame', time_s + 0.4, time_s + 0.4 from c union all select *, 'pointing', time_s - 0.5, time_s + 0.5 from c where x is null
+  union all select *, 'tracking', time_s - 1, time_s + 1 from c where target_seq is not null union all select *, 'narrative', time_s - 1.2, time_s + 1.1 from c)
+ select call_id, vis_seq, service, round(least(greatest(0, f), least(d, t)), 6) as from_s, round(least(d, t), 6) as to_s from a""")
 def model_requests(spark, d):
     """H7, C20, C21"""
     e = targets.targets_at_points(events(spark, d), X.derived(spark, d, "elements"))
@@ -243,7 +283,8 @@ def model_requests(spark, d):
     return targets.requests(e, calls).select("call_id", "vis_seq", "service", F.round("from_s", 6).alias("from_s"), F.round("to_s", 6).alias("to_s"))
 
 
-@query()
+@query(X.derived_sql("clicks") + """ select call_id, vis_seq, coalesce(x, vis_seq % 500)::int as x, case when x is null then vis_seq % 300 else y end::int as y, case when x is null then 'vlm_pointing' else point_source end as point_source,
+ case when point_source is null then 1 else 2 end + case when x is null then 1 else 0 end + case when vis_seq % 3 = 0 then 1 else 0 end as n_evidence from clicks""")
 def pointing_and_tracking(spark, d):
     """Pointing answers for events without a point, tracker samples for the rest"""
     e = events(spark, d)

@@ -142,24 +142,29 @@ def _events(spark, d):
     return Z.table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query()
+@query("""with s as (select user_id as call_id, epoch_us(ts)::double as time_s, (event_id % 100) / 1000 as fraction from events), n as (select *, lag(fraction) over w as before, lead(fraction) over w as after from s window w as (partition by call_id order by time_s))
+ select call_id, time_s, fraction, least(0.98, greatest(0.3, fraction / 0.03e0))::double as confidence from n where fraction >= 0.0015 and (before is null or fraction >= before) and fraction > after""")
 def stream_state_changes(spark, d):
     """I1"""
     e = _events(spark, d).select(F.col("user_id").alias("call_id"), F.unix_micros("ts").cast("double").alias("time_s"), ((F.col("event_id") % 100) / 1000).alias("fraction"))
     return Z.run_to_end(Z.state_changes(e))
 
 
-@query()
+@query("""with s as (select user_id as call_id, epoch_us(ts)::double as time_s, (event_id % 640)::int as x, (event_id % 480)::int as y, event_id % 9 as n, event_id % 9 >= 4 and event_id % 5 <> 0 as moved from events),
+ l as (select *, last_value(case when moved then x end ignore nulls) over w as lx, last_value(case when moved then y end ignore nulls) over w as ly from s window w as (partition by call_id order by time_s rows unbounded preceding))
+ select call_id, time_s, lx as x, ly as y, case when moved then 0.75e0 else 0.7e0 end as confidence from l where moved or (lx is not null and n < 4)""")
 def stream_cursor(spark, d):
     """I2"""
     e = _events(spark, d).select(F.col("user_id").alias("call_id"), F.unix_micros("ts").cast("double").alias("time_s"), (F.col("event_id") % 640).cast("int").alias("x"), (F.col("event_id") % 480).cast("int").alias("y"), (F.col("event_id") % 9).cast("int").alias("n_pixels"), (F.col("event_id") % 5 != 0).alias("small"))
     return Z.run_to_end(Z.cursor_session(e))
 
 
-@query()
+@query("""select user_id as call_id, epoch_us(ts) // 1000000 as second_s, arg_min(event_id, epoch_us(ts)) as frame_idx from events group by 1, 2
+ having (second_s + 1) * 1000 <= (select max(epoch_us(ts)) // 1000 - 10000 from events)""")
 def stream_thumbnails(spark, d):
     """What the watermark has closed"""
-    return Z.run_to_end(Z.thumbnails(_events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.col("event_id").alias("frame_idx"))))
+    out = Z.run_to_end(Z.thumbnails(_events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.col("event_id").alias("frame_idx"))))
+    return out.select("call_id", F.unix_seconds("second").alias("second_s"), "frame_idx")
 
 
 @query("select a.user_id as call_id, a.event_id as ref_seq, b.event_id as vis_seq from events a join events b on a.user_id = b.user_id and a.event_type <> 'click' and b.event_type = 'click' and epoch_us(b.ts) - epoch_us(a.ts) between -30000000000 and 50000000000")
@@ -187,11 +192,14 @@ def stream_counters(spark, d):
     return Z.run_to_end(Z.counters(_events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.col("event_type").alias("kind"))))
 
 
-@query()
+@query("""with e as (select user_id as call_id, epoch_us(ts) // 20000 as us from events where event_type <> 'click'), n as (select *, case when us - lag(us) over w > 4050000 then 1 else 0 end as starts from e window w as (partition by call_id order by us)),
+ s as (select *, sum(starts) over (partition by call_id order by us rows unbounded preceding) as part from n)
+ select call_id, count(*) as n, min(us) - 1500000 as from_us, max(us) + 2500000 as to_us from s group by call_id, part having max(us) + 4050000 <= (select max(us) // 1000 * 1000 - 10000000 from e)""")
 def stream_sessions(spark, d):
     """What the watermark has closed"""
     at = F.timestamp_micros((F.unix_micros("ts") / 20000).cast("long"))
-    return Z.run_to_end(Z.analysis_sessions(_events(spark, d).where("event_type <> 'click'").select(F.col("user_id").alias("call_id"), at.alias("anchor_ts"))))
+    out = Z.run_to_end(Z.analysis_sessions(_events(spark, d).where("event_type <> 'click'").select(F.col("user_id").alias("call_id"), at.alias("anchor_ts"))))
+    return out.select("call_id", "n", F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"))
 
 
 @query("select event_id, user_id as call_id from events where case when event_type = 'click' then ts + interval 5 minute else ts end < (select max(ts) from events) - interval 60 minute")

@@ -32,7 +32,8 @@ def segs(spark, d):
     return S.segments(X.transcripts(spark, d))
 
 
-@query()
+@query(f"with {X.segments_sql()}" + """ select call_id, seg_idx, word_idx, word, round(start_s + step * word_idx, 6) as start_s, round(start_s + step * (word_idx + 1), 6) as end_s,
+ case when (turn + word_idx) % 5 = 0 then 0.27e0 else 0.9e0 end as score, speaker from said""")
 def transcript_words(spark, d):
     """A1, B1: words of the scripted calls with their times filled in"""
     return S.words_of(segs(spark, d)).select("call_id", "seg_idx", "word_idx", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round("score", 6).alias("score"), "speaker")
@@ -73,7 +74,10 @@ def call_counts(spark, d):
     return X.words(spark, d).groupBy("call_id").agg(F.countDistinct("seg_idx").alias("n_segments"), F.count("*").alias("n_words"), F.countDistinct("speaker").alias("n_speakers"))
 
 
-@query()
+STAMP = "printf('%02d:%02d:%02d,%03d', ({t}) // 3600, ({t}) // 60 % 60, ({t}) % 60, {ms})"
+
+
+@query(f"with {X.segments_sql()}" + f", b as (select *, speaker || ': ' || text as line, (row_number() over (partition by call_id order by seg_idx)) || chr(10) || {STAMP.format(t='turn::bigint * 10', ms=0)} || ' --> ' || {STAMP.format(t='turn::bigint * 10 + 9', ms=500)} || chr(10) || speaker || ': ' || text || chr(10) as block from seg) select call_id, string_agg(block, chr(10) order by seg_idx) as srt, string_agg(line, chr(10) order by seg_idx) as plain from b group by 1")
 def subtitles(spark, d):
     """A8, B19"""
     return S.srt(segs(spark, d))
@@ -109,7 +113,12 @@ def speaker_clips(spark, d):
     return S.speaker_clips(_spans(spark, d)).select("call_id", "name", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
-@query()
+@query(core.recursive(SPANS + """, sil as (select call_id, end_s * 10 as s, end_s * 10 + 2 as e from seg), dur as (select call_id, max(end_s) * 10 as d from seg group by 1),
+ steps as (select call_id, d, 0 as part, 0.0::double as from_s from dur
+  union all select call_id, d, part + 1, coalesce(mid, from_s + 180) from (
+   select c.call_id, c.d, c.part, c.from_s, (s.s + s.e) / 2 as mid, row_number() over (partition by c.call_id order by s.e - s.s desc nulls last, s.s) as k
+   from steps c left join sil s on s.call_id = c.call_id and (s.s + s.e) / 2 > c.from_s + 0.75 * 180 and (s.s + s.e) / 2 < c.from_s + 180 where c.d - c.from_s > 180) where k = 1)
+ select call_id, part, from_s, coalesce(lead(from_s) over (partition by call_id order by part), d) as to_s from steps"""))
 def call_parts(spark, d):
     """Calls cut at pauses between their turns"""
     s = _spans(spark, d)
@@ -117,7 +126,7 @@ def call_parts(spark, d):
     return S.parts(calls, s.select("call_id", (F.col("end_s") * 10).alias("start_s"), (F.col("end_s") * 10 + 2).alias("end_s")), 300.0)
 
 
-@query()
+@query(f"with {X.segments_sql()}" + """ select call_id, row_number() over (partition by call_id order by seg_idx) - 1 as seg_idx, start_s + (seg_idx // 3) * 30.0 as start_s, end_s + (seg_idx // 3) * 30.0 as end_s, trim(text) as text, len(string_split(text, ' ')) as n_words from seg""")
 def parts_onto_calls(spark, d):
     """E13"""
     s = segs(spark, d).withColumns({"part": (F.col("seg_idx") / 3).cast("int")})
@@ -252,13 +261,28 @@ def truth(spark, d):
     return r.select("call_id", F.col("ref_seq").alias("gt_idx"), F.col("text").alias("action_utterance"), F.col("start_s").alias("utterance_start_s"), F.col("end_s").alias("utterance_end_s"), (F.col("anchor_s") + 0.2).alias("event_time_s"), F.lit("click").alias("event_type"), F.array((F.col("ref_seq") % 1900).cast("int"), (F.col("ref_seq") % 1000).cast("int")).alias("point"), F.array(F.lit(0), F.lit(0), F.lit(900), F.lit(900)).alias("target_bbox"), F.lit(None).cast("string").alias("ui_target_text"), (F.col("ref_seq") % 4 != 0).alias("observable"), "speaker")
 
 
-@query()
+ALIKE = ", ".join(str(i * len(X.PHRASES) + j) for i, a in enumerate(X.PHRASES) for j, b in enumerate(X.PHRASES) if targets.text_likeness(a, b) >= 0.6)
+
+
+@query(core.recursive(core.GRAPH + f""",
+ truth as (select call_id, ref_seq as gt_idx, start_s as us, end_s as ue, anchor_s + 0.2e0 as event_time_s, ref_seq % 1900 as tx, ref_seq % 1000 as ty, ref_seq % 4 <> 0 as observable from instructions where ref_seq % 3 <> 0),
+ e as (select g.call_id, g.vis_seq, {core.rounded("g.time_s")} as peak_s, g.action, g.grounding_status, g.x, g.y, {core.rounded("r.start_s")} as rs, {core.rounded("r.end_s")} as re, r.ref_seq from g join refs r using (call_id, ref_seq)),
+ p as (select t.*, e.*exclude (call_id), row_number() over (partition by t.call_id, t.gt_idx order by abs(e.peak_s - t.event_time_s), e.vis_seq) as k from truth t join e on t.call_id = e.call_id
+  and (least(e.re, t.ue) > greatest(e.rs, t.us) or (e.ref_seq % 12) * 12 + t.gt_idx % 12 in ({ALIKE}))),
+ j as (select t.call_id, t.gt_idx, p.vis_seq is not null as phrase, coalesce(p.action = 'click', false) as action_ok, coalesce(abs(p.peak_s - t.event_time_s) <= 0.25, false) as time_ok,
+  coalesce(p.vis_seq is not null and case when not t.observable then p.grounding_status <> 'observed' when p.x is not null then p.x between 0 and 900 and p.y between 0 and 900 else false end, false) as point_ok,
+  sqrt((t.tx - p.x)^2 + (t.ty - p.y)^2) as off_px from truth t left join p on t.call_id = p.call_id and t.gt_idx = p.gt_idx and p.k = 1),
+ f as (select call_id, avg(case when grounding_status <> 'inferred' then 1.0 else 0.0 end) as factual_precision from g group by 1),
+ s as (select call_id, count(*) as n, avg((action_ok and time_ok and point_ok and phrase)::int) as avaga, avg(point_ok::int) as point_hit, avg(action_ok::int) as action_accuracy, avg(time_ok::int) as time_success, avg(phrase::int) as phrase_recall,
+  coalesce(avg(off_px), 'nan'::double) as mean_px, coalesce(quantile_cont(off_px, 0.95), 'nan'::double) as p95_px from j group by 1)
+ select call_id, n, round(avaga, 6) as all_right, round(point_hit, 6) as point_hit, round(action_accuracy, 6) as action_accuracy, round(time_success, 6) as time_success, round(phrase_recall, 6) as phrase_recall, round(mean_px, 6) as mean_px, round(p95_px, 6) as p95_px, round(factual_precision, 6) as factual_precision
+ from s left join f using (call_id)"""))
 def evaluation(spark, d):
     """C16, D3, D6"""
     g, _ = graph(spark, d)
     e = g.select("call_id", F.col("vis_seq").alias("event_seq"), F.col("temporal.peak_s").alias("peak_s"), "type", "grounding_status", F.col("spatial.point_xy_px")[0].alias("px"), F.col("spatial.point_xy_px")[1].alias("py"), F.col("target.text").alias("target_text"), F.explode("audio_references").alias("r")).select("*", F.col("r.start_s").alias("ref_start_s"), F.col("r.end_s").alias("ref_end_s"), F.col("r.transcript").alias("transcript"), F.col("r.speaker_id").alias("speaker"))
     s = E.scores(E.judged(E.matched(truth(spark, d), e)), "call_id").join(E.factual_precision(g, "call_id"), "call_id", "left")
-    return s.select("call_id", "n", *[F.round(c, 6).alias(c) for c in ("avaga", "point_hit", "action_accuracy", "time_success", "phrase_recall", "mean_px", "p95_px", "factual_precision")])
+    return s.select("call_id", "n", *[F.round(c, 6).alias(c) for c in ("all_right", "point_hit", "action_accuracy", "time_success", "phrase_recall", "mean_px", "p95_px", "factual_precision")])
 
 
 @query(X.derived_sql("instructions", "clicks") + """, t as (select call_id, ref_seq as gt_idx, anchor_s as time_s from instructions)

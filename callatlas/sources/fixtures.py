@@ -104,6 +104,11 @@ def derived_sql(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as (select " + ", ".join(f"{e} as {c}" for c, e in _columns(True)[n].items()) + f" from events where {FILTERS[n]})" for n in names)
 
 
+def time_sql() -> str:
+    """The time in a call of a row of events, for an oracle."""
+    return _columns(True)["clicks"]["time_s"]
+
+
 def meaning_sql(by: str = "ref_seq") -> tuple[str, str, str]:
     """Action, pointing word and target of an instruction, as SQL picks for the oracle."""
     return tuple(_pick([m[k] for m in MEANING], by, True) for k in range(3))
@@ -161,6 +166,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("words", words)
 
 
+def segments_sql() -> str:
+    """seg and said for an oracle: the segments of the scripted calls, and their words."""
+    line = _pick(SCRIPT, "conv_id * 5 + turn * 3", True)
+    return f"""seg as (select conv_id as call_id, row_number() over (partition by conv_id order by turn) - 1 as seg_idx, turn, turn * 10.0e0 as start_s, turn * 10.0e0 + 9.5e0 as end_s, {line} as text, 'SPEAKER_' || role as speaker from conversations),
+ said as (select *, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as word_idx, 9.5e0 / len(string_split(text, ' ')) as step from seg)"""
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript documents (call_id, language, segments) of the scripted calls."""
     s = segments(spark, sf_dir)
