@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .intervals import overlapping
 
 MOST_WORDS, DETAILS = 35, 2
 
@@ -15,7 +16,7 @@ MOST_WORDS, DETAILS = 35, 2
 def refs_in_sentences(sentences: DataFrame, refs: DataFrame) -> DataFrame:
     """Sentences with refs, the references that start in the half-open span around them, in order; pointing ones are left out."""
     r = refs.where("spoken_action <> 'point'").select("call_id", "ref_seq", F.col("start_s").alias("rs"), "spoken_action", "explicit_target", "anchor_s", F.col("text").alias("said"))
-    j = sentences.select("call_id", "sent_no", "start_s", "end_s").join(r, "call_id").where("rs >= start_s - 0.05 and rs < end_s - 0.05")
+    j = overlapping(sentences.select("call_id", "sent_no", "start_s", "end_s"), r, ("start_s - 0.05D", "end_s - 0.05D"), ("rs", "rs")).where("rs >= start_s - 0.05 and rs < end_s - 0.05")
     g = j.groupBy("call_id", "sent_no").agg(F.sort_array(F.collect_list(F.struct("ref_seq", "spoken_action", "explicit_target", "anchor_s", "said"))).alias("refs"))
     return sentences.join(g, ["call_id", "sent_no"], "left").withColumn("refs", F.coalesce("refs", F.array().cast(g.schema["refs"].dataType)))
 
@@ -203,7 +204,7 @@ def reliable_clicks(steps: DataFrame, events: DataFrame, refs: DataFrame) -> Dat
     """Observed or tracked clicks near each step whose own reference asks for a click surely enough, or whose view changed."""
     s = steps.select("call_id", "number", "time_s", F.greatest("end_s", F.col("time_s") + 0.5).alias("stop_s"))
     e = events.where("grounding_status in ('observed', 'tracked') and point is not null").select("call_id", "vis_seq", "peak_s", "point", "overall_confidence", "change", "ref_seq")
-    j = s.join(e, "call_id").where("peak_s >= time_s - 0.3 and peak_s <= stop_s + 1.5")
+    j = overlapping(s, e, ("time_s - 0.3D", "stop_s + 1.5D"), ("peak_s", "peak_s"))
     own = refs.select("call_id", "ref_seq", F.col("start_s").alias("rs"), "spoken_action")
     j = j.join(own, ["call_id", "ref_seq"]).where("rs >= time_s - 0.05 and rs < stop_s - 0.05")
     return j.where((F.col("spoken_action").isin("click", "double_click", "right_click") & (F.col("overall_confidence") >= 0.5)) | (F.col("change") >= 0.9))
@@ -324,8 +325,8 @@ def missing_steps(draft_steps: DataFrame, written_steps: DataFrame, written: Dat
     first = written_steps.groupBy("call_id").agg(F.min("time_s").alias("first_s")).join(written.where("resolved is null or resolved").select("call_id"), "call_id", "left_semi")
     d = draft_steps.where("point is not null").join(first, "call_id").where("time_s >= first_s").drop("first_s")
     w = written_steps.select("call_id", F.col("time_s").alias("ws"), F.greatest("end_s", F.col("time_s") + 0.01).alias("we"))
-    met = (d["call_id"] == w["call_id"]) & (w["ws"] < d["end_s"]) & (d["time_s"] < w["we"])
-    return d.join(w, met, "left_anti")
+    met = overlapping(d.select("call_id", "number", "time_s", "end_s"), w, ("time_s", "end_s"), ("ws", "we"), 30.0).where("ws < end_s and time_s < we")
+    return d.join(met.select("call_id", "number").distinct(), ["call_id", "number"], "left_anti")
 
 
 def restored(written_steps: DataFrame, missing: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, interval_iou
 from ..functions.text import U, similarity
+from .intervals import overlapping
 
 
 def nan_if_none(c: Column) -> Column:
@@ -19,11 +20,14 @@ def matched(truth: DataFrame, events: DataFrame) -> DataFrame:
     """Truth with the predicted event that is nearest in time, of those with a bound utterance that overlaps the true one
     or reads like it. events: one row per event and bound reference, in event order event_seq."""
     e = events.select("call_id", "event_seq", "peak_s", "type", "grounding_status", "px", "py", "target_text", "ref_start_s", "ref_end_s", "transcript", F.col("speaker").alias("heard_speaker"))
-    p = truth.join(e, "call_id")
-    overlap = interval_iou(F.col("ref_start_s"), F.col("ref_end_s"), F.col("utterance_start_s"), F.col("utterance_end_s")) > 0
+    said = overlapping(truth, e, ("utterance_start_s", "utterance_end_s"), ("ref_start_s", "ref_end_s"))
+    said = said.where(interval_iou(F.col("ref_start_s"), F.col("ref_end_s"), F.col("utterance_start_s"), F.col("utterance_end_s")) > 0)
+    # each text of a call is compared once with each other one, and rows meet by equal texts
+    heard = e.select("call_id", "transcript").distinct().join(truth.select("call_id", "action_utterance").distinct(), "call_id")
     a, b = F.length(F.trim("transcript")), F.length(F.trim("action_utterance"))
-    alike = (F.least(a, b) >= 0.6 * F.greatest(a, b)) & (similarity(F.col("transcript"), F.col("action_utterance")) >= 0.6)
-    p = p.where(overlap | alike)
+    alike = heard.where((F.least(a, b) >= 0.6 * F.greatest(a, b)) & (similarity(F.col("transcript"), F.col("action_utterance")) >= 0.6))
+    read = truth.join(alike, ["call_id", "action_utterance"]).join(e, ["call_id", "transcript"])
+    p = said.unionByName(read)
     best = p.groupBy("call_id", "gt_idx").agg(F.min_by(F.struct("event_seq", "peak_s", "type", "grounding_status", "px", "py", "target_text"), F.struct(F.abs(F.col("peak_s") - F.col("event_time_s")), "event_seq")).alias("cand"), F.collect_set(F.struct("event_seq", F.col("heard_speaker").alias("speaker"))).alias("heard"))
     return truth.join(best, ["call_id", "gt_idx"], "left")
 
@@ -100,7 +104,8 @@ def word_time_errors(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 def interval_recall(pred: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
     """C17: per call the share of true intervals (start_s, end_s) that a predicted one overlaps enough."""
     p = pred.select("call_id", F.col("start_s").alias("ps"), F.col("end_s").alias("pe"))
-    near = truth.join(p, (truth["call_id"] == p["call_id"]) & (p["ps"] <= truth["end_s"]) & (p["pe"] >= truth["start_s"]) & (interval_iou(p["ps"], p["pe"], truth["start_s"], truth["end_s"]) >= threshold), "left_semi")
+    near = overlapping(truth.select(*truth.columns).withColumn("truth_key", F.struct(*truth.columns)), p, ("start_s", "end_s"), ("ps", "pe"))
+    near = near.where(interval_iou(F.col("ps"), F.col("pe"), F.col("start_s"), F.col("end_s")) >= threshold).select("call_id", "truth_key").distinct()
     return _share(truth, near)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,21 +66,29 @@ def resolve(pairs: DataFrame) -> DataFrame:
     apart = (F.col("start_s") > lag + 30) & (F.least("time_s", "anchor_s") > reach + 30)
     p = pairs.select("call_id", "ref_seq", "vis_seq", "score", "start_s", "ordinal", "time_s", "anchor_s").withColumn("session", F.sum(F.when(apart, 1).otherwise(0)).over(w))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "ref_seq", "vis_seq"], ascending=[False, True, True], kind="stable")
-        heard, seen, taken, by_start = set(), set(), [], []
-        for k, (ref, vis, start, ordinal, time) in enumerate(zip(rows.ref_seq, rows.vis_seq, rows.start_s, rows.ordinal, rows.time_s, strict=True)):
-            if ref in heard or vis in seen:
-                continue
-            if any(abs(s - start) <= 1e-6 and o != ordinal and (time <= t if ordinal > o else time >= t) for s, o, t in by_start):
-                continue
-            heard.add(ref)
-            seen.add(vis)
-            by_start.append((start, ordinal, time))
-            taken.append(k)
-        return rows.iloc[taken][["call_id", "ref_seq", "vis_seq", "score"]]
-
-    return p.groupBy("call_id", "session").applyInPandas(pick, "call_id long, ref_seq long, vis_seq long, score double")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heard, seen, by_start = None, set(), set(), {}
+        for b in batches:
+            taken = []
+            names = ("call_id", "session", "ref_seq", "vis_seq", "start_s", "ordinal", "time_s")
+            for k, (call, session, ref, vis, start, ordinal, time) in enumerate(zip(*(b.column(n).to_pylist() for n in names), strict=True)):
+                if now != (call, session):
+                    now, heard, seen, by_start = (call, session), set(), set(), {}
+                if ref in heard or vis in seen:
+                    continue
+                tick = round(start * 1e6)
+                others = [x for t in (tick - 1, tick, tick + 1) for x in by_start.get(t, ())]
+                if any(abs(s - start) <= 1e-6 and o != ordinal and (time <= t if ordinal > o else time >= t) for s, o, t in others):
+                    continue
+                heard.add(ref)
+                seen.add(vis)
+                by_start.setdefault(tick, []).append((start, ordinal, time))
+                taken.append(k)
+            yield b.select(["call_id", "ref_seq", "vis_seq", "score"]).take(pa.array(taken, pa.int64()))
+
+    p = p.select("call_id", "session", F.col("ref_seq").cast("long").alias("ref_seq"), F.col("vis_seq").cast("long").alias("vis_seq"), "score", "start_s", "ordinal", "time_s")
+    dealt = p.repartition("call_id", "session").sortWithinPartitions("call_id", "session", F.col("score").desc(), "ref_seq", "vis_seq")
+    return dealt.mapInArrow(pick, "call_id long, ref_seq long, vis_seq long, score double")
 
 
 def unbound(refs: DataFrame, bound: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from .intervals import overlapping
 
 
 def _first_element(events: DataFrame, elements: DataFrame, shift: float, tolerance: float, name: str) -> DataFrame:
     """The element at each event's point, of those visible around time + shift: interactive first, then the smallest."""
-    t = F.col("time_s") + shift
     e = elements.select("call_id", F.col("element_seq").alias(name), "x1", "y1", "x2", "y2", "interactive_confidence", "first_seen_s", "last_seen_s")
-    pairs = events.where("x is not null").select("call_id", "vis_seq", "time_s", "x", "y").join(e, "call_id")
-    pairs = pairs.where((F.col("first_seen_s") - tolerance <= t) & (t <= F.col("last_seen_s") + tolerance) & F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    at = f"time_s + {shift}D"
+    pairs = overlapping(events.where("x is not null").select("call_id", "vis_seq", "time_s", "x", "y"), e, (at, at), (f"first_seen_s - {tolerance}D", f"last_seen_s + {tolerance}D"))
+    pairs = pairs.where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
     area = (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1"))
     return pairs.groupBy("call_id", "vis_seq").agg(F.min_by(name, F.struct(F.when(F.col("interactive_confidence") >= 0.5, 0).otherwise(1), area, name)).alias(name))
 
@@ -31,7 +32,7 @@ def spoken_targets(refs: DataFrame, elements: DataFrame, least: float = 0.6, tol
     """For each spoken target the visible element with the most similar text; ties to the earlier element."""
     r = refs.where("explicit_target is not null").select("call_id", "ref_seq", "anchor_s", "explicit_target")
     e = elements.where("text is not null").select("call_id", "element_seq", F.col("text").alias("seen_text"), "first_seen_s", "last_seen_s")
-    p = r.join(e, "call_id").where((F.col("first_seen_s") - tolerance <= F.col("anchor_s")) & (F.col("anchor_s") <= F.col("last_seen_s") + tolerance))
+    p = overlapping(r, e, ("anchor_s", "anchor_s"), (f"first_seen_s - {tolerance}D", f"last_seen_s + {tolerance}D"))
     # texts that differ in length by more than the similarity allows need no edit distance
     a, b = F.length(F.trim("explicit_target")), F.length(F.trim("seen_text"))
     p = p.where(F.least(a, b) >= least * F.greatest(a, b)).withColumn("sim", similarity(F.col("seen_text"), F.col("explicit_target"))).where(F.col("sim") >= least)
@@ -40,7 +41,8 @@ def spoken_targets(refs: DataFrame, elements: DataFrame, least: float = 0.6, tol
 
 def assign_spoken_targets(events: DataFrame, found: DataFrame, within: float = 2.5) -> DataFrame:
     """Events still without a target take that of the earliest reference within the tolerance, and its evidence."""
-    p = events.where("target_seq is null").select("call_id", "vis_seq", "time_s").join(found.select("call_id", "ref_seq", "anchor_s", F.col("element_seq").alias("spoken_seq")), "call_id").where(F.abs(F.col("time_s") - F.col("anchor_s")) <= within)
+    near = found.select("call_id", "ref_seq", "anchor_s", F.col("element_seq").alias("spoken_seq"))
+    p = overlapping(events.where("target_seq is null").select("call_id", "vis_seq", "time_s"), near, (f"time_s - {within}D", f"time_s + {within}D"), ("anchor_s", "anchor_s")).where(F.abs(F.col("time_s") - F.col("anchor_s")) <= within)
     first = p.groupBy("call_id", "vis_seq").agg(F.min_by("spoken_seq", "ref_seq").alias("spoken_seq"))
     evidence = F.array(F.struct(F.lit("vlm_semantic").alias("source"), F.lit(0.5).alias("confidence")))
     j = events.join(first, ["call_id", "vis_seq"], "left")

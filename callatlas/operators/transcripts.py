@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .intervals import overlapping
 
 WORD = "struct<word:string,start:double,end:double,score:double,speaker:string>"
 TRANSCRIPT = f"language string, segments array<struct<start:double,end:double,text:string,speaker:string,words:array<{WORD}>>>"
@@ -199,14 +200,27 @@ def srt(segs: DataFrame) -> DataFrame:
 
 def overlap_speakers(pieces: DataFrame, segs: DataFrame) -> DataFrame:
     """(call_id, piece, speaker): the speaker of the segment that overlaps most, even if none does; ties to the first."""
-    p = pieces.select("call_id", "piece", F.col("start_s").alias("ps"), F.col("end_s").alias("pe")).join(segs.select("call_id", "seg_idx", "start_s", "end_s", "speaker"), "call_id")
+    p = pieces.select("call_id", "piece", F.col("start_s").alias("ps"), F.col("end_s").alias("pe"))
+    own = segs.select("call_id", "seg_idx", "start_s", "end_s", "speaker")
     shared = F.least("pe", "end_s") - F.greatest("ps", "start_s")
-    return p.groupBy("call_id", "piece").agg(F.max_by("speaker", F.struct(shared, -F.col("seg_idx"))).alias("speaker"))
+    best = lambda j: j.groupBy("call_id", "piece").agg(F.max_by("speaker", F.struct(shared, -F.col("seg_idx"))).alias("speaker"))
+    found = best(overlapping(p, own, ("ps", "pe"), ("start_s", "end_s"), 60.0).where(shared >= 0))
+    # a piece in a gap: the nearest segment before it or after it, by two running ends
+    alone = p.join(found.select("call_id", "piece"), ["call_id", "piece"], "left_anti")
+    both = alone.select("call_id", F.col("ps").alias("t"), F.lit(0).alias("kind"), "piece", "ps", "pe", F.lit(None).cast(own.schema["seg_idx"].dataType).alias("seg_idx"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), F.lit(None).cast("string").alias("speaker")).unionByName(
+        own.select("call_id", F.col("start_s").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(p.schema["piece"].dataType).alias("piece"), F.lit(None).cast("double").alias("ps"), F.lit(None).cast("double").alias("pe"), "seg_idx", "start_s", "end_s", "speaker"))
+    one = F.when(F.col("kind") == 1, F.struct("end_s", (-F.col("seg_idx")).alias("order"), "start_s", "speaker"))
+    two = F.when(F.col("kind") == 1, F.struct("start_s", F.col("seg_idx").alias("order"), "end_s", "speaker"))
+    w = W.partitionBy("call_id").orderBy("t", "kind")
+    gap = both.withColumns({"before": F.max(one).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.min(two).over(w.rowsBetween(0, W.unboundedFollowing))}).where("kind = 0")
+    near = F.array(F.when(F.col("before").isNotNull(), F.struct((F.col("before.end_s") - F.col("ps")).alias("o"), F.col("before.order").alias("k"), F.col("before.speaker").alias("speaker"))), F.when(F.col("after").isNotNull(), F.struct((F.col("pe") - F.col("after.start_s")).alias("o"), (-F.col("after.order")).alias("k"), F.col("after.speaker").alias("speaker"))))
+    return found.unionByName(gap.select("call_id", "piece", F.array_max(F.filter(near, lambda x: x.isNotNull()))["speaker"].alias("speaker")))
 
 
 def words_to_segments(words: DataFrame, segs: DataFrame) -> DataFrame:
     """C13 as a join: (call_id, word_idx, seg_idx), the first segment in which a word starts."""
-    j = words.select("call_id", "word_idx", F.col("start_s").alias("ws")).join(segs.select("call_id", "seg_idx", "start_s", "end_s"), "call_id").where("ws >= start_s - 0.05 and ws < end_s + 0.05")
+    w = words.select("call_id", "word_idx", F.col("start_s").alias("ws"))
+    j = overlapping(w, segs.select("call_id", "seg_idx", "start_s", "end_s"), ("ws", "ws"), ("start_s - 0.05D", "end_s + 0.05D"), 30.0).where("ws >= start_s - 0.05 and ws < end_s + 0.05")
     return j.groupBy("call_id", "word_idx").agg(F.min("seg_idx").alias("seg_idx"))
 
 
