@@ -53,14 +53,19 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
     return F.concat(class_keys(line, low(own), edits), F.when(low(other) < low(own), class_keys(line, low(other), edits)).otherwise(F.array().cast("array<bigint>")))
 
 
-def letter_counts(line: Column) -> Column:
-    """Numbers of the LETTERS modulo 16, in the bits of a long: what each shortens the rest of the line by."""
-    packed, rest = F.lit(0).cast("long"), line
-    for k, c in enumerate(LETTERS):
-        less = F.replace(rest, F.lit(c), F.lit(""))
-        packed = packed + F.shiftleft((F.length(rest) - F.length(less)).cast("long").bitwiseAND(15), 4 * k)
-        rest = less
-    return packed
+def with_letters(df: DataFrame) -> DataFrame:
+    """df with letters: the numbers of the LETTERS in line modulo 16, in the bits of a long. Each letter is taken out in turn, and
+    counted by the bytes that the rest of the line is shorter by; four at a step, so that each rest is made once."""
+    names = df.columns
+    df = df.select(*names, F.col("line").alias("rest_of_line"), F.lit(0).cast("long").alias("letters"))
+    for at in range(0, len(LETTERS), 4):
+        rest, packed = F.col("rest_of_line"), F.col("letters")
+        for k in range(at, at + 4):
+            less = F.replace(rest, F.lit(LETTERS[k]), F.lit(""))
+            packed = packed + F.shiftleft((F.octet_length(rest) - F.octet_length(less)).cast("long").bitwiseAND(15), 4 * k)
+            rest = less
+        df = df.select(*names, rest.alias("rest_of_line"), packed.alias("letters"))
+    return df.drop("rest_of_line")
 
 
 def letter_difference(a: str, b: str) -> Column:
@@ -102,10 +107,10 @@ def occurrences(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short:
     d = docs.select("doc_id", F.unhex(doc_key()).alias("doc_key"), F.split("text", "\n").alias("parts"))  # before lines part: once a text
     d = d.select("doc_id", "doc_key", F.posexplode("parts").alias("pos", "line")).withColumn("size", F.length("line"))
     line, size = F.col("line"), F.col("size")
-    d = d.where((size >= least) | (F.lit(short) & line.rlike("\\S")))
+    d = with_letters(d.where((size >= least) | (F.lit(short) & line.rlike("\\S"))))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
     joins = size >= least
-    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", letter_counts(line).alias("letters"), F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
+    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", "letters", F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
 
 
 def candidates(each: DataFrame, edits: int = EDITS) -> DataFrame:
