@@ -46,11 +46,16 @@ def class_keys(line: Column, low: Column, edits: int) -> Column:
     return F.array(*plain, *shifted)
 
 
-def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """class_keys() in the line's own class, and in the next lower one where a line shorter by the edits lies there."""
-    own, other = length_class(length, edits), length_class(F.greatest(length - edits, F.lit(least)), edits)
-    low = lambda c: F.greatest(c, F.lit(least))
-    return F.concat(class_keys(line, low(own), edits), F.when(low(other) < low(own), class_keys(line, low(other), edits)).otherwise(F.array().cast("array<bigint>")))
+def with_keys(df: DataFrame, edits: int, least: int) -> DataFrame:
+    """df with keys: class_keys() of line in its own class, and in the next lower one where a line shorter by the edits lies
+    there; null for lines under least characters."""
+    names, size, line = df.columns, F.col("size"), F.col("line")
+    low = lambda n: F.greatest(length_class(F.greatest(n, F.lit(least)), edits), F.lit(least))
+    df = df.select(*names, low(size).alias("own_low"), low(size - edits).alias("other_low"))
+    both = F.when(F.col("other_low") < F.col("own_low"), class_keys(line, F.col("other_low"), edits)).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*names, class_keys(line, F.col("own_low"), edits).alias("own_keys"), both.alias("other_keys"))
+    keys = F.when(size >= least, F.when(F.size("other_keys") > 0, F.concat("own_keys", "other_keys")).otherwise(F.col("own_keys")))
+    return df.select(*names, keys.alias("keys"))
 
 
 def with_letters(df: DataFrame) -> DataFrame:
@@ -109,8 +114,7 @@ def occurrences(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short:
     line, size = F.col("line"), F.col("size")
     d = with_letters(d.where((size >= least) | (F.lit(short) & line.rlike("\\S"))))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key", "pos")
-    joins = size >= least
-    return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", "letters", F.when(joins, line_keys(line, size, edits, least)).alias("keys"))
+    return with_keys(d, edits, least).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), "size", "letters", "keys")
 
 
 def candidates(each: DataFrame, edits: int = EDITS) -> DataFrame:
