@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class Codec:
         self.longest = max(map(len, self.ids))
         # no piece holds these two characters in a row, so every path has a boundary between them
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[str, list[int]] = {}
         # the trie of the pieces: character to (node, id of the piece that ends there, its score)
         self.trie: dict[str, tuple] = {}
         for p, i in self.ids.items():
@@ -61,24 +62,34 @@ class Codec:
         starts anew. A window four times as long as the longest piece is searched for a boundary further back that all
         surviving paths share, and again whenever it has doubled, so that the work stays linear in the text.
         """
-        n, out = len(chars), []
-        base, far, limit = 0, 0, 4 * self.longest
-        best, back, used = [0.0], [0], [0]
+        n, out, widest = len(chars), [], 4 * self.longest
         root, unknown, none = self.trie, self.unknown, float("-inf")
+        base, far, limit = 0, 0, widest
+        room = min(n, 2 * widest) + 1  # a text that fits in the window is one window
+        best, back, used = [none] * room, [0] * room, [0] * room
+        best[0] = 0.0
         for at in range(n):
-            if far == at and at > base:
-                out += self._path(chars, base, at, back, used)
-                base, limit = at, 4 * self.longest
-                best, back, used = [0.0], [0], [0]
-            elif at - base >= limit:
-                meet = self._meeting(at, far, base, back)
+            if n > widest and at > base:
+                meet = base
+                if far == at:
+                    meet = at
+                elif at - base >= limit:
+                    meet = self._meeting(at, far, base, back)
+                    limit = max(widest, 2 * (at - base))
                 if meet > base:
                     out += self._path(chars, base, meet, back, used)
-                    best, back, used, base = best[meet - base :], back[meet - base :], used[meet - base :], meet
-                limit = max(4 * self.longest, 2 * (at - base))
+                    drop = meet - base
+                    best, back, used, base = best[drop:], back[drop:], used[drop:], meet
+                    if far == at:
+                        limit = widest
+                if at - base + self.longest >= len(best):
+                    more = widest + self.longest
+                    best += [none] * more
+                    back += [0] * more
+                    used += [0] * more
             here, node, end = best[at - base], root, at
-            while end < n:
-                step = node.get(chars[end])
+            for c in chars[at : at + self.longest]:
+                step = node.get(c)
                 if step is None:
                     if end > at:
                         break
@@ -86,14 +97,12 @@ class Codec:
                 node, i, s = step
                 end += 1
                 if i is not None:
+                    s += here
                     j = end - base
+                    if s > best[j]:
+                        best[j], back[j], used[j] = s, at, i
                     if end > far:
-                        best += [none] * (end - far)
-                        back += [0] * (end - far)
-                        used += [0] * (end - far)
                         far = end
-                    if here + s > best[j]:
-                        best[j], back[j], used[j] = here + s, at, i
                     if node is root:
                         break
         return out + self._path(chars, base, n, back, used)
@@ -121,11 +130,11 @@ class Codec:
                 live[up] = 1
         return base
 
-    def stretch(self, chars: str) -> np.ndarray:
+    def stretch(self, chars: str) -> list[int]:
         """viterbi() of a stretch; those of short ones are kept, KEPT at most."""
         found = self.kept.get(chars)
         if found is None:
-            found = np.array(self.viterbi(chars), np.int32)
+            found = self.viterbi(chars)
             if len(chars) <= SHORT:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
@@ -154,7 +163,7 @@ class Codec:
         enc = parts.dictionary_encode()
         known = [self.stretch(x) for x in enc.dictionary.to_pylist()]
         size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
+        flat = np.fromiter(chain.from_iterable(known), np.int32, int(size.sum()))
         start = np.cumsum(size) - size
         which = enc.indices.to_numpy(zero_copy_only=False)
         each = size[which]
@@ -221,6 +230,16 @@ class Codec:
         return text.replace(SPACE, " ")[1:] if text.startswith(SPACE) else text.replace(SPACE, " ")
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(model: str) -> Codec:
+    """The codec of a model, made once by a worker."""
+    if model not in _CODECS:
+        _CODECS[model] = Codec(model)
+    return _CODECS[model]
+
+
 def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep and ids, the SentencePiece ids of column text.
 
@@ -230,7 +249,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for b in slices(batches, "text", 4_000_000):
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], codec.encode(b.column("text").cast(pa.string()))], [*names, "ids"])
 
@@ -243,7 +262,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 c = b.slice(at, 1024)
@@ -261,7 +280,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for b in slices(batches, "text", 4_000_000):
             text = b.column("text").cast(pa.string())
             ids = codec.encode(text)
