@@ -19,6 +19,7 @@ ACTIONS = [
     ("select", r"w[äa]hl\w*|ausw[äa]hl\w*|markier\w*|select\w*|choose\w*"),
     ("point", r"zeig\w*|point\w*|hinweis\w*|sehen sie|look at|show\w*"),
 ]
+# Pointing words, targets, fillers, small talk, problem, cause, error, success, instruction, address, quotes, keys.
 DEICTIC = r"\b(hier|hierhin|hierher|dort|dorthin|da|dies\w*|das da|diese[rsnm]?|here|there|this|that one|that)\b"
 QUOTED_TARGET = "[„\"“'‚]([^\"“”'‘’]{1,40})[\"“”'‘’]"
 PREPOSITION_TARGET = (
@@ -62,7 +63,7 @@ NAME = r"\p{Lu}[\p{Ll}'-]+(?:[- ]\p{Lu}[\p{Ll}'-]+)?"
 SHAPES = [
     r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,4})?\b",
     r"\b756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}\b",
-    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+    r"(?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]++(?:\.[\w-]++)++",  # possessive, from a run's start: linear, however long
     r"\b(?:\d[ -]?){13,19}\b",
     r"(?:\+|\b00)\d{2}[\s/.-]?\(?\d{1,4}\)?(?:[\s/.-]?\d{2,4}){2,4}\b",
     r"\b0\d{2}[\s/.-]?\d{3}[\s/.-]?\d{2}[\s/.-]?\d{2}\b",

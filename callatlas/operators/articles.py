@@ -145,7 +145,7 @@ def redacted(articles: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFram
 def private(steps: DataFrame, articles: DataFrame) -> DataFrame:
     """Steps of private articles without times, points, boxes and images of screenshots."""
     s = steps.join(articles.select("call_id", "private"), "call_id")
-    for c in ("screenshot_s", "point", "image"):
+    for c in ("screenshot_s", "point", "box", "image"):
         if c in s.columns:
             s = s.withColumn(c, F.when(~F.col("private"), F.col(c)))
     return s.drop("private")
@@ -267,6 +267,7 @@ def prompts(sentences: DataFrame, actions: DataFrame | None = None) -> DataFrame
     return t if actions is None else t.join(actions.groupBy("call_id").agg(joined(["peak_s", "vis_seq"]).alias("actions")), "call_id", "left")
 
 
+# The shape of a model's answer, and what it says for nothing.
 ANSWER = "title string, problem string, error_messages array<string>, cause string, applies_to string, steps array<struct<section:string,title:string,instruction:string,details:string,actor:string,sentences:array<string>>>, verification string, notes array<string>, keywords array<string>, resolved string"
 NOTHING = r"(?i)^(keine?|none|n/?a|null|nothing|-)\.?$"
 

@@ -96,10 +96,10 @@ def _overlap(p: list, q: list) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def observe(elements: list[dict], time_s: float, d: dict, least_iou: float = 0.5, least_text: float = 0.7) -> None:
-    """One detection into a call's elements: joins the best match and moves it, or becomes a new one."""
-    best, most = None, 0.0
-    for e in elements:
+def observe(elements: list[dict], time_s: float, d: dict, least_iou: float = 0.5, least_text: float = 0.7) -> int:
+    """One detection into a call's elements: joins the best match and moves it, or becomes a new one; the element's place."""
+    best, most, place = None, 0.0, len(elements)
+    for k, e in enumerate(elements):
         overlap = _overlap(e["box"], d["box"])
         if overlap < least_iou:
             continue
@@ -107,10 +107,10 @@ def observe(elements: list[dict], time_s: float, d: dict, least_iou: float = 0.5
         if e["text"] is not None and d["text"] is not None and like < least_text:
             continue
         if overlap + 0.5 * like > most:
-            best, most = e, overlap + 0.5 * like
+            best, most, place = e, overlap + 0.5 * like, k
     if best is None:
         elements.append({**d, "first": time_s, "last": time_s, "n": 1})
-        return
+        return place
     best["n"] += 1
     best["last"] = max(best["last"], time_s)
     best["box"] = [round(a + 0.3 * (b - a)) for a, b in zip(best["box"], d["box"], strict=True)]
@@ -119,6 +119,7 @@ def observe(elements: list[dict], time_s: float, d: dict, least_iou: float = 0.5
     best["interactive_confidence"] = max(best["interactive_confidence"], d["interactive_confidence"])
     if best["class"] == "unknown":
         best["class"] = d["class"]
+    return place
 
 
 def detection(r) -> dict:

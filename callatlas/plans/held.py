@@ -7,9 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def shared_root(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, on one machine only, a folder of our own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="spark-held-")
+
+
 def held(df: DataFrame) -> DataFrame:
-    """df computed once and read back; the folder is spark.checkpoint.dir, or one of our own where that is unset."""
+    """df computed once and read back; the folder is that of shared_root()."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-held-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

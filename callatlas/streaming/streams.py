@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.clicks import THRESHOLD
 from ..operators.targets import REGISTRY, detection, observe
+from ..plans.held import shared_root
 
 CHANGES = "call_id long, time_s double, fraction double, confidence double"
 
@@ -72,7 +72,7 @@ def references_to_clicks(refs: DataFrame, clicks: DataFrame, late: str = "10 sec
 
 
 def elements(detections: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """The elements of each call so far, told anew when it is observed; a call that is silent for keep_ms is
+    """The elements of each call that a batch has observed, as they are then; a call that is silent for keep_ms is
     forgotten, where that is given; such a stream goes on until it is stopped."""
     inner = "x1 int, y1 int, x2 int, y2 int, text string, text_confidence double, interactive_confidence double, class string, first double, last double, n int"
     packed = "array<struct<" + ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in inner.split(", ")) + ">>"
@@ -86,13 +86,12 @@ def elements(detections: DataFrame, keep_ms: int | None = None) -> DataFrame:
             e = list(e)
             held.append({"box": [int(v) for v in e[:4]], "text": e[4], "text_confidence": e[5], "interactive_confidence": e[6], "class": e[7], "first": e[8], "last": e[9], "n": int(e[10])})
         rows = pd.concat(list(batches)).rename(columns={"class": "class_"}).sort_values(["time_s", "det_seq"], kind="stable")
-        for r in rows.itertuples(index=False):
-            observe(held, float(r.time_s), detection(r))
+        touched = sorted({observe(held, float(r.time_s), detection(r)) for r in rows.itertuples(index=False)})
         flat = [(*e["box"], e["text"], e["text_confidence"], e["interactive_confidence"], e["class"], e["first"], e["last"], e["n"]) for e in held]
         state.update((flat,))
         if keep_ms:
             state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame([[key[0], k, *e] for k, e in enumerate(flat)], columns=[c.split()[0] for c in REGISTRY.split(", ")])
+        yield pd.DataFrame([[key[0], k, *flat[k]] for k in touched], columns=[c.split()[0] for c in REGISTRY.split(", ")])
 
     return detections.groupBy("call_id").applyInPandasWithState(run, REGISTRY, f"held {packed}", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
 
@@ -116,8 +115,7 @@ def expired(jobs: DataFrame, now, minutes: int = 60) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now through the stream into a table of files, read back; for queries and tests."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

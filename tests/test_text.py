@@ -62,3 +62,12 @@ def test_boxes(spark):
     r = spark.range(1).select(G.iou(b(0, 0, 10, 10), b(5, 0, 15, 10)), G.area(b(0, 0, 3, 4)), G.interval_iou(F.lit(0.0), F.lit(2.0), F.lit(1.0), F.lit(3.0)), w, G.from_crop(b(10, 20, 90, 44), w)).first()
     assert abs(r[0] - 1 / 3) < 1e-9 and r[1] == 12 and abs(r[2] - 1 / 3) < 1e-9
     assert tuple(r[4]) == (r[3]["x1"] + 10, r[3]["y1"] + 20, r[3]["x1"] + 90, r[3]["y1"] + 44)
+
+
+def test_addresses_of_any_length_are_redacted_in_linear_time(spark):
+    import time
+
+    texts = ["x" * 300_000 + " @", "a@" + "b." * 50_000 + "com", "mail a.b@c.de or a@b.c+d@e.f."]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", T.U + T.SHAPES[2], "<>")).collect()]
+    assert got[0] == texts[0] and got[1] == "<>" and got[2] == "mail <> or <><>." and time.time() - began < 30
