@@ -130,7 +130,19 @@ def services_with_fallback(spark, d):
     return M.answered(X.derived(spark, d, "clicks").select("call_id", "vis_seq"), "describer", "own", "spare")
 
 
-@query()
+IOU = "(greatest(0, least(b.x2, n.x2) - greatest(b.x1, n.x1))::double * greatest(0, least(b.y2, n.y2) - greatest(b.y1, n.y1)))"
+BOXES = X.derived_sql("elements").replace("with ", "with recursive ", 1) + f""",
+ d as (select *, row_number() over (partition by call_id, time_s order by is_text desc, element_seq) as pos, (x2 - x1)::double * (y2 - y1) as area from (
+  select call_id, floor(first_seen_s)::double as time_s, element_seq, true as is_text, x1, y1, x2, y2, text, text_confidence, 0.2e0 as interactive_confidence from elements where text is not null
+  union all select call_id, floor(first_seen_s)::double, element_seq, false, x1 + 2, y1, x2, y2, null, 0, interactive_confidence from elements where element_seq % 2 = 0)),
+ walk as (select distinct call_id, time_s, 0::bigint as pos, 0::bigint as owner, []::bigint[] as held from d
+  union all select call_id, time_s, pos, case when joins then best else pos end, case when joins then held else list_append(held, pos) end
+  from (select *, not is_text and coalesce(iou, 0) >= 0.5 as joins from (select w.call_id, w.time_s, n.pos, n.is_text, w.held, max({IOU} / (b.area + n.area - {IOU})) as iou, arg_max(b.pos, {IOU} / (b.area + n.area - {IOU}) - b.pos * 1e-9) as best
+   from walk w join d n on w.call_id = n.call_id and w.time_s = n.time_s and n.pos = w.pos + 1 left join d b on b.call_id = n.call_id and b.time_s = n.time_s and list_contains(w.held, b.pos) group by w.call_id, w.time_s, n.pos, n.is_text, w.held)))"""
+
+
+@query(BOXES + """ select b.call_id, b.time_s, b.x1, b.y1, b.x2, b.y2, b.text, b.text_confidence, max(m.interactive_confidence) as interactive_confidence
+ from walk w join d m on w.call_id = m.call_id and w.time_s = m.time_s and w.pos = m.pos join d b on w.call_id = b.call_id and w.time_s = b.time_s and w.owner = b.pos group by b.call_id, b.time_s, b.pos, b.x1, b.y1, b.x2, b.y2, b.text, b.text_confidence""")
 def merged_frame_boxes(spark, d):
     """C19"""
     e = X.derived(spark, d, "elements").select("call_id", F.floor("first_seen_s").cast("double").alias("time_s"), F.col("element_seq").alias("seq"), "x1", "y1", "x2", "y2", "text", "text_confidence", "interactive_confidence")

@@ -134,7 +134,16 @@ def parts_onto_calls(spark, d):
     return S.onto_call(s, cut).select("call_id", "seg_idx", "start_s", "end_s", "text", F.size("words").alias("n_words"))
 
 
-@query()
+COUNTED = ", ".join(f"len(list_filter(regexp_split_to_array(lower(text), '[ ,.!?;:\\n]'), lambda w: w in {words})) as {n}" for n, words in (("de", T.GERMAN_WORDS), ("en", T.ENGLISH_WORDS)))
+
+
+@query(f"with {X.segments_sql()}" + f""", t as (select call_id, string_agg(text, ' ' order by start_s) as text from seg group by 1), l as (select call_id, {COUNTED} from t),
+ w as (select call_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) * 0.7e0 as at_s from t where call_id % 3 = 1),
+ own as (select w.call_id, at_s, min(seg_idx) as seg_idx from w join seg on w.call_id = seg.call_id and word <> '' and at_s >= start_s - 0.05e0 and at_s < end_s + 0.05e0 group by 1, 2),
+ k as (select call_id, seg_idx, count(*) as n from own group by 1, 2),
+ n as (select call_id, count(*) as segs, sum(coalesce(k.n, len(list_filter(string_split(text, ' '), lambda x: x <> '')))) as words, count(speaker) as labelled from seg left join k using (call_id, seg_idx) group by 1)
+ select call_id, case when call_id % 3 <> 0 then 'de' when de + en < 3 then null when de >= 2 * en then 'de' when en >= 2 * de then 'en' end as language, case when call_id % 3 = 2 then 1 else segs end as n_segments, words as n_words, case when call_id % 3 = 0 then labelled else 0 end as n_labelled
+ from n join l using (call_id)""")
 def cloud_answers(spark, d):
     """Answers of three shapes made of the scripted calls, read back as transcripts"""
     t = X.segments(spark, d).groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text", "speaker"))).alias("segments"))
@@ -180,19 +189,56 @@ def article_pages(spark, d):
     return A.package(A.markdown(a, s, "2024-01-01")).select("call_id", "path", F.decode("content", "UTF-8").alias("content"))
 
 
+def _worded(c: str, words: dict) -> str:
+    return f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in words.items() if k) + f" else '{words[None]}' end"
+
+
+def _described(de: bool) -> str:
+    """B18 as SQL over told, the events with their targets and references."""
+    pick = lambda german, english: f"'{german if de else english}'"
+    third = lambda v, low, mid, high: f"case when {v} < 0.33e0 then {low} when {v} > 0.66e0 then {high} else {mid} end"
+    verb, kind = (_worded(c, w["de" if de else "en"]) for c, w in (("action", D.VERBS), ("class", D.CLASSES)))
+    across = third("(x1 + x2) / 2e0 / 1920", pick("linken", "left"), pick("mittleren", "center"), pick("rechten", "right"))
+    down = third("(y1 + y2) / 2e0 / 1080", pick("oberen", "upper"), pick("mittleren", "middle"), pick("unteren", "lower"))
+    region = f"' im ' || {across} || ' ' || {down} || ' Bereich des Fensters'" if de else f"' in the ' || {down} || ' ' || {across} || ' area of the window'"
+    actor = f"case when point_source in ('cursor_tracker', 'telemetry') then {pick('Der sichtbare Mauszeiger', 'The visible mouse cursor')} else {pick('Die Aktion', 'The action')} end"
+    sure = "round(overall_confidence::decimal(6, 3), 2)::decimal(6, 2)::varchar"
+    return f"""{actor} || ' ' || {verb} || case when grounding_status = 'unobservable' then {pick('; die genaue Position ist im Video nicht beobachtbar.', '; the exact position is not observable in the video.')}
+ else {pick(' bei x=', ' at x=')} || x || ', y=' || y || case when target_seq is null then '' else {pick(' auf ', ' on ')} || case when target_text is null then {kind} || ' ' || printf('ui_%03d', target_seq) else {pick('', 'the ')} || {kind} || {pick(' „', ' "')} || target_text || {pick('“', '"')} end || {region} end
+ || case grounding_status when 'tracked' then {pick(' (per Tracking verfolgt)', ' (position tracked)')} when 'inferred' then {pick(' (Position geschätzt, nicht direkt beobachtet)', ' (position inferred, not directly observed)')} else '' end || '.'
+ || case when target_seq is null then '' else {pick(' Das Element belegt ungefähr [', ' The element occupies approximately [')} || x1 || ', ' || y1 || ']–[' || x2 || ', ' || y2 || '] px.' end
+ || case when state_change_confidence >= 0.5 or (point_source = 'frame_state_change' and detector_confidence >= 0.5) then {pick(' Unmittelbar anschließend ändert sich die Ansicht.', ' The view changes immediately afterwards.')} else '' end
+ || case when ref_seq is null then '' else {pick(' Die Zuordnung zur Audioanweisung wird mit ', ' The association with the spoken instruction is rated at ')} || {f"replace({sure}, '.', ',')" if de else sure} || {pick(' Gesamtvertrauen bewertet.', ' overall confidence.')} end end"""
+
+
+def _stamped(ms: str, short: bool = False) -> str:
+    return f"printf('%02d:%02d', floor({ms} / 60000)::bigint, floor({ms} / 1000)::bigint % 60)" + ("" if short else f" || printf(',%03d', {ms} % 1000)")
+
+
+TOLD = core.recursive(core.GRAPH) + f""", told as (select g.*, {core.rounded("g.time_s")} as peak_s, e.x1, e.y1, e.x2, e.y2, e.text as target_text, e.class, r.text as said, r.speaker, {core.rounded("r.start_s")} as rs, {core.rounded("r.end_s")} as re
+  from g left join elements e on g.call_id = e.call_id and g.target_seq = e.element_seq left join refs r on g.call_id = r.call_id and g.ref_seq = r.ref_seq)"""
+
+
 def graph(spark, d):
     e = targets.targets_at_points(core.events(spark, d), X.derived(spark, d, "elements"))
     b = held(core.bound(spark, d))
     return fusion.grounded_events(e, b, core.references(spark, d), X.derived(spark, d, "elements")), fusion.unbound(core.references(spark, d), b)
 
 
-@query()
+@query(TOLD + f" select call_id, vis_seq, printf('event_%04d', n) as event_id, {_described(True)} as description_de, {_described(False)} as description_en from told")
 def event_descriptions(spark, d):
     """B18"""
-    return graph(spark, d)[0].select("call_id", "event_id", D.description("de").alias("description_de"), D.description("en").alias("description_en"))
+    return graph(spark, d)[0].select("call_id", "vis_seq", "event_id", D.description("de").alias("description_de"), D.description("en").alias("description_en"))
 
 
-@query()
+MS = "round({} * 1000)::bigint"
+
+
+@query(TOLD + f""", lines as (select call_id, peak_s as time_s, 0 as late, vis_seq as seq, 1 as k, {_stamped(MS.format("peak_s"))} || ': ' || {_described(False)} as line from told
+  union all select call_id, rs, 0, vis_seq, 0, {_stamped(MS.format("rs"))} || '–' || {_stamped(MS.format("re"))} || ': ' || coalesce(speaker, 'Speaker') || ' says: "' || said || '"' from told where ref_seq is not null
+  union all select call_id, rs, 1, ref_seq, 0, {_stamped(MS.format("rs"))} || '–' || {_stamped(MS.format("re"))} || ': ' || coalesce(speaker, 'Speaker') || ' says: "' || text || '" (No associated visual event observed.)'
+   from (select *, {core.rounded("start_s")} as rs, {core.rounded("end_s")} as re from refs anti join bound using (call_id, ref_seq)))
+ select call_id, string_agg(line, chr(10) order by time_s, late, seq, k) as timeline from lines group by 1""")
 def timelines(spark, d):
     """G1, F2, A9"""
     return D.timeline_text(D.timeline(*graph(spark, d), "en"))
@@ -204,7 +250,9 @@ def graph_documents(spark, d):
     return D.graph_documents(*graph(spark, d))
 
 
-@query()
+@query(TOLD + f""", a as (select *, row_number() over (partition by call_id order by ref_seq is null, overall_confidence desc, peak_s, vis_seq) as k from told where grounding_status in ('observed', 'tracked'))
+ select call_id, vis_seq, peak_s, '[' || {_stamped(MS.format("peak_s"), True)} || '] ' || case when target_text is null then case when call_id % 2 = 0 then 'Klick bei (' else 'click at (' end || x || ', ' || y || ')' when call_id % 2 = 0 then 'Klick auf „' || target_text || '“' else 'click on "' || target_text || '"' end
+  || case when said is null then '' when call_id % 2 = 0 then ' – gesagt: „' || said || '“' else ' – said: "' || said || '"' end as line from a where k <= 40""")
 def observed_actions(spark, d):
     """F1, B25"""
     g, _ = graph(spark, d)
@@ -301,7 +349,18 @@ def interval_recall(spark, d):
     return E.interval_recall(p, X.derived(spark, d, "instructions"), 0.3).select("call_id", "n", F.round("recall", 6).alias("recall"))
 
 
-@query()
+TOKEN = "regexp_replace(lower(word), '[^\\p{L}\\p{Nd}]', '', 'g')"
+
+
+@query(core.recursive(f"with {X.WORDS_SQL}" + f""", r as (select call_id, seg_idx, row_number() over (partition by call_id, seg_idx order by word_idx) as i, {TOKEN} as token from words),
+ h as (select call_id, seg_idx, row_number() over (partition by call_id, seg_idx order by word_idx) as j, case when word_idx % 11 = 5 then 'x' else {TOKEN} end as token from words where word_idx % 7 <> 3),
+ size as (select call_id, seg_idx, count(*) as n from r group by 1, 2),
+ grid as (select call_id, seg_idx, j, token from h union all select call_id, seg_idx, 0, null from size),
+ walk as (select call_id, seg_idx, 0::bigint as i, j, j::bigint as cost from grid
+  union all select call_id, seg_idx, i, j, j + min(c - j) over (partition by call_id, seg_idx order by j rows unbounded preceding)
+  from (select w.call_id, w.seg_idx, r.i, w.j, case when w.j = 0 then r.i else least(w.cost + 1, lag(w.cost) over (partition by w.call_id, w.seg_idx order by w.j) + case when g.token = r.token then 0 else 1 end) end as c
+   from walk w join r on w.call_id = r.call_id and w.seg_idx = r.seg_idx and r.i = w.i + 1 join grid g on g.call_id = w.call_id and g.seg_idx = w.seg_idx and g.j = w.j))
+ select call_id, seg_idx, round(arg_max(cost, j) / any_value(n)::double, 6) as wer from walk join size using (call_id, seg_idx) where i = n group by 1, 2"""))
 def word_error_rates(spark, d):
     """Each turn against itself with every seventh word changed or left out"""
     w = X.words(spark, d)
@@ -310,7 +369,12 @@ def word_error_rates(spark, d):
     return E.word_error_rate(p).select("call_id", "seg_idx", F.round("wer", 6).alias("wer"))
 
 
-@query()
+@query(core.recursive(f"with {X.WORDS_SQL}" + f""", r as (select call_id, row_number() over (partition by call_id order by seg_idx, word_idx) as i, {TOKEN} as token, start_s from words),
+ h as (select call_id, row_number() over (partition by call_id order by seg_idx, word_idx) as j, {TOKEN} as token, start_s + (word_idx % 5) * 0.01e0 as start_s from words where word_idx % 7 <> 3),
+ walk as (select distinct call_id, 0::bigint as i, 1::bigint as j, null::double as off from r
+  union all select w.call_id, r.i, coalesce(min(h.j) + 1, w.j), arg_min(abs(h.start_s - r.start_s), h.j)
+  from walk w join r on w.call_id = r.call_id and r.i = w.i + 1 left join h on h.call_id = w.call_id and h.token = r.token and h.j between w.j and w.j + 4 group by w.call_id, r.i, w.j)
+ select call_id, count(*) as n, round(avg(off), 6) as mae, round(quantile_cont(off, 0.5), 6) as median, round(quantile_cont(off, 0.9), 6) as p90, round(quantile_cont(off, 0.95), 6) as p95 from walk where off is not null group by 1"""))
 def word_time_errors(spark, d):
     """D5, D6"""
     w = X.words(spark, d).withColumn("word_seq", F.col("seg_idx") * 10000 + F.col("word_idx"))
