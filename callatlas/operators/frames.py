@@ -30,25 +30,42 @@ def block_difference(a: np.ndarray, b: np.ndarray) -> tuple[float, tuple[int, in
     return float(hit.mean()), (int(x.min()) * BLOCK, int(y.min()) * BLOCK, int(x.max() + 1) * BLOCK, int(y.max() + 1) * BLOCK)
 
 
-def _by_call(frames: DataFrame, run, schema: str) -> DataFrame:
-    return frames.select("call_id", "frame_idx", "pts_s", "width", "height", "pixels").groupBy("call_id").applyInPandas(lambda rows: run(rows.sort_values("frame_idx")), schema)
+def _by_call(frames: DataFrame, start, schema: str) -> DataFrame:
+    """The rows that a call's own function, made by start, gives for each of its frames in order; frames stream through sorted,
+    so a worker holds a batch of them and never a call."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        now, step = None, None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if step is None or r.call_id != now:
+                    now, step = r.call_id, start()
+                out += step(r)
+            yield pd.DataFrame(out, columns=names)
+
+    cols = ["call_id", "frame_idx", "pts_s", "width", "height", "pixels"]
+    return frames.select(*cols).repartition("call_id").sortWithinPartitions("call_id", "frame_idx").mapInPandas(run, schema)
 
 
 def frame_scores(frames: DataFrame) -> DataFrame:
     """H1: (call_id, frame_idx, time_s, fraction, x1, y1, x2, y2) of each frame against the one before; no change: the whole frame."""
-    schema = "call_id long, frame_idx int, time_s double, fraction double, x1 int, y1 int, x2 int, y2 int"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, prev = [], None
-        for r in rows.itertuples(index=False):
-            now = image(r.pixels, r.width, r.height)
-            if prev is not None:
-                fraction, box = block_difference(prev, now)
-                out.append((r.call_id, r.frame_idx, r.pts_s, fraction, *(box or (0, 0, r.width, r.height))))
-            prev = now
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+    def start():
+        prev = None
 
-    return _by_call(frames, run, schema)
+        def step(r) -> list[tuple]:
+            nonlocal prev
+            before, prev = prev, image(r.pixels, r.width, r.height)
+            if before is None:
+                return []
+            fraction, box = block_difference(before, prev)
+            return [(r.call_id, r.frame_idx, r.pts_s, fraction, *(box or (0, 0, r.width, r.height)))]
+
+        return step
+
+    return _by_call(frames, start, "call_id long, frame_idx int, time_s double, fraction double, x1 int, y1 int, x2 int, y2 int")
 
 
 def motion_blob(a: np.ndarray, b: np.ndarray, last: tuple | None, least: int = 4, most: int = 48, step: int = 40):
@@ -65,13 +82,15 @@ def best_match(frame: np.ndarray, template: np.ndarray, x0: int, y0: int, x1: in
     th, tw = template.shape
     t = template.astype(np.int32)
 
+    places = np.lib.stride_tricks.sliding_window_view(frame, (th, tw)) if frame.shape[0] >= th and frame.shape[1] >= tw else None
+
     def scan(ys, xs, best):
-        for y in ys:
-            for x in xs:
-                e = float(np.abs(frame[y : y + th, x : x + tw] - t).mean())
-                if e < best[2]:
-                    best = (x, y, e)
-        return best
+        if places is None or not ys or not xs:
+            return best
+        errors = np.abs(places[ys.start : ys.stop : ys.step, xs.start : xs.stop : xs.step] - t).mean(axis=(2, 3))
+        k, j = divmod(int(errors.argmin()), len(xs))
+        e = float(errors[k, j])
+        return (xs[j], ys[k], e) if e < best[2] else best
 
     best = scan(range(y0, y1 + 1, step), range(x0, x1 + 1, step), (-1, -1, float("inf")))
     if step > 1 and best[0] >= 0:
@@ -86,11 +105,12 @@ CURSOR = "call_id long, sample_seq int, time_s double, x int, y int, confidence
 def cursor_track(frames: DataFrame, template: np.ndarray | None = None, most_error: float = 18.0, radius: int = 120) -> DataFrame:
     """H2, H3: cursor samples of each call, by moving blob or by template."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, prev, last = [], None, None
-        for r in rows.itertuples(index=False):
-            now = image(r.pixels, r.width, r.height).astype(np.int32)
-            sample = None
+    def start():
+        prev, last = None, None
+
+        def step(r) -> list[tuple]:
+            nonlocal prev, last
+            now, sample = image(r.pixels, r.width, r.height).astype(np.int32), None
             if template is not None:
                 x1, y1 = r.width - template.shape[1], r.height - template.shape[0]
                 near = (0, 0, x1, y1) if last is None else (max(0, last[0] - radius), max(0, last[1] - radius), min(x1, last[0] + radius), min(y1, last[1] + radius))
@@ -101,12 +121,12 @@ def cursor_track(frames: DataFrame, template: np.ndarray | None = None, most_err
                 sample = (x, y, min(0.98, max(0.2, 1 - e / most_error))) if last else None
             elif prev is not None:
                 last, sample = motion_blob(prev, now, last)
-            if sample:
-                out.append((r.call_id, r.frame_idx, r.pts_s, *sample))
             prev = now
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CURSOR.split(", ")])
+            return [(r.call_id, r.frame_idx, r.pts_s, *sample)] if sample else []
+
+        return step
 
-    return _by_call(frames, run, CURSOR)
+    return _by_call(frames, start, CURSOR)
 
 
 def first_of_second(frames: DataFrame) -> DataFrame:

@@ -130,15 +130,22 @@ def detection(r) -> dict:
 def stable_elements(detections: DataFrame) -> DataFrame:
     """H6: elements of each call from its detections (call_id, time_s, det_seq, box, text, confidences, class) in time order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.rename(columns={"class": "class_"}).sort_values(["time_s", "det_seq"], kind="stable")
-        held: list[dict] = []
-        for r in rows.itertuples(index=False):
-            observe(held, float(r.time_s), detection(r))
-        call = int(rows.call_id.iloc[0])
-        return pd.DataFrame([[call, k, *e["box"], e["text"], e["text_confidence"], e["interactive_confidence"], e["class"], e["first"], e["last"], e["n"]] for k, e in enumerate(held)], columns=[c.split()[0] for c in REGISTRY.split(", ")])
+    names = [c.split()[0] for c in REGISTRY.split(", ")]
 
-    return detections.groupBy("call_id").applyInPandas(run, REGISTRY)
+    def run(batches):
+        now, held = None, []
+        told = lambda: pd.DataFrame([[now, k, *e["box"], e["text"], e["text_confidence"], e["interactive_confidence"], e["class"], e["first"], e["last"], e["n"]] for k, e in enumerate(held)], columns=names)
+        for b in batches:
+            for r in b.rename(columns={"class": "class_"}).itertuples(index=False):
+                if r.call_id != now:
+                    if held:
+                        yield told()
+                    now, held = int(r.call_id), []
+                observe(held, float(r.time_s), detection(r))
+        yield told()
+
+    d = detections.select("call_id", "time_s", "det_seq", "x1", "y1", "x2", "y2", "text", "text_confidence", "interactive_confidence", "class")
+    return d.repartition("call_id").sortWithinPartitions("call_id", F.asc_nulls_last("time_s"), "det_seq").mapInPandas(run, REGISTRY)
 
 
 def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0.5) -> DataFrame:
@@ -148,34 +155,22 @@ def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0
     both = text_boxes.withColumns({"interactive_confidence": F.lit(0.2), "is_text": F.lit(True)}).select(*cols).union(interactive.withColumns({"text": F.lit(None).cast("string"), "text_confidence": F.lit(0.0), "is_text": F.lit(False)}).select(*cols))
     schema = "call_id long, time_s double, x1 int, y1 int, x2 int, y2 int, text string, text_confidence double, interactive_confidence double"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time_s", "is_text", "seq"], ascending=[True, False, True])
-        done, held, now = [], [], None
-        for r in rows.itertuples(index=False):
-            if r.time_s != now:
-                done, held, now = done + held, [], r.time_s
-            box = [r.x1, r.y1, r.x2, r.y2]
-            best = max(held, key=lambda e: _overlap(e[2:6], box), default=None) if not r.is_text else None
-            if best is not None and _overlap(best[2:6], box) >= least:
-                best[8] = max(best[8], r.interactive_confidence)
-            else:
-                held.append([r.call_id, r.time_s, *box, r.text, r.text_confidence, r.interactive_confidence])
-        return pd.DataFrame(done + held, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return both.groupBy("call_id").applyInPandas(run, schema)
-
-
-def requests(events: DataFrame, calls: DataFrame) -> DataFrame:
-    """H7: what to ask the model steps for: frames around events, pointing clips, tracking spans, narrative clips; cut to the call."""
-    e = events.join(calls.select("call_id", "duration_s"), "call_id")
-    clip = lambda low, high: F.struct(F.greatest(F.lit(0.0), low).alias("from_s"), F.least(F.col("duration_s"), high).alias("to_s"))
-    t = F.col("time_s")
-    frame = lambda d: F.struct(F.lit("ui_frame").alias("service"), clip(t + d, t + d).alias("span"))
-    asks = F.array(
-        frame(-0.3), frame(0.4),
-        F.when(F.col("x").isNull(), F.struct(F.lit("pointing").alias("service"), clip(t - 0.5, t + 0.5).alias("span"))),
-        F.when(F.col("target_seq").isNotNull(), F.struct(F.lit("tracking").alias("service"), clip(t - 1, t + 1).alias("span"))),
-        F.struct(F.lit("narrative").alias("service"), clip(F.col("start_s") - 1, F.col("end_s") + 1).alias("span")),
-    )
-    out = e.select("call_id", "vis_seq", F.explode(F.filter(asks, lambda a: a.isNotNull())).alias("a"))
-    return out.select("call_id", "vis_seq", "a.service", F.least("a.span.from_s", "a.span.to_s").alias("from_s"), "a.span.to_s")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            done = []
+            for r in b.itertuples(index=False):
+                if (r.call_id, r.time_s) != now:
+                    done, held, now = done + held, [], (r.call_id, r.time_s)
+                box = [r.x1, r.y1, r.x2, r.y2]
+                best = max(held, key=lambda e: _overlap(e[2:6], box), default=None) if not r.is_text else None
+                if best is not None and _overlap(best[2:6], box) >= least:
+                    best[8] = max(best[8], r.interactive_confidence)
+                else:
+                    held.append([r.call_id, r.time_s, *box, r.text, r.text_confidence, r.interactive_confidence])
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame(held, columns=names)
+
+    return both.repartition("call_id", "time_s").sortWithinPartitions("call_id", "time_s", F.desc("is_text"), "seq").mapInPandas(run, schema)
