@@ -85,6 +85,33 @@ def split_words(text: pa.Array):
     return words.filter(full), rows.filter(full).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[tuple[pa.Table, "np.ndarray"]]:
+    """(table, starts): the rows of batches sorted by keys, about rows at a time, and where each group of equal keys starts.
+    A group is never divided, so a worker holds about rows plus the largest group."""
+    import numpy as np
+
+    def starts(t: pa.Table) -> np.ndarray:
+        cols = [t.column(k).to_numpy() for k in keys]
+        return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0))))
+
+    held: list[pa.RecordBatch] = []
+    size, wanted = 0, rows
+    for b in batches:
+        held, size = [*held, b], size + b.num_rows
+        if size < wanted:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        s = starts(t)
+        if len(s) > 1:
+            yield t.slice(0, int(s[-1])), s[:-1]
+            t = t.slice(int(s[-1]))
+        held, size = t.to_batches(), t.num_rows
+        wanted = max(rows, 2 * size)
+    if size:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, starts(t)
+
+
 def word_count(text) -> "F.Column":
     """Number of words of a text column, null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

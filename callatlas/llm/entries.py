@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import counts, covertree, lines, mixing, pieces, pii, quality, simhash, toxicity, warc
+from . import counts, covertree, lexical, lines, mixing, pieces, pii, quality, simhash, toxicity, variants, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
@@ -17,6 +17,8 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_lexical": lexical.op11_lexical,
+    "op13_variants": variants.op13_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +26,6 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op3_covertree": covertree.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_lexical": lexical.OP11_SQL,
+    "op13_variants": variants.OP13_SQL,
 }
