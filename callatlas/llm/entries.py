@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import counts, covertree, lexical, lines, mixing, pieces, pii, quality, simhash, toxicity, variants, warc
+from . import counts, covertree, lexical, lines, minhash, mixing, pieces, pii, quality, simhash, toxicity, variants, warc
 
 QUERIES = {
     "op8_mixing": mixing.op8_mixing,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_simhash": simhash.op10_simhash,
     "op11_lexical": lexical.op11_lexical,
+    "op12_minhash": minhash.op12_minhash,
     "op13_variants": variants.op13_variants,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,5 +28,6 @@ ORACLES = {
     "op3_covertree": covertree.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op11_lexical": lexical.OP11_SQL,
+    "op12_minhash": minhash.OP12_SQL,
     "op13_variants": variants.OP13_SQL,
 }
