@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, stored, whole_groups
 
-#: Signatures that are compared in one group.
-CHUNK = 4096
+#: Characters of the texts of one side of a group.
+CHUNK = 1_000_000
 
 #: (signatures of rows i, of rows j) -> how alike each pair looks; rows of an array are signatures.
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -26,9 +26,8 @@ def resolve(each: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles:
     keys; a pair whose signatures look alike by less than cut_off is no link; any other is decided on the full sets.
 
     First every set meets one set of each of its keys, the one with the most company, so that a family around one text
-    joins in time linear in its size. Then only sets of one candidate component that are not joined yet meet: each first with
-    the likeliest of another part, then with all that look alike. Of each set the text is fetched once; pairs carry
-    texts only where both sides look alike.
+    joins in time linear in its size. Then only sets of one candidate component that are not joined yet meet, in
+    groups of chunks. Of each set the text is fetched once.
     """
     keys = each.select("sid", F.explode("bands").alias("key"))
     company = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select(F.col("key").alias("k"), "held")
@@ -41,10 +40,8 @@ def resolve(each: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles:
     near = stored(likely(stars, signed, alike, cut_off, share), "likely")
     known = stored(texts(signed.select("sid")).dropDuplicates(["sid"]), "texts")
     links = verified(near, known, shingles, share)
-    for every in (False, True):
-        apart = unjoined(signed, components(links))
-        links = links.union(verified(across(apart, alike, cut_off, share, every, chunk), known, shingles, share))
-    return components(links)
+    apart = unjoined(signed, components(links))
+    return components(links.union(stored(across(apart, known, shingles, alike, cut_off, share, chunk), "across")))
 
 
 def fits(n, m, share: tuple[int, int]):
@@ -105,44 +102,66 @@ def unjoined(signed: DataFrame, joined: DataFrame) -> DataFrame:
     """(root, part, sid, n, signature) of the candidate components whose sets are not all in one part yet."""
     s = signed.join(joined.select("node", F.col("root").alias("part")), F.col("sid") == F.col("node"), "left").select("root", F.coalesce("part", "sid").alias("part"), "sid", "n", "signature")
     s = stored(s, "parts")
-    split = s.groupBy("root").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("size")).where("a <> b").select(F.col("root").alias("r"), "size")
-    return s.join(split, F.col("root") == F.col("r")).select("root", "size", "part", "sid", "n", "signature")
+    split = s.groupBy("root").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select(F.col("root").alias("r"))
+    return s.join(split, F.col("root") == F.col("r")).select("root", "part", "sid", "n", "signature")
 
 
-def across(apart: DataFrame, alike: Alike, cut_off: float, share: tuple[int, int], every: bool, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): sets of different parts of one candidate component that look alike: with every all such pairs, else for each
-    set the likeliest one in a group.
+def across(apart: DataFrame, known: DataFrame, shingles: Callable[[str], np.ndarray], alike: Alike, cut_off: float, share: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
+    """(u, v): links between sets of different parts of one candidate component, so many that all parts that have links are joined.
 
-    A component of over chunk sets is cut into chunks by (part, sid), each pair of which is a group of its own; where
-    both chunks are of one part alone there is nothing to compare, so a family that is joined already costs nothing.
+    A component of over chunk characters is cut into chunks, each pair of which is a group of its own; where both chunks
+    are of one part alone there is nothing to compare, so a family that is joined already costs nothing. In a group the pairs
+    that look alike are taken by falling likeness, and a pair that earlier links have joined is not looked at again: a group
+    yields edges of a forest, never its pairs.
     """
-    own = apart.groupBy("root", "part").agg(F.count("*").alias("held")).select(F.col("root").alias("r"), F.col("part").alias("p"), "held")
-    a = apart.join(own, (F.col("root") == F.col("r")) & (F.col("part") == F.col("p")))
+    a = stored(apart.join(known.withColumnRenamed("sid", "t"), F.col("sid") == F.col("t")).drop("t").withColumn("chars", F.length("text")), "apart")
+    own = a.groupBy("root", "part").agg(F.sum("chars").alias("held"))
+    all_ = own.groupBy("root").agg(F.sum("held").alias("size"))
+    own = own.join(all_, "root").select(F.col("root").alias("r"), F.col("part").alias("p"), "held", "size")
+    a = a.join(own, (F.col("root") == F.col("r")) & (F.col("part") == F.col("p")))
     large = F.col("held") > chunk  # a part with chunks of its own; the others share those of the component
-    place = F.when(large, F.struct(F.col("part").alias("of"), F.pmod(F.xxhash64("sid"), F.ceil(F.col("held") / chunk)).alias("c"))).otherwise(
-        F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("part"), F.ceil(F.col("size") / chunk)).alias("c")))
-    a = stored(a.withColumn("place", place).drop("r", "p", "held"), "places")
+    c = F.when(large, F.pmod(F.xxhash64("sid"), F.ceil(F.col("held") / chunk))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("size") / chunk)))
+    place = F.struct(F.when(large, F.col("part")).alias("of"), c.alias("c"))
+    a = stored(a.select("root", place.alias("place"), "part", "sid", "n", "signature", "text"), "places")
     spots = a.select("root", "place").distinct()
     two = spots.join(spots.select(F.col("root").alias("r"), F.col("place").alias("other")), F.col("root") == F.col("r"))
     pair = two.where("(place < other and not (place.of is not null and place.of <=> other.of)) or (place = other and place.of is null)")
     ids = pair.select(F.xxhash64("root", "place", "other").alias("g"), "root", F.explode(F.array_distinct(F.array("place", "other"))).alias("at")).select("g", F.col("root").alias("r"), "at")
-    met = a.join(ids, (F.col("root") == F.col("r")) & (F.col("place") == F.col("at"))).select("g", "root", "place.c", "place.of", "part", "sid", "n", "signature")
+    met = a.join(ids, (F.col("root") == F.col("r")) & (F.col("place") == F.col("at"))).select("g", "part", "sid", "n", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, ["g"]):
+        for t, starts in whole_groups(batches, ["g"], 1024):
             sign, part, sid, n = _signatures(t.column("signature")), *(t.column(x).to_numpy() for x in ("part", "sid", "n"))
-            left, right = [], []
+            text, links = t.column("text"), []
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                for x in range(lo, hi - 1):
-                    y = np.arange(x + 1, hi)
-                    y = y[(part[y] != part[x]) & fits(n[y], n[x], share)]
-                    looks = alike(sign[x : x + 1], sign[y])
-                    ok = np.flatnonzero(looks >= cut_off)
-                    if len(ok) and not every:
-                        ok = ok[[int(np.argmax(looks[ok]))]]
-                    left.append(np.full(len(ok), x))
-                    right.append(y[ok])
-            i, j = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sid[i], sid[j]), pa.int64()), pa.array(np.minimum(sid[i], sid[j]), pa.int64())], ["u", "v"])
+                links += _forest(sign[lo:hi], part[lo:hi], sid[lo:hi], n[lo:hi], text.slice(lo, hi - lo), shingles, alike, cut_off, share)
+            yield pa.RecordBatch.from_arrays([pa.array([f(e) for e in links], pa.int64()) for f in (max, min)], ["u", "v"])
 
     return met.repartition("g").sortWithinPartitions("g", "sid").mapInArrow(run, "u long, v long").distinct()
+
+
+def _forest(sign: np.ndarray, part: np.ndarray, sid: np.ndarray, n: np.ndarray, text: pa.ChunkedArray, shingles, alike: Alike, cut_off: float, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links (sid, sid) of a group that join its parts as all its links do."""
+    left, right, looks = [], [], []
+    for x in range(len(sid) - 1):
+        y = np.arange(x + 1, len(sid))
+        y = y[(part[y] != part[x]) & fits(n[y], n[x], share)]
+        score = alike(sign[x : x + 1], sign[y])
+        ok = score >= cut_off
+        left.append(np.full(int(ok.sum()), x))
+        right.append(y[ok])
+        looks.append(score[ok])
+    if not left:
+        return []
+    i, j, looks = (np.concatenate(z) for z in (left, right, looks))
+    order = np.argsort(-looks, kind="stable")
+    root = np.unique(part, return_inverse=True)[1]
+    sets = {k: shingles(text[k].as_py()) for k in np.unique(np.concatenate((i, j))).tolist()}
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if root[x] != root[y]:
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if share[1] * common >= share[0] * (len(sets[x]) + len(sets[y]) - common):
+                out.append((int(sid[x]), int(sid[y])))
+                root[root == root[y]] = root[x]
+    return out

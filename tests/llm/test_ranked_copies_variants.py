@@ -118,7 +118,7 @@ def copies(seed=12, families_=10, each=12):
     return [*rows, (3, rows[7][1]), (3, rows[7][1]), (None, rows[8][1].upper()), (1, "a b c"), (2, "A b  c"), (4, "a b d"), (5, ""), (6, None), (7, " \n"), (8, "ÄB c"), (9, "äb c"), (None, "quite alone"), (900, "z y x " * 9000)]
 
 
-@pytest.mark.parametrize("chunk", [5, 4096])
+@pytest.mark.parametrize("chunk", [900, 1_000_000])
 def test_components_are_brute_force(spark, chunk, monkeypatch):
     rows = copies()
     whole = families.resolve
@@ -159,7 +159,7 @@ def test_a_family_around_one_text_makes_no_pairs(spark):
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     finally:
         families.across = whole
-    assert {x["component_id"] for x in got} == {0} and [m.count() for m in made] == [0, 0]
+    assert {x["component_id"] for x in got} == {0} and [m.count() for m in made] == [0]
 
 
 # --- op13
