@@ -29,7 +29,7 @@ PREPOSITION_TARGET = (
 )
 POLITE = ("Sie", "Ihnen", "Ihre", "Ihr")
 FILLER = (
-    r"^(?:(?:äh|ähm|ehm|uh|uhm)\b[,\s]*|(?:also|so|okay|ok|ja|nun|gut|und|um|well|right|alright|now|and)\s*,\s*)+"
+    r"^(?:(?:äh|ähm|ehm|uh|uhm)\b[,\s]*|(?:also|so|okay|ok|ja|nun|gut|und|um|well|right|alright|now|and)\s*,\s*)++"
     r"|\b(?:äh|ähm|ehm|uh|uhm)\b[,]?\s*"
 )
 SMALL_TALK = (
@@ -57,7 +57,7 @@ ADDRESS = (
 )
 QUOTED = "(?<!\\w)[„\"“«‚']([^\"“”»'‘’„]{3,120})[\"“”»'‘’](?!\\w)"
 NAMED_KEY = r"(?:Ctrl|Strg|Control|AltGr|Alt|Shift|Umschalt|Cmd|Command|Win(?:dows)?(?:[- ]?(?:key|Taste|logo key))?|Enter|Eingabe(?:taste)?|Return|Tab|Esc|Escape|Entf|Del|Delete|Space|Leertaste|Backspace|Pos1|F\d{1,2})"
-KEY_COMBINATION = rf"\b{NAMED_KEY}(?:\s*\+\s*(?:{NAMED_KEY}|[A-Z0-9]))+\b"
+KEY_COMBINATION = rf"\b{NAMED_KEY}(?:\s*\+\s*(?:{NAMED_KEY}|[A-Z0-9])\b)++"
 # Personal data, by shape in this order, then by label, title, introduction and company.
 NAME = r"\p{Lu}[\p{Ll}'-]+(?:[- ]\p{Lu}[\p{Ll}'-]+)?"
 SHAPES = [
@@ -73,7 +73,10 @@ LABELS = (
     r"Kunden(?:-?nummer|-?nr\.?)|Vertrags(?:-?nummer|-?nr\.?)|Lizenz(?:-?nummer|-?schlüssel|-?key)|Seriennummer|Mandant(?:en-?nummer)?|Benutzername|Passwort|Kennwort|"
     r"customer (?:number|no\.?|id)|account (?:number|id)|contract number|licen[cs]e (?:number|key)|serial number|user ?name|password"
 )
-IDENTIFIER = r"(?:[\w-]|[./@](?=\w))*[\d_@](?:[\w-]|[./@](?=\w))*"
+# An identifier is word characters and hyphens, with ./@ before a word character, and holds a digit, _ or @; possessive: no step is undone.
+PLAIN = r"[[\w&&[^\d_]]-]*+(?:[./](?=\w)[[\w&&[^\d_]]-]*+)*+"
+ANY = r"[\w-]*+(?:[./@](?=\w)[\w-]*+)*+"
+IDENTIFIER = rf"{PLAIN}(?:@(?!\w){ANY}|[\d_@]{ANY}(?:@(?!\w){ANY})?+)"
 LABELLED = rf"(\b(?:{LABELS})\b\s*(?:lautet|:|=|#)\s*)([^\s,;]*[^\s.,;])|(\b(?:{LABELS})\b\s*(?:(?:ist|is)\s+)?)({IDENTIFIER})"
 TITLED = rf"\b(Herrn?|Frau|Hr\.|Fr\.|Mr\.?|Mrs\.?|Ms\.?)\s+{NAME}"
 INTRODUCED = rf"(\b(?:[Mm]ein Name ist|[Ii]ch hei(?:ss|ß)e|[Mm]y name is)\s+){NAME}|(\b(?:[Hh]ier ist|[Hh]ier spricht|[Tt]his is)\s+){NAME}(?=\s+(?:von|vom|bei|from|at)\b)"
@@ -126,7 +129,7 @@ def clean(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(text, U + r"^\s+|\s+$", ""), U + r"\s+", " ")
     t = F.trim(F.regexp_replace(t, IU + FILLER, ""))
     t = F.regexp_replace(t, r"\s+([,.!?])", "$1")
-    t = F.regexp_replace(t, IU + r"\b(\w+)( \1\b)+", "$1")
+    t = F.regexp_replace(t, IU + r"\b(\w+)( \1\b)++", "$1")
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
 
 

@@ -174,3 +174,18 @@ def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0
         yield pd.DataFrame(held, columns=names)
 
     return both.repartition("call_id", "time_s").sortWithinPartitions("call_id", "time_s", F.desc("is_text"), "seq").mapInPandas(run, schema)
+
+
+def requests(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """H7: what to ask the model steps for: a frame before and one after each event, a pointing clip where no point is known, a
+    tracking span where a target is, and a clip of the words with a second on both sides; all within the call."""
+    t, end = F.col("time_s"), F.col("duration_s")
+    ask = lambda service, low, high: F.struct(F.lit(service).alias("service"), F.greatest(F.lit(0.0), F.least(end, low)).alias("from_s"), F.least(end, high).alias("to_s"))
+    asks = F.array(
+        ask("ui_frame", t - 0.3, t - 0.3), ask("ui_frame", t + 0.4, t + 0.4),
+        F.when(F.col("x").isNull(), ask("pointing", t - 0.5, t + 0.5)),
+        F.when(F.col("target_seq").isNotNull(), ask("tracking", t - 1, t + 1)),
+        ask("narrative", F.col("start_s") - 1, F.col("end_s") + 1),
+    )
+    e = events.join(calls.select("call_id", "duration_s"), "call_id").select("call_id", "vis_seq", F.explode(F.array_compact(asks)).alias("a"))
+    return e.select("call_id", "vis_seq", "a.service", F.least("a.from_s", "a.to_s").alias("from_s"), "a.to_s")

@@ -71,3 +71,38 @@ def test_addresses_of_any_length_are_redacted_in_linear_time(spark):
     began = time.time()
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", T.U + T.SHAPES[2], "<>")).collect()]
     assert got[0] == texts[0] and got[1] == "<>" and got[2] == "mail <> or <><>." and time.time() - began < 30
+
+
+def test_identifiers_match_as_the_plain_rule_does(spark):
+    """The possessive pattern against the plain one, which Java runs by recursion, over short random strings."""
+    import random
+
+    r = random.Random(6)
+    rows = [("".join(r.choice("ab1_@./- ") for _ in range(r.randrange(1, 12))),) for _ in range(4000)]
+    plain = r"(?:[\w-]|[./@](?=\w))*[\d_@](?:[\w-]|[./@](?=\w))*"
+    got = spark.createDataFrame(rows, "t string").select("t", F.regexp_extract_all("t", F.lit(T.U + T.IDENTIFIER), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(T.U + plain), F.lit(0)).alias("b"))
+    assert got.where("a <> b").collect() == [] and got.where("size(a) > 0").count() > 1000
+
+
+HOSTILE = [
+    "Passwort " + "a." * 50_000, "Passwort " + "a-" * 50_000, "Passwort " + "1@" * 50_000, "a." * 50_000, "@." * 50_000, "A1 " * 33_000, "1 " * 50_000, "12" * 50_000, "+41 " * 25_000, " " * 100_000, "\n" * 100_000,
+    "Klicken Sie " * 8_000, "„" * 100_000, "„a“" * 30_000, "'" * 100_000, "Muster " * 14_000, "Aa-" * 33_000, "Herr " * 20_000, "Firma " * 16_000, "mein Name ist " * 7_000, "auf " * 25_000, "auf den " * 12_000, "Ctrl+" * 20_000,
+    "the " * 25_000, "äh " * 33_000, "wir " * 25_000, "ähm, " * 20_000, "error: " * 14_000, "Fehler " * 14_000, "x" * 100_000, "X" * 100_000, "日本" * 50_000, "CH93 0076 " * 10_000, "." * 100_000, "?! " * 33_000, "Strg + S, " * 10_000,
+]
+
+
+def test_no_text_kills_a_function(spark):
+    """Every column over texts on 20 kB of what could make its patterns run away or overflow the stack."""
+    import time
+
+    t = F.col("t")
+    d = spark.createDataFrame([(k, x[:20_000]) for k, x in enumerate(HOSTILE)], "k int, t string").repartition(4)
+    began = time.time()
+    out = d.select(F.length(T.clean(t)), T.redact(t, F.lit("de"))["count"], T.explicit_target(t), F.size(T.error_messages(t)), T.guess_language(t), T.action(t), T.is_deictic(t), *[v.alias(k) for k, v in T.flags(t).items()]).collect()
+    assert len(out) == len(HOSTILE) and time.time() - began < 60
+
+
+def test_long_labelled_values_are_redacted(spark):
+    rows = [("Passwort " + "a." * 10_000 + "b1",), ("Passwort " + "a-" * 10_000,), ("password: " + "x" * 20_000 + " end",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.redact(F.col("t"), F.lit("en"))["text"]).collect()]
+    assert got == ["Passwort [removed]", rows[1][0], "password: [removed] end"]
