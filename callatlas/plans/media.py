@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
@@ -11,7 +13,10 @@ from ..operators import frames as P
 from ..operators import model_steps as M
 from ..operators import targets
 from ..sources import fixtures as X
+from ..sources import frame_files
+from ..streaming import ordered as O
 from ..streaming import streams as Z
+from .held import shared_root
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,6 +57,25 @@ def frames(spark, d):
     return g.mapInPandas(draw, "call_id long, frame_idx int, pts_s double, width int, height int, pixels binary")
 
 
+def filed(spark, d, columns=()):
+    """The frames of frames() written to files of calls and read from them."""
+    path = f"{shared_root(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
+    frame_files.write_frames(frames(spark, d), path).write.format("noop").mode("overwrite").save()
+    return frame_files.frames(spark, path, columns).withColumn("call_id", F.col("call_id").cast("long"))
+
+
+@query(f"with c as (select user_id as call_id, max({X.time_sql()}) + 1 as duration_s from events group by 1) select call_id, k::int as frame_idx, k::double / {FPS} as pts_s from c, range(0, (floor(duration_s * {FPS}) + 1)::bigint) t(k)")
+def frame_times(spark, d):
+    """A10: the times of all frames, read from files without their pixels"""
+    return filed(spark, d, ("call_id", "frame_idx", "pts_s")).select("call_id", "frame_idx", "pts_s")
+
+
+@query()
+def frame_differences_from_files(spark, d):
+    """A10, H1: from files of frames"""
+    return P.frame_scores(filed(spark, d)).select("call_id", "frame_idx", "time_s", F.round("fraction", 6).alias("fraction"), "x1", "y1", "x2", "y2")
+
+
 @query()
 def frame_differences(spark, d):
     """A10, H1"""
@@ -171,6 +195,40 @@ def stream_cursor(spark, d):
     return Z.run_to_end(Z.cursor_session(e))
 
 
+IDLE_MS = 21_600_000
+WAITED = """s as (select user_id as call_id, epoch_us(ts) as us, event_id, (event_id % 100) / 1000 as fraction from events), m as (select max(us) // 1000 - 10000 as wm from s), r as (select s.* from s, m where us <= wm * 1000)"""
+
+
+def _ended(run, f):
+    """What run makes of f's stream; the session's state store is then what it was."""
+    spark = f.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    try:
+        return Z.run_to_end(run(f, "10 seconds", IDLE_MS))
+    finally:
+        spark.conf.set(key, was)
+
+
+@query(f"""with {WAITED}, n as (select *, lag(us) over w as bu, lead(us) over w as au, lag(fraction) over w as b, lead(fraction) over w as a from r window w as (partition by call_id order by us, fraction)),
+ t as (select n.*, m.wm * 1000 > us + {IDLE_MS}000 and not exists (select 1 from s where s.call_id = n.call_id and s.us > m.wm * 1000) as over from n, m)
+ select call_id, us::double as time_s, fraction, least(0.98, greatest(0.3, fraction / 0.03e0))::double as confidence from t where fraction >= 0.0015
+ and (b is null or us - bu > {IDLE_MS}000 or fraction >= b) and case when au is null then over else au - us > {IDLE_MS}000 or fraction > a end""")
+def stream_state_changes_in_order(spark, d):
+    """What the watermark has passed, in order across batches; a call ends after six hours of silence"""
+    return _ended(O.state_changes, _events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.unix_micros("ts").cast("double").alias("time_s"), ((F.col("event_id") % 100) / 1000).alias("fraction")))
+
+
+@query(f"""with {WAITED}, g as (select *, (event_id % 640)::int as x, (event_id % 480)::int as y, event_id % 9 as n, event_id % 9 >= 4 and event_id % 5 <> 0 as moved,
+  case when us - lag(us) over (partition by call_id order by us) > {IDLE_MS}000 then 1 else 0 end as new from r), k as (select *, sum(new) over (partition by call_id order by us) as part from g),
+ l as (select *, last_value(case when moved then x end ignore nulls) over w as lx, last_value(case when moved then y end ignore nulls) over w as ly from k window w as (partition by call_id, part order by us rows unbounded preceding))
+ select call_id, us::double as time_s, lx as x, ly as y, case when moved then 0.75e0 else 0.7e0 end as confidence from l where moved or (lx is not null and n < 4)""")
+def stream_cursor_in_order(spark, d):
+    """I2, I8"""
+    e = _events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.unix_micros("ts").cast("double").alias("time_s"), (F.col("event_id") % 640).alias("x"), (F.col("event_id") % 480).alias("y"), (F.col("event_id") % 9).alias("n_pixels"), (F.col("event_id") % 5 != 0).alias("small"))
+    return _ended(O.cursor_session, e)
+
+
 @query("""select user_id as call_id, epoch_us(ts) // 1000000 as second_s, arg_min(event_id, epoch_us(ts)) as frame_idx from events group by 1, 2
  having (second_s + 1) * 1000 <= (select max(epoch_us(ts)) // 1000 - 10000 from events)""")
 def stream_thumbnails(spark, d):
