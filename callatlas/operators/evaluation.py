@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, interval_iou
 from ..functions.text import U, similarity
+from .alike import alike_texts
 from .intervals import overlapping
+from .quantiles import exact_quantiles
 
 
 def nan_if_none(c: Column) -> Column:
@@ -22,16 +24,29 @@ def matched(truth: DataFrame, events: DataFrame) -> DataFrame:
     e = events.select("call_id", "event_seq", "peak_s", "type", "grounding_status", "px", "py", "target_text", "ref_start_s", "ref_end_s", "transcript", F.col("speaker").alias("heard_speaker"))
     said = overlapping(truth, e, ("utterance_start_s", "utterance_end_s"), ("ref_start_s", "ref_end_s"))
     said = said.where(interval_iou(F.col("ref_start_s"), F.col("ref_end_s"), F.col("utterance_start_s"), F.col("utterance_end_s")) > 0)
-    # each text of a call is compared once with each other one, and rows meet by equal texts
-    heard = e.select("call_id", "transcript").distinct().join(truth.select("call_id", "action_utterance").distinct(), "call_id")
-    a, b = F.length(F.trim("transcript")), F.length(F.trim("action_utterance"))
-    alike = heard.where((F.least(a, b) >= 0.6 * F.greatest(a, b)) & (similarity(F.col("transcript"), F.col("action_utterance")) >= 0.6))
-    read = truth.join(alike, ["call_id", "action_utterance"]).join(e, ["call_id", "transcript"])
-    p = said.unionByName(read)
+    p = said.unionByName(_read(truth, e))
     best = p.groupBy("call_id", "gt_idx").agg(F.min_by(F.struct("event_seq", "peak_s", "type", "grounding_status", "px", "py", "target_text"), F.struct(F.abs(F.col("peak_s") - F.col("event_time_s")), "event_seq")).alias("cand"), F.collect_set(F.struct("event_seq", F.col("heard_speaker").alias("speaker"))).alias("heard"))
     return truth.join(best, ["call_id", "gt_idx"], "left")
 
 
+def _read(truth: DataFrame, e: DataFrame) -> DataFrame:
+    """truth with the events that read like it: of each text that does, the nearest in time on both sides, so that a phrase said
+    many times is looked up, not paired."""
+    alike = alike_texts(truth.select("call_id", F.col("action_utterance").alias("text")), e.select("call_id", F.col("transcript").alias("text")))
+    asked = truth.join(alike.withColumnsRenamed({"a": "action_utterance", "b": "transcript"}), ["call_id", "action_utterance"])
+    mine, own = F.struct(*truth.columns), [c for c in e.columns if c not in ("call_id", "transcript")]
+    at = ["call_id", "transcript"]
+    # of events at one time the first counts; its speakers are all kept
+    first = F.min("event_seq").over(W.partitionBy(*at, "peak_s"))
+    heard = e.withColumn("first", first).where("event_seq = first").groupBy(*at, "peak_s").agg(F.sort_array(F.collect_set(F.struct(*own))).alias("events"))
+    both = asked.select(*at, F.col("event_time_s").alias("t"), mine.alias("truth"), F.lit(None).cast(heard.schema["events"].dataType).alias("events"))
+    both = both.unionByName(heard.select(*at, F.col("peak_s").alias("t"), "events"), allowMissingColumns=True)
+    w = W.partitionBy(*at).orderBy("t")
+    near = F.array_compact(F.array(F.last("events", True).over(w.rangeBetween(W.unboundedPreceding, 0)), F.first("events", True).over(w.rangeBetween(0, W.unboundedFollowing))))
+    found = both.withColumn("near", F.array_distinct(F.flatten(near))).where("truth is not null").select("truth", "transcript", F.explode("near").alias("n"))
+    return found.select("truth.*", "transcript", "n.*")
+
+
 def judged(m: DataFrame, tolerance: float = 0.25, require_speaker: bool = False) -> DataFrame:
     """Per true event what the candidate got right; a hidden click is hit where no observed point is claimed."""
     c = F.col("cand")
@@ -51,6 +66,16 @@ def scores(j: DataFrame, *by: str) -> DataFrame:
     return j.groupBy(*by).agg(share("all_ok").alias("all_right"), share("point_ok").alias("point_hit"), share("action_ok").alias("action_accuracy"), share("time_ok").alias("time_success"), share("phrase").alias("phrase_recall"), nan_if_none(F.avg("off_px")).alias("mean_px"), nan_if_none(F.percentile("off_px", F.lit(0.95))).alias("p95_px"), F.count("*").alias("n"))
 
 
+def corpus_scores(j: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """One row for the corpus: scores() with the quantiles p50_px, p90_px and so on of the pixel errors, exact and without
+    a task that holds all errors."""
+    q = exact_quantiles(j, "off_px", points)
+    one = q.agg(*[nan_if_none(F.max(F.when(F.col("point") == p, F.col("value")))).alias(f"p{round(p * 100)}_px") for p in points])
+    share = lambda c: nan_if_none(F.sum(c) / F.count("*"))
+    s = j.agg(share("all_ok").alias("all_right"), share("point_ok").alias("point_hit"), share("action_ok").alias("action_accuracy"), share("time_ok").alias("time_success"), share("phrase").alias("phrase_recall"), nan_if_none(F.avg("off_px")).alias("mean_px"), F.count("*").alias("n"))
+    return s.withColumn("one", F.lit(1)).join(one.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def factual_precision(events: DataFrame, *by: str) -> DataFrame:
     """D3: share of described events with evidence other than a model's claim and a status that is not inferred."""
     backed = F.exists("evidence", lambda e: e["source"] != "vlm_semantic") & (F.col("grounding_status") != "inferred")
@@ -87,8 +112,8 @@ def follow(ref: list[tuple[str, float]], hyp: list[tuple[str, float]], ahead: in
     return out
 
 
-def word_time_errors(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Per call MAE, median, P90, P95 and number of matched words. Both: call_id, word_seq, word, start_s."""
+def word_times_off(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """(call_id, error_s) of every matched word. Both: call_id, word_seq, word, start_s."""
     side = lambda d, s: d.select("call_id", F.lit(s).alias("side"), "word_seq", normal_token(F.col("word")).alias("token"), "start_s")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +121,12 @@ def word_time_errors(ref: DataFrame, hyp: DataFrame) -> DataFrame:
         of = lambda s: list(zip(rows.token[rows.side == s], rows.start_s[rows.side == s], strict=True))
         return pd.DataFrame({"call_id": rows.call_id.iloc[0], "error_s": follow(of(0), of(1))})
 
-    e = side(ref, 0).union(side(hyp, 1)).groupBy("call_id").applyInPandas(run, "call_id long, error_s double")
+    return side(ref, 0).union(side(hyp, 1)).groupBy("call_id").applyInPandas(run, "call_id long, error_s double")
+
+
+def word_time_errors(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Per call MAE, median, P90, P95 and number of matched words. Both: call_id, word_seq, word, start_s."""
+    e = word_times_off(ref, hyp)
     p = lambda q: nan_if_none(F.percentile("error_s", F.lit(q)))
     return e.groupBy("call_id").agg(nan_if_none(F.avg("error_s")).alias("mae"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"), F.count("error_s").alias("n"))
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import describe as D
 from ..operators import evaluation as E
+from ..operators.quantiles import exact_quantiles
 from ..operators import fusion, targets
 from ..operators import transcripts as S
 from ..sources import fixtures as X
@@ -312,27 +313,42 @@ def truth(spark, d):
 ALIKE = ", ".join(str(i * len(X.PHRASES) + j) for i, a in enumerate(X.PHRASES) for j, b in enumerate(X.PHRASES) if targets.text_likeness(a, b) >= 0.6)
 
 
-@query(core.recursive(core.GRAPH + f""",
+#: Every true event with what its candidate got right.
+JUDGED = core.GRAPH + f""",
  truth as (select call_id, ref_seq as gt_idx, start_s as us, end_s as ue, anchor_s + 0.2e0 as event_time_s, ref_seq % 1900 as tx, ref_seq % 1000 as ty, ref_seq % 4 <> 0 as observable from instructions where ref_seq % 3 <> 0),
  e as (select g.call_id, g.vis_seq, {core.rounded("g.time_s")} as peak_s, g.action, g.grounding_status, g.x, g.y, {core.rounded("r.start_s")} as rs, {core.rounded("r.end_s")} as re, r.ref_seq from g join refs r using (call_id, ref_seq)),
  p as (select t.*, e.*exclude (call_id), row_number() over (partition by t.call_id, t.gt_idx order by abs(e.peak_s - t.event_time_s), e.vis_seq) as k from truth t join e on t.call_id = e.call_id
   and (least(e.re, t.ue) > greatest(e.rs, t.us) or (e.ref_seq % 12) * 12 + t.gt_idx % 12 in ({ALIKE}))),
  j as (select t.call_id, t.gt_idx, p.vis_seq is not null as phrase, coalesce(p.action = 'click', false) as action_ok, coalesce(abs(p.peak_s - t.event_time_s) <= 0.25, false) as time_ok,
   coalesce(p.vis_seq is not null and case when not t.observable then p.grounding_status <> 'observed' when p.x is not null then p.x between 0 and 900 and p.y between 0 and 900 else false end, false) as point_ok,
-  sqrt((t.tx - p.x)^2 + (t.ty - p.y)^2) as off_px from truth t left join p on t.call_id = p.call_id and t.gt_idx = p.gt_idx and p.k = 1),
+  sqrt((t.tx - p.x)^2 + (t.ty - p.y)^2) as off_px from truth t left join p on t.call_id = p.call_id and t.gt_idx = p.gt_idx and p.k = 1)"""
+
+
+@query(core.recursive(JUDGED + """,
  f as (select call_id, avg(case when grounding_status <> 'inferred' then 1.0 else 0.0 end) as factual_precision from g group by 1),
- s as (select call_id, count(*) as n, avg((action_ok and time_ok and point_ok and phrase)::int) as avaga, avg(point_ok::int) as point_hit, avg(action_ok::int) as action_accuracy, avg(time_ok::int) as time_success, avg(phrase::int) as phrase_recall,
+ s as (select call_id, count(*) as n, avg((action_ok and time_ok and point_ok and phrase)::int) as right_share, avg(point_ok::int) as point_hit, avg(action_ok::int) as action_accuracy, avg(time_ok::int) as time_success, avg(phrase::int) as phrase_recall,
   coalesce(avg(off_px), 'nan'::double) as mean_px, coalesce(quantile_cont(off_px, 0.95), 'nan'::double) as p95_px from j group by 1)
- select call_id, n, round(avaga, 6) as all_right, round(point_hit, 6) as point_hit, round(action_accuracy, 6) as action_accuracy, round(time_success, 6) as time_success, round(phrase_recall, 6) as phrase_recall, round(mean_px, 6) as mean_px, round(p95_px, 6) as p95_px, round(factual_precision, 6) as factual_precision
+ select call_id, n, round(right_share, 6) as all_right, round(point_hit, 6) as point_hit, round(action_accuracy, 6) as action_accuracy, round(time_success, 6) as time_success, round(phrase_recall, 6) as phrase_recall, round(mean_px, 6) as mean_px, round(p95_px, 6) as p95_px, round(factual_precision, 6) as factual_precision
  from s left join f using (call_id)"""))
 def evaluation(spark, d):
     """C16, D3, D6"""
     g, _ = graph(spark, d)
-    e = g.select("call_id", F.col("vis_seq").alias("event_seq"), F.col("temporal.peak_s").alias("peak_s"), "type", "grounding_status", F.col("spatial.point_xy_px")[0].alias("px"), F.col("spatial.point_xy_px")[1].alias("py"), F.col("target.text").alias("target_text"), F.explode("audio_references").alias("r")).select("*", F.col("r.start_s").alias("ref_start_s"), F.col("r.end_s").alias("ref_end_s"), F.col("r.transcript").alias("transcript"), F.col("r.speaker_id").alias("speaker"))
-    s = E.scores(E.judged(E.matched(truth(spark, d), e)), "call_id").join(E.factual_precision(g, "call_id"), "call_id", "left")
+    s = E.scores(E.judged(E.matched(truth(spark, d), bound(g))), "call_id").join(E.factual_precision(g, "call_id"), "call_id", "left")
     return s.select("call_id", "n", *[F.round(c, 6).alias(c) for c in ("all_right", "point_hit", "action_accuracy", "time_success", "phrase_recall", "mean_px", "p95_px", "factual_precision")])
 
 
+def bound(g):
+    """A row per event and bound reference of a graph."""
+    return g.select("call_id", F.col("vis_seq").alias("event_seq"), F.col("temporal.peak_s").alias("peak_s"), "type", "grounding_status", F.col("spatial.point_xy_px")[0].alias("px"), F.col("spatial.point_xy_px")[1].alias("py"), F.col("target.text").alias("target_text"), F.explode("audio_references").alias("r")).select("*", F.col("r.start_s").alias("ref_start_s"), F.col("r.end_s").alias("ref_end_s"), F.col("r.transcript").alias("transcript"), F.col("r.speaker_id").alias("speaker"))
+
+
+@query(core.recursive(JUDGED + " select count(*) as n, round(avg((action_ok and time_ok and point_ok and phrase)::int), 6) as all_right, round(avg(phrase::int), 6) as phrase_recall, round(avg(off_px), 6) as mean_px, round(quantile_cont(off_px, 0.5), 6) as p50_px, round(quantile_cont(off_px, 0.9), 6) as p90_px, round(quantile_cont(off_px, 0.95), 6) as p95_px from j"))
+def corpus_evaluation(spark, d):
+    """Over all calls"""
+    s = E.corpus_scores(held(E.judged(E.matched(truth(spark, d), bound(graph(spark, d)[0]))).select("all_ok", "point_ok", "action_ok", "time_ok", "phrase", "off_px")))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("all_right", "phrase_recall", "mean_px", "p50_px", "p90_px", "p95_px")])
+
+
 @query(X.derived_sql("instructions", "clicks") + """, t as (select call_id, ref_seq as gt_idx, anchor_s as time_s from instructions)
  select t.call_id, count(*) as n, round(avg(case when exists (select 1 from clicks c where c.call_id = t.call_id and abs(c.time_s - t.time_s) <= 0.25e0) then 1.0 else 0.0 end), 6) as recall from t group by 1""")
 def click_time_success(spark, d):
@@ -369,14 +385,25 @@ def word_error_rates(spark, d):
     return E.word_error_rate(p).select("call_id", "seg_idx", F.round("wer", 6).alias("wer"))
 
 
-@query(core.recursive(f"with {X.WORDS_SQL}" + f""", r as (select call_id, row_number() over (partition by call_id order by seg_idx, word_idx) as i, {TOKEN} as token, start_s from words),
+#: Each word's time error against the words that follow it in the other transcript.
+FOLLOWED = f"with {X.WORDS_SQL}" + f""", r as (select call_id, row_number() over (partition by call_id order by seg_idx, word_idx) as i, {TOKEN} as token, start_s from words),
  h as (select call_id, row_number() over (partition by call_id order by seg_idx, word_idx) as j, {TOKEN} as token, start_s + (word_idx % 5) * 0.01e0 as start_s from words where word_idx % 7 <> 3),
  walk as (select distinct call_id, 0::bigint as i, 1::bigint as j, null::double as off from r
   union all select w.call_id, r.i, coalesce(min(h.j) + 1, w.j), arg_min(abs(h.start_s - r.start_s), h.j)
-  from walk w join r on w.call_id = r.call_id and r.i = w.i + 1 left join h on h.call_id = w.call_id and h.token = r.token and h.j between w.j and w.j + 4 group by w.call_id, r.i, w.j)
- select call_id, count(*) as n, round(avg(off), 6) as mae, round(quantile_cont(off, 0.5), 6) as median, round(quantile_cont(off, 0.9), 6) as p90, round(quantile_cont(off, 0.95), 6) as p95 from walk where off is not null group by 1"""))
+  from walk w join r on w.call_id = r.call_id and r.i = w.i + 1 left join h on h.call_id = w.call_id and h.token = r.token and h.j between w.j and w.j + 4 group by w.call_id, r.i, w.j)"""
+
+
+@query(core.recursive(FOLLOWED + """ select call_id, count(*) as n, round(avg(off), 6) as mae, round(quantile_cont(off, 0.5), 6) as median, round(quantile_cont(off, 0.9), 6) as p90, round(quantile_cont(off, 0.95), 6) as p95 from walk where off is not null group by 1"""))
 def word_time_errors(spark, d):
     """D5, D6"""
     w = X.words(spark, d).withColumn("word_seq", F.col("seg_idx") * 10000 + F.col("word_idx"))
     h = w.where("word_idx % 7 <> 3").withColumn("start_s", F.col("start_s") + (F.col("word_idx") % 5) * 0.01)
     return E.word_time_errors(w, h).select("call_id", "n", *[F.round(c, 6).alias(c) for c in ("mae", "median", "p90", "p95")])
+
+
+@query(core.recursive(FOLLOWED + " select p::double as point, round(error_s, 6) as error_s from (select unnest([0.5, 0.9, 0.95]) as p, unnest(quantile_cont(off, [0.5, 0.9, 0.95])) as error_s from walk where off is not null)"))
+def corpus_word_time_quantiles(spark, d):
+    """Over all calls"""
+    w = X.words(spark, d).withColumn("word_seq", F.col("seg_idx") * 10000 + F.col("word_idx"))
+    h = w.where("word_idx % 7 <> 3").withColumn("start_s", F.col("start_s") + (F.col("word_idx") % 5) * 0.01)
+    return exact_quantiles(E.word_times_off(w, h), "error_s", (0.5, 0.9, 0.95)).select("point", F.round("value", 6).alias("error_s"))
