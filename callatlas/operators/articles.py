@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .intervals import overlapping
+from .keys import keyed
 
 MOST_WORDS, DETAILS = 35, 2
 
@@ -244,7 +245,7 @@ def screenshots(steps: DataFrame, reliable: DataFrame) -> DataFrame:
         given = [(r.time_s, r.stop_s, None if pd.isna(r.anchor_s) else r.anchor_s, [(c["peak_s"], c["overall_confidence"], c["vis_seq"]) for c in (r.clicks if r.clicks is not None else [])]) for r in rows.itertuples()]
         return pd.DataFrame([[rows.call_id.iloc[0], n, t, v] for n, (t, v) in zip(rows.number, place(given), strict=True)], columns=["call_id", "number", "screenshot_s", "vis_seq"]).astype({"vis_seq": "Int64"})
 
-    return s.groupBy("call_id").applyInPandas(run, SHOT)
+    return s.groupBy("call_id").applyInPandas(run, keyed(SHOT, s))
 
 
 def observed_actions(events: DataFrame, language: Column, most: int = 40) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.geometry import distance, interval_iou
 from ..functions.text import U, similarity
 from .alike import alike_texts
 from .intervals import overlapping
+from .keys import keyed
 from .quantiles import exact_quantiles
 
 
@@ -121,7 +122,7 @@ def word_times_off(ref: DataFrame, hyp: DataFrame) -> DataFrame:
         of = lambda s: list(zip(rows.token[rows.side == s], rows.start_s[rows.side == s], strict=True))
         return pd.DataFrame({"call_id": rows.call_id.iloc[0], "error_s": follow(of(0), of(1))})
 
-    return side(ref, 0).union(side(hyp, 1)).groupBy("call_id").applyInPandas(run, "call_id long, error_s double")
+    return side(ref, 0).union(side(hyp, 1)).groupBy("call_id").applyInPandas(run, keyed("call_id long, error_s double", ref))
 
 
 def word_time_errors(ref: DataFrame, hyp: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keys import keyed
+
 BLOCK, BLOCK_DIFF = 8, 12.0
 SAME = 2.5
 
@@ -46,7 +48,7 @@ def _by_call(frames: DataFrame, start, schema: str) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     cols = ["call_id", "frame_idx", "pts_s", "width", "height", "pixels"]
-    return frames.select(*cols).repartition("call_id").sortWithinPartitions("call_id", "frame_idx").mapInPandas(run, schema)
+    return frames.select(*cols).repartition("call_id").sortWithinPartitions("call_id", "frame_idx").mapInPandas(run, keyed(schema, frames))
 
 
 def frame_scores(frames: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def thumbnails(frames: DataFrame, width: int = 160) -> DataFrame:
             small = [shrunk(image(r.pixels, r.width, r.height), width) for r in b.itertuples(index=False)]
             yield pd.DataFrame({"call_id": b.call_id, "frame_idx": b.frame_idx, "pts_s": b.pts_s, "width": [s.shape[1] for s in small], "height": [s.shape[0] for s in small], "pixels": [s.tobytes() for s in small]})
 
-    return first_of_second(frames).select("call_id", "frame_idx", "pts_s", "width", "height", "pixels").mapInPandas(run, schema)
+    return first_of_second(frames).select("call_id", "frame_idx", "pts_s", "width", "height", "pixels").mapInPandas(run, keyed(schema, frames))
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,7 +197,7 @@ def key_frames(thumbs: DataFrame, clicks: DataFrame, most: int = 12) -> DataFram
         held = rows.clicks.iloc[0]
         return rows.iloc[pick_key_frames(shots, list(held) if held is not None else [], most)][["call_id", "frame_idx", "pts_s"]]
 
-    return thumbs.join(c, "call_id", "left").groupBy("call_id").applyInPandas(run, schema)
+    return thumbs.join(c, "call_id", "left").groupBy("call_id").applyInPandas(run, keyed(schema, thumbs))
 
 
 def settle(steps: list[tuple], frames: list[tuple[float, np.ndarray]]) -> list[float | None]:
@@ -237,4 +239,4 @@ def settled_screenshots(steps: DataFrame, thumbs: DataFrame) -> DataFrame:
         times = settle([(x["time_s"], x["end_s"], x["screenshot_s"], x["has_click"]) for x in held], shots)
         return pd.DataFrame({"call_id": rows.call_id.iloc[0], "number": [x["number"] for x in held], "screenshot_s": pd.array(times, "Float64")})
 
-    return thumbs.join(s, "call_id").groupBy("call_id").applyInPandas(run, "call_id long, number int, screenshot_s double")
+    return thumbs.join(s, "call_id").groupBy("call_id").applyInPandas(run, keyed("call_id long, number int, screenshot_s double", thumbs))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from .keys import keyed
 
 BEFORE, AFTER, TAU, LEAST = 1.5, 2.5, 0.75, 0.35
 WEIGHTS = {"time": 0.35, "semantic": 0.20, "pointer": 0.15, "ui": 0.15, "change": 0.15, "bonus": 0.15}
@@ -88,7 +89,7 @@ def resolve(pairs: DataFrame) -> DataFrame:
 
     p = p.select("call_id", "session", F.col("ref_seq").cast("long").alias("ref_seq"), F.col("vis_seq").cast("long").alias("vis_seq"), "score", "start_s", "ordinal", "time_s")
     dealt = p.repartition("call_id", "session").sortWithinPartitions("call_id", "session", F.col("score").desc(), "ref_seq", "vis_seq")
-    return dealt.mapInArrow(pick, "call_id long, ref_seq long, vis_seq long, score double")
+    return dealt.mapInArrow(pick, keyed("call_id long, ref_seq long, vis_seq long, score double", pairs))
 
 
 def unbound(refs: DataFrame, bound: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import similarity
 from .intervals import overlapping
+from .keys import keyed
 
 
 def _first_element(events: DataFrame, elements: DataFrame, shift: float, tolerance: float, name: str) -> DataFrame:
@@ -140,12 +141,12 @@ def stable_elements(detections: DataFrame) -> DataFrame:
                 if r.call_id != now:
                     if held:
                         yield told()
-                    now, held = int(r.call_id), []
+                    now, held = r.call_id, []
                 observe(held, float(r.time_s), detection(r))
         yield told()
 
     d = detections.select("call_id", "time_s", "det_seq", "x1", "y1", "x2", "y2", "text", "text_confidence", "interactive_confidence", "class")
-    return d.repartition("call_id").sortWithinPartitions("call_id", F.asc_nulls_last("time_s"), "det_seq").mapInPandas(run, REGISTRY)
+    return d.repartition("call_id").sortWithinPartitions("call_id", F.asc_nulls_last("time_s"), "det_seq").mapInPandas(run, keyed(REGISTRY, detections))
 
 
 def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0.5) -> DataFrame:
@@ -173,7 +174,7 @@ def merged_boxes(text_boxes: DataFrame, interactive: DataFrame, least: float = 0
             yield pd.DataFrame(done, columns=names)
         yield pd.DataFrame(held, columns=names)
 
-    return both.repartition("call_id", "time_s").sortWithinPartitions("call_id", "time_s", F.desc("is_text"), "seq").mapInPandas(run, schema)
+    return both.repartition("call_id", "time_s").sortWithinPartitions("call_id", "time_s", F.desc("is_text"), "seq").mapInPandas(run, keyed(schema, text_boxes))
 
 
 def requests(events: DataFrame, calls: DataFrame) -> DataFrame:

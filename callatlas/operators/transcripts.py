@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .intervals import overlapping
+from .keys import keyed
 
 WORD = "struct<word:string,start:double,end:double,score:double,speaker:string>"
 TRANSCRIPT = f"language string, segments array<struct<start:double,end:double,text:string,speaker:string,words:array<{WORD}>>>"
@@ -125,7 +126,7 @@ def instructions(segs: DataFrame) -> DataFrame:
 
     # the words ride along as text only; the segment is joined back by its place within the same partition
     cut = segs.withColumn("seg_idx", F.col("seg_idx").cast("int"))
-    parts = cut.select("call_id", "seg_idx", F.transform("words", lambda w: F.struct(w["word"].alias("word"))).alias("words")).where(F.size("words") > 0).mapInPandas(split, fields)
+    parts = cut.select("call_id", "seg_idx", F.transform("words", lambda w: F.struct(w["word"].alias("word"))).alias("words")).where(F.size("words") > 0).mapInPandas(split, keyed(fields, segs))
     j = parts.join(cut.select("call_id", "seg_idx", "words", F.col("speaker").alias("seg_speaker")), ["call_id", "seg_idx"]).withColumn("ws", F.transform("idx", lambda i: F.get("words", i)))
     text = F.array_join(F.transform("ws", lambda w: F.trim(w["word"])), " ")
     pointing = F.filter("ws", lambda w: T.is_deictic(w["word"]))
@@ -185,7 +186,7 @@ def sentences(words: DataFrame, untimed: DataFrame | None = None) -> DataFrame:
         got = glue(list(zip(rows.start_s, rows.end_s, rows.text, speaker, strict=True)))
         return pd.DataFrame([[rows.call_id.iloc[0], k + 1, *r] for k, r in enumerate(got)], columns=[c.split()[0] for c in SENTENCE.split(", ")])
 
-    return p.groupBy("call_id").applyInPandas(run, SENTENCE)
+    return p.groupBy("call_id").applyInPandas(run, keyed(SENTENCE, words))
 
 
 def srt(segs: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def parts(calls: DataFrame, silences: DataFrame, most: float = 1400.0) -> DataFr
             rows = [(c, k, x, y) for c, d, ss in zip(b.call_id, b.duration_s, b.s, strict=True) for k, (x, y) in enumerate(cuts(d, most, [(e["start_s"], e["end_s"]) for e in ([] if ss is None else ss)]))]
             yield pd.DataFrame(rows, columns=["call_id", "part", "from_s", "to_s"])
 
-    return calls.select("call_id", "duration_s").join(s, "call_id", "left").mapInPandas(run, fields)
+    return calls.select("call_id", "duration_s").join(s, "call_id", "left").mapInPandas(run, keyed(fields, calls))
 
 
 def onto_call(part_segments: DataFrame, cut_parts: DataFrame) -> DataFrame:

@@ -26,11 +26,16 @@ GRAPH = (
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The documents of the JSON files at path with the columns of schema, and file_name, the file's name without its ending.
-    Keys that a document lacks are null; a file that is no JSON object gives a row of nulls."""
-    read = spark.read.schema(schema).option("multiLine", True).json(path)
+    Keys that a document lacks are null; a file that is no such JSON has its text in column corrupt and nulls elsewhere."""
+    read = spark.read.schema(f"{schema}, corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "corrupt").json(path)
     return read.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("file_name"), "*")
 
 
+def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file_name, corrupt) of the files at path that hold no such document: what the readers below leave out."""
+    return documents(spark, path, schema).where("corrupt is not null").select("file_name", "corrupt")
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """A1: (call_id, language, segments) of word-timed transcripts; call_id is the file's name."""
     return documents(spark, path, TRANSCRIPT).select(F.col("file_name").alias("call_id"), "language", F.coalesce("segments", F.array().cast("array<" + _element(TRANSCRIPT, "segments") + ">")).alias("segments"))
@@ -38,10 +43,15 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def ui_elements(spark: SparkSession, path: str) -> DataFrame:
     """A3: a row per element: call_id, det_seq, x1, y1, x2, y2, text, text_confidence, interactive_confidence, class. A box of
-    other than four numbers is left out; missing confidences are 0.9 and 0.5, a missing class is unknown."""
+    other than four numbers is left out; missing confidences are 0, a missing class is unknown."""
     e = documents(spark, path, ELEMENTS).select(F.col("file_name").alias("call_id"), F.posexplode("elements").alias("det_seq", "e")).where(F.size("e.bbox") == 4)
     box = [F.col("e.bbox")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
-    return e.select("call_id", "det_seq", *box, "e.text", F.coalesce("e.text_confidence", F.lit(0.9)).alias("text_confidence"), F.coalesce("e.interactive_confidence", F.lit(0.5)).alias("interactive_confidence"), F.coalesce("e.class", F.lit("unknown")).alias("class"))
+    return e.select("call_id", "det_seq", *box, "e.text", F.coalesce("e.text_confidence", F.lit(0.0)).alias("text_confidence"), F.coalesce("e.interactive_confidence", F.lit(0.0)).alias("interactive_confidence"), F.coalesce("e.class", F.lit("unknown")).alias("class"))
+
+
+def seen_at(elements: DataFrame, looks: DataFrame) -> DataFrame:
+    """A3: what a parser that knows a call by its file sees at each look (call_id, time_s): all its elements, with the time."""
+    return elements.join(looks.select("call_id", "time_s").distinct(), "call_id")
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.clicks import THRESHOLD
+from ..operators.keys import keyed
 from ..operators.targets import REGISTRY, detection, observe
 from .streams import CHANGES, CURSOR
 
@@ -83,7 +84,7 @@ def in_order(df: DataFrame, columns: dict[str, str], carry: str, output: str, st
     carry = ", ".join(f"c{k} {x.split()[1]}" for k, x in enumerate(carry.split(", ")))
     d = df.withWatermark("ts", late).select("call_id", "ts", *[c.alias(n) for c, n in zip(given, plain, strict=True)])
     p = InOrder(plain, row, carry, [c.split()[0] for c in output.split(", ")], step, idle_ms)
-    return d.groupBy("call_id").transformWithStateInPandas(statefulProcessor=p, outputStructType=output, outputMode="Append", timeMode="EventTime")
+    return d.groupBy("call_id").transformWithStateInPandas(statefulProcessor=p, outputStructType=keyed(output, df), outputMode="Append", timeMode="EventTime")
 
 
 def peaks(threshold: float = THRESHOLD) -> Step:

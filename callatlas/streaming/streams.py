@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.clicks import THRESHOLD
+from ..operators.keys import keyed
 from ..operators.targets import REGISTRY, detection, observe
 from ..plans.held import shared_root
 
@@ -32,7 +33,7 @@ def state_changes(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         state.update((before, now, at))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    return scores.groupBy("call_id").applyInPandasWithState(run, CHANGES, "before double, now double, at double", "append", GroupStateTimeout.NoTimeout)
+    return scores.groupBy("call_id").applyInPandasWithState(run, keyed(CHANGES, scores), "before double, now double, at double", "append", GroupStateTimeout.NoTimeout)
 
 
 CURSOR = "call_id long, time_s double, x int, y int, confidence double"
@@ -54,7 +55,7 @@ def cursor_session(blobs: DataFrame) -> DataFrame:
             state.update(last)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CURSOR.split(", ")])
 
-    return blobs.groupBy("call_id").applyInPandasWithState(run, CURSOR, "x int, y int", "append", GroupStateTimeout.NoTimeout)
+    return blobs.groupBy("call_id").applyInPandasWithState(run, keyed(CURSOR, blobs), "x int, y int", "append", GroupStateTimeout.NoTimeout)
 
 
 def thumbnails(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -93,7 +94,7 @@ def elements(detections: DataFrame, keep_ms: int | None = None) -> DataFrame:
             state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame([[key[0], k, *flat[k]] for k in touched], columns=[c.split()[0] for c in REGISTRY.split(", ")])
 
-    return detections.groupBy("call_id").applyInPandasWithState(run, REGISTRY, f"held {packed}", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
+    return detections.groupBy("call_id").applyInPandasWithState(run, keyed(REGISTRY, detections), f"held {packed}", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
 
 
 def counters(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -19,7 +19,7 @@ def test_transcripts_elements_and_truth_are_read_by_file(spark, tmp_path):
     (tmp_path / "u").mkdir()
     (tmp_path / "u" / "c.json").write_text(json.dumps({"elements": [{"bbox": [1, 2, 30, 40], "text": "OK", "class": "button"}, {"bbox": [1, 2, 3]}]}))
     got = readers.ui_elements(spark, str(tmp_path / "u")).collect()
-    assert [(r["call_id"], r["det_seq"], r["x2"], r["text"], r["text_confidence"], r["class"]) for r in got] == [("c", 0, 30, "OK", 0.9, "button")]
+    assert [(r["call_id"], r["det_seq"], r["x2"], r["text"], r["text_confidence"], r["class"]) for r in got] == [("c", 0, 30, "OK", 0.0, "button")]
 
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "x.json").write_text(json.dumps({"video_id": "v", "events": [{"action_utterance": "klick", "utterance_start_s": 1.0, "event_time_s": 1.5, "event_type": "click", "observable": True}]}))
