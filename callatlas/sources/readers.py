@@ -32,8 +32,9 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(file_name, corrupt) of the files at path that hold no such document: what the readers below leave out."""
-    return documents(spark, path, schema).where("corrupt is not null").select("file_name", "corrupt")
+    """documents() of the files at path that hold no such document: what the readers below leave out. Spark refuses to prune it
+    to file_name and corrupt alone."""
+    return documents(spark, path, schema).where("corrupt is not null")
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
