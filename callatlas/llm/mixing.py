@@ -48,10 +48,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     is spread over tasks.
 
     Null text: size 0. Null source: a source of its own, last in order. Null doc_id: a digest of the text stands for it in
-    the order. Equal rows are told apart only by their place; the set emitted is the same in each run. No rows: none.
+    the order. Texts of one doc_id and size go by digest; equal rows are told apart only by their place; the set emitted is the same in each run. No rows: none.
     Other columns are carried along, whatever their names; the four columns named above are replaced.
     """
-    return _mixed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), _order().alias("key")), weights, cap, seed).select(
+    return _mixed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), _order().alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")), weights, cap, seed).select(
         *[F.col(f"row.`{c}`") for c in docs.columns if c not in OWN], *OWN)
 
 
@@ -60,7 +60,8 @@ OWN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def _mixed(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """rows (source, size, key and others) with the columns OWN."""
+    """rows (source, size, key and others) with the columns OWN; rows of one size and key go in order of column tie, if there is one."""
+    order = ["size", "key", *(c for c in ("tie",) if c in rows.columns)]
     level = F.length(F.bin(F.col("size"))) * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7")
     subs = max(SUBS, rows.count() // ROWS_A_SUB)
     d = rows.withColumns({"level": level.cast("int"), "sub": F.pmod("key", F.lit(subs)).cast("int")})
@@ -72,7 +73,7 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     base = buckets.withColumn("b", F.coalesce(before, F.lit(0))).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = base.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("b").alias("before"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), rate.alias("rate"), offset.alias("offset"))
-    ranked = d.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("size", "key")).cast("long"))
+    ranked = d.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
     on = ranked["source"].eqNullSafe(base["b_source"]) & (ranked["level"] == base["b_level"]) & (ranked["sub"] == base["b_sub"])
     place = F.col("before") + F.col("n")
     crossed = F.floor(F.col("offset") + F.col("rate") * place) - F.floor(F.col("offset") + F.col("rate") * (place - 1))
