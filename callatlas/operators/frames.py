@@ -1,4 +1,4 @@
-"""Gray frames: block differences, cursor tracks, thumbnails, key frames and settled screenshots; numpy within groups of a call.
+"""Gray frames: block differences, cursor tracks, thumbnails, key frames and settled screenshots; numpy over batches sorted by call.
 
 A frame row is (call_id, frame_idx, pts_s, width, height, pixels); pixels are row-major bytes.
 """
@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import overlapping
 from .keys import keyed
 
+FRAME = ("call_id", "frame_idx", "pts_s", "width", "height", "pixels")
 BLOCK, BLOCK_DIFF = 8, 12.0
-SAME = 2.5
+SAME, CLICK_S = 2.5, 0.75
 
 
 def image(pixels: bytes, width: int, height: int) -> np.ndarray:
@@ -32,9 +34,9 @@ def block_difference(a: np.ndarray, b: np.ndarray) -> tuple[float, tuple[int, in
     return float(hit.mean()), (int(x.min()) * BLOCK, int(y.min()) * BLOCK, int(x.max() + 1) * BLOCK, int(y.max() + 1) * BLOCK)
 
 
-def _by_call(frames: DataFrame, start, schema: str) -> DataFrame:
-    """The rows that a call's own function, made by start, gives for each of its frames in order; frames stream through sorted,
-    so a worker holds a batch of them and never a call."""
+def _by_call(frames: DataFrame, start, schema: str, order: tuple[str, ...] = ("frame_idx",), cols: tuple[str, ...] = FRAME) -> DataFrame:
+    """The rows that a call's own function, made by start, gives for each of its rows by order and for None at its end; rows stream
+    through sorted, so a worker holds a batch of them and never a call."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -43,12 +45,14 @@ def _by_call(frames: DataFrame, start, schema: str) -> DataFrame:
             out = []
             for r in b.itertuples(index=False):
                 if step is None or r.call_id != now:
+                    out += step(None) if step else []
                     now, step = r.call_id, start()
                 out += step(r)
             yield pd.DataFrame(out, columns=names)
+        if step:
+            yield pd.DataFrame(step(None), columns=names)
 
-    cols = ["call_id", "frame_idx", "pts_s", "width", "height", "pixels"]
-    return frames.select(*cols).repartition("call_id").sortWithinPartitions("call_id", "frame_idx").mapInPandas(run, keyed(schema, frames))
+    return frames.select(*cols).repartition("call_id").sortWithinPartitions("call_id", *order).mapInPandas(run, keyed(schema, frames))
 
 
 def frame_scores(frames: DataFrame) -> DataFrame:
@@ -59,6 +63,8 @@ def frame_scores(frames: DataFrame) -> DataFrame:
 
         def step(r) -> list[tuple]:
             nonlocal prev
+            if r is None:
+                return []
             before, prev = prev, image(r.pixels, r.width, r.height)
             if before is None:
                 return []
@@ -112,6 +118,8 @@ def cursor_track(frames: DataFrame, template: np.ndarray | None = None, most_err
 
         def step(r) -> list[tuple]:
             nonlocal prev, last
+            if r is None:
+                return []
             now, sample = image(r.pixels, r.width, r.height).astype(np.int32), None
             if template is not None:
                 x1, y1 = r.width - template.shape[1], r.height - template.shape[0]
@@ -167,76 +175,114 @@ def difference(a: np.ndarray, b: np.ndarray) -> float:
     return 255.0 if a.shape != b.shape else float(np.abs(a.astype(np.int32) - b).mean())
 
 
-def pick_key_frames(frames: list[tuple[float, np.ndarray]], clicks: list[float], most: int = 12) -> list[int]:
-    """places of at most most frames that differ and lie two seconds apart: the first, those that changed and settled, and
-    those with a click; clicks and large changes first."""
-    found = [(50.0, 0)] if frames else []
-    for i in range(1, len(frames)):
-        change = difference(frames[i][1], frames[i - 1][1])
-        moving = difference(frames[i][1], frames[i + 1][1]) if i + 1 < len(frames) else 0.0
-        click = any(abs(c - frames[i][0]) <= 0.75 for c in clicks)
-        if click or (change >= SAME and moving < 2 * SAME):
-            found.append((change + (100 if click else 0), i))
-    taken: list[int] = []
-    for _, i in sorted(found, key=lambda x: -x[0]):
-        if len(taken) >= most:
-            break
-        if all(difference(frames[k][1], frames[i][1]) >= SAME and abs(frames[k][0] - frames[i][0]) >= 2 for k in taken):
-            taken.append(i)
-    return sorted(taken)
+def thumbnail_changes(thumbs: DataFrame) -> DataFrame:
+    """H5 along a call: (call_id, frame_idx, pts_s, change) of each thumbnail against the one before; the first has none."""
+
+    def start():
+        prev = None
+
+        def step(r) -> list[tuple]:
+            nonlocal prev
+            if r is None:
+                return []
+            before, prev = prev, image(r.pixels, r.width, r.height)
+            return [(r.call_id, r.frame_idx, r.pts_s, None if before is None else difference(prev, before))]
+
+        return step
+
+    return _by_call(thumbs, start, "call_id long, frame_idx int, pts_s double, change double")
+
+
+def key_frame_scores(thumbs: DataFrame, clicks: DataFrame) -> DataFrame:
+    """(call_id, frame_idx, score) of the frames that can be key frames: the first, those that changed and settled, and those
+    with a click at most 0.75 s away; clicks and large changes score higher. Pixels are read in the first step only; the
+    nearest clicks on both sides are running ends over times."""
+    c = thumbnail_changes(thumbs).withColumn("moving", F.coalesce(F.lead("change").over(W.partitionBy("call_id").orderBy("frame_idx")), F.lit(0.0)))
+    both = c.select("call_id", F.col("pts_s").alias("t"), F.lit(None).cast("double").alias("click"), "frame_idx", "change", "moving").unionByName(
+        clicks.select("call_id", F.col("time_s").cast("double").alias("t"), F.col("time_s").cast("double").alias("click")), allowMissingColumns=True)
+    before, after = F.max("click").over(W.partitionBy("call_id").orderBy("t")), F.min("click").over(W.partitionBy("call_id").orderBy(F.col("t").desc()))
+    near = F.coalesce((F.col("t") - F.col("before") <= CLICK_S) | (F.col("after") - F.col("t") <= CLICK_S), F.lit(False))
+    d = both.withColumn("before", before).withColumn("after", after).where("frame_idx is not null").withColumn("near", near)
+    score = F.when(F.col("change").isNull(), 50.0).when(F.col("near") | ((F.col("change") >= SAME) & (F.col("moving") < 2 * SAME)), F.col("change") + F.when(F.col("near"), 100.0).otherwise(0.0))
+    return d.select("call_id", "frame_idx", score.alias("score")).where("score is not null")
 
 
 def key_frames(thumbs: DataFrame, clicks: DataFrame, most: int = 12) -> DataFrame:
-    """(call_id, frame_idx, pts_s). clicks: call_id, time_s."""
-    c = clicks.groupBy("call_id").agg(F.collect_list("time_s").alias("clicks"))
-    schema = "call_id long, frame_idx int, pts_s double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_idx")
-        shots = [(r.pts_s, image(r.pixels, r.width, r.height)) for r in rows.itertuples(index=False)]
-        held = rows.clicks.iloc[0]
-        return rows.iloc[pick_key_frames(shots, list(held) if held is not None else [], most)][["call_id", "frame_idx", "pts_s"]]
-
-    return thumbs.join(c, "call_id", "left").groupBy("call_id").applyInPandas(run, keyed(schema, thumbs))
-
-
-def settle(steps: list[tuple], frames: list[tuple[float, np.ndarray]]) -> list[float | None]:
-    """screenshot time of each step (time_s, end_s, screenshot_s, has_click): of the frames in its span the one that is
-    settled and differs most from the step before; none if it looks the same. Clicks keep their time."""
-    out, prev = [], None
-    for start, end, shot, click in steps:
-        stop = shot + 0.5 if click else min(max(end, start + 1) + 1, start + 15)
-        own = [f for f in frames if (shot if click else start) <= f[0] <= stop]
-        if click:
-            prev = own[0][1] if own else prev
-            out.append(shot)
-            continue
-        best = None
-        for i, (t, a) in enumerate(own):
-            moving = difference(a, own[i + 1][1]) if i + 1 < len(own) else 0.0
+    """(call_id, frame_idx, pts_s): at most most frames of a call that differ and lie two seconds apart, those of higher score
+    first, of equal scores the earlier. clicks: call_id, time_s; without any only changes count.
+
+    Candidates meet their pixels again and stream through by falling score: a worker holds the frames taken in one call, most of
+    them. thumbs is read twice, so it should be a table.
+    """
+
+    def start():
+        taken: list[tuple[float, np.ndarray]] = []
+
+        def step(r) -> list[tuple]:
+            if r is None or len(taken) >= most:
+                return []
+            now = image(r.pixels, r.width, r.height)
+            if any(abs(t - r.pts_s) < 2 or difference(a, now) < SAME for t, a in taken):
+                return []
+            taken.append((r.pts_s, now.copy()))
+            return [(r.call_id, r.frame_idx, r.pts_s)]
+
+        return step
+
+    found = key_frame_scores(thumbs, clicks).withColumn("place", -F.col("score"))
+    return _by_call(thumbs.join(found, ["call_id", "frame_idx"]), start, "call_id long, frame_idx int, pts_s double", ("place", "frame_idx"), (*FRAME, "place"))
+
+
+def settled_screenshots(steps: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """(call_id, number, screenshot_s) of each step (call_id, number, time_s, end_s, screenshot_s, has_click): of the thumbnails
+    in its span the one that is settled and differs most from the step before, none if it looks the same. Clicks keep their time,
+    and a step without thumbnails too.
+
+    Steps meet the times in their span (15 s at most) first, then those pixels; they stream through by step and time, so a worker
+    holds three thumbnails: of the step before, the best so far, and the one whose next isn't known yet.
+    """
+    low = F.when(F.col("has_click"), F.col("screenshot_s")).otherwise(F.col("time_s"))
+    high = F.when(F.col("has_click"), F.col("screenshot_s") + 0.5).otherwise(F.least(F.greatest("end_s", F.col("time_s") + 1) + 1, F.col("time_s") + 15))
+    s = steps.select("call_id", "number", F.col("screenshot_s").cast("double").alias("shot"), F.coalesce("has_click", F.lit(False)).alias("click"), low.alias("low"), high.alias("high"))
+    own = overlapping(s.select("call_id", "number", "low", "high"), thumbs.select("call_id", "frame_idx", "pts_s"), ("low", "high"), ("pts_s", "pts_s"), 16.0).select("call_id", "number", "frame_idx")
+    rows = s.join(own.join(thumbs, ["call_id", "frame_idx"]), ["call_id", "number"], "left")
+
+    def start():
+        prev = now = best = pending = None
+
+        def rate(following: np.ndarray | None) -> None:
+            nonlocal best
+            at, a = pending
+            moving = 0.0 if following is None else difference(a, following)
             new = 255.0 if prev is None else difference(a, prev)
-            value = min(new, 40) - 2 * moving - (0.05 * abs(t - shot) if shot is not None else 0)
+            value = min(new, 40) - 2 * moving - (0.0 if pd.isna(now.shot) else 0.05 * abs(at - now.shot))
             if best is None or value > best[0]:
-                best = (value, t, a, new)
-        if best is None:
-            out.append(shot)
-        elif prev is not None and best[3] < SAME:
-            out.append(None)
-        else:
-            prev = best[2]
-            out.append(best[1])
-    return out
+                best = (value, at, a, new)
 
+        def close() -> list[tuple]:
+            nonlocal prev
+            shot = None if pd.isna(now.shot) else now.shot
+            if now.click:
+                prev = pending[1] if pending else prev
+            elif pending:
+                rate(None)
+                same = prev is not None and best[3] < SAME
+                prev, shot = (prev, None) if same else (best[2], best[1])
+            return [(now.call_id, now.number, shot)]
 
-def settled_screenshots(steps: DataFrame, thumbs: DataFrame) -> DataFrame:
-    """(call_id, number, screenshot_s). steps: number, time_s, end_s, screenshot_s, has_click."""
-    s = steps.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("number", "time_s", "end_s", "screenshot_s", "has_click"))).alias("steps"))
+        def step(r) -> list[tuple]:
+            nonlocal now, best, pending
+            out = []
+            if now is not None and (r is None or r.number != now.number):
+                out, best, pending = close(), None, None
+            now = r
+            if r is not None and r.pixels is not None and not (r.click and pending):  # a click looks at its first thumbnail only
+                a = image(r.pixels, int(r.width), int(r.height)).copy()
+                if pending:
+                    rate(a)
+                pending = (r.pts_s, a)
+            return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pts_s")
-        held = list(rows.steps.iloc[0])
-        shots = [(r.pts_s, image(r.pixels, r.width, r.height)) for r in rows.itertuples(index=False)]
-        times = settle([(x["time_s"], x["end_s"], x["screenshot_s"], x["has_click"]) for x in held], shots)
-        return pd.DataFrame({"call_id": rows.call_id.iloc[0], "number": [x["number"] for x in held], "screenshot_s": pd.array(times, "Float64")})
+        return step
 
-    return thumbs.join(s, "call_id").groupBy("call_id").applyInPandas(run, keyed("call_id long, number int, screenshot_s double", thumbs))
+    return _by_call(rows, start, "call_id long, number int, screenshot_s double", ("number", "pts_s", "frame_idx"), ("call_id", "number", "shot", "click", "pts_s", "frame_idx", "width", "height", "pixels"))

@@ -16,7 +16,7 @@ from ..sources import fixtures as X
 from ..sources import frame_files
 from ..streaming import ordered as O
 from ..streaming import streams as Z
-from .held import shared_root
+from .held import held, shared_root
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -98,7 +98,7 @@ def cursor_by_template(spark, d):
 @query()
 def key_frames(spark, d):
     """H4, H5, F3"""
-    return P.key_frames(P.thumbnails(frames(spark, d), 32), X.derived(spark, d, "clicks"))
+    return P.key_frames(held(P.thumbnails(frames(spark, d), 32)), X.derived(spark, d, "clicks"))
 
 
 @query()
@@ -106,7 +106,7 @@ def settled_screenshots(spark, d):
     """F4"""
     n = F.expr("row_number() over (partition by call_id order by time_s, vis_seq)")
     s = X.derived(spark, d, "clicks").select("call_id", n.alias("number"), "time_s", (F.col("time_s") + 2).alias("end_s"), (F.col("time_s") + 0.5).alias("screenshot_s"), (F.col("vis_seq") % 3 == 0).alias("has_click"))
-    return P.settled_screenshots(s, P.thumbnails(frames(spark, d), 32))
+    return P.settled_screenshots(s, held(P.thumbnails(frames(spark, d), 32)))
 
 
 def _documents(spark, d):
