@@ -20,36 +20,53 @@ def register(kind: str, name: str, service: Service) -> None:
     SERVICES[kind, name] = service
 
 
-def answered(requests: DataFrame, kind: str, primary: str, fallback: str | None = None, sticky: bool = False) -> DataFrame:
-    """Requests with answer, status (ok, fallback, failed), note and model.
+def asked(service: Service, rows: pd.DataFrame, sticky: bool = False) -> list[tuple | None]:
+    """(answer, error) of each row. The service gets all rows at once; rows that it fails are halved until the bad ones are alone,
+    so k bad rows of n take 2 k log2(n) + 1 calls at most, and a row may be asked for again. sticky: rows after the first bad
+    one are left as None."""
+    out: list[tuple | None] = [None] * len(rows)
+    todo = [(0, len(rows))] if len(rows) else []
+    while todo:
+        a, b = todo.pop()
+        try:
+            got = list(service(rows.iloc[a:b]))
+            if len(got) != b - a:
+                raise ValueError(f"{len(got)} answers to {b - a} requests")
+            out[a:b] = [(x, None) for x in got]
+        except Exception as e:  # any failure of a service is what the fallback is for
+            if b - a > 1:
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+                continue
+            out[a] = (None, str(e)[:200])
+            if sticky:
+                break
+    return out
+
+
+def answered(requests: DataFrame, kind: str, primary: str, fallback: str | None = None, sticky: bool = False, most: int = 256) -> DataFrame:
+    """Requests with answer, status (ok, fallback, failed), note and model; a service gets most requests at a time.
 
     A request that the primary service fails goes to the fallback and keeps a note. sticky: after the first failure the
-    partition stays with the fallback.
+    partition stays with the fallback. Services must bear a request that comes twice.
     """
     first, second = SERVICES[kind, primary], SERVICES[kind, fallback] if fallback else None
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lost = False
-        for b in batches:
-            out = []
-            for k in range(len(b)):
-                row, note = b.iloc[[k]], None
-                if not lost:
-                    try:
-                        out.append((first(row).iloc[0], "ok", None, primary))
-                        continue
-                    except Exception as e:  # any failure of a service is what the fallback is for
-                        note = f"{primary} not usable ({str(e)[:200]})"
-                        lost = sticky and second is not None
-                if second is None:
-                    out.append((None, "failed", note, primary))
-                    continue
-                try:
-                    out.append((second(row).iloc[0], "fallback", note, fallback))
-                except Exception as e:
-                    out.append((None, "failed", f"{note}; {str(e)[:200]}", fallback))
-            yield b.assign(**{n: [o[i] for o in out] for i, n in enumerate(("answer", "status", "note", "model"))})
+        for whole in batches:
+            for at in range(0, len(whole), most):
+                b = whole.iloc[at : at + most]
+                got = [None] * len(b) if lost else asked(first, b, sticky and second is not None)
+                lost = lost or None in got
+                out = [(g[0], "ok", None, primary) if g and g[1] is None else (None, "failed", g and f"{primary} not usable ({g[1]})", primary) for g in got]
+                left = [k for k, o in enumerate(out) if o[1] == "failed"]
+                if second is not None:
+                    lost = lost or (sticky and bool(left))
+                    for k, (answer, error) in zip(left, asked(second, b.iloc[left]), strict=True):
+                        note = out[k][2]
+                        out[k] = (answer, "fallback", note, fallback) if error is None else (None, "failed", f"{note}; {error}" if note else error, fallback)
+                yield b.assign(**{n: [o[i] for o in out] for i, n in enumerate(("answer", "status", "note", "model"))})
 
     return requests.mapInPandas(run, f"{fields}, answer string, status string, note string, model string")
 

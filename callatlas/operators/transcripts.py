@@ -155,23 +155,30 @@ def sentence_pieces(words: DataFrame, most: int = 40) -> DataFrame:
     return g.select("call_id", "seg_idx", piece.alias("piece"), F.col("ws")[0]["start_s"].alias("start_s"), F.element_at("ws", -1)["end_s"].alias("end_s"), F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("raw"), "speaker")
 
 
-SENTENCE = "call_id long, sent_no int, start_s double, end_s double, text string, speaker string"
+SHORT = 6
 
 
-def glue(rows: list[tuple], most: int = 40) -> list[list]:
-    """Short unpunctuated fragments join the sentence before of the same speaker; rows (start, end, text, speaker)."""
-    out: list[list] = []
-    for start, end, text, speaker in rows:
-        if len(text) < 3:
-            continue
-        if out:
-            last = out[-1]
-            new, old = len(text.split(" ")), len(last[2].split(" "))
-            if last[3] == speaker and last[2][-1] not in ".!?…" and start - last[1] < 1.0 and (new <= 6 or old <= 6) and new + old <= most + 5:
-                last[1], last[2] = end, f"{last[2]} {text[0].lower()}{text[1:]}"
-                continue
-        out.append([start, end, text, speaker])
-    return out
+def glued(pieces: DataFrame, most: int = 40) -> DataFrame:
+    """Numbered sentences of cleaned pieces (call_id, seg_idx, piece, start_s, end_s, text, speaker): a short fragment joins the
+    sentence before of the same speaker if that isn't closed and ends less than a second before; under three characters none counts.
+
+    Speaker, closing mark, gap and two long neighbours part sentences whatever came before, so a window cuts calls into runs there.
+    What depends on the words glued so far is folded within a run; pieces without times part too.
+    """
+    w = W.partitionBy("call_id").orderBy("seg_idx", "piece")
+    n = T.n_words(F.col("text"))
+    meets = F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) & ~F.lag(F.substring("text", -1, 1)).over(w).isin(*".!?…") & (F.col("start_s") - F.lag("end_s").over(w) < 1.0) & ((F.col("n") <= SHORT) | (F.lag("n").over(w) <= SHORT))
+    p = pieces.where(F.length("text") >= 3).withColumn("n", n).withColumn("run", F.sum(F.when(F.coalesce(meets, F.lit(False)), 0).otherwise(1)).over(w))
+    rows = F.sort_array(F.collect_list(F.struct("seg_idx", "piece", "start_s", "end_s", "text", "n")))
+    g = p.groupBy("call_id", "run").agg(rows.alias("x"), F.first("speaker").alias("speaker"))
+    folded = F.expr(f"""aggregate(slice(x, 2, size(x)), struct(slice(array(struct(x[0].start_s as start_s, x[0].end_s as end_s, x[0].text as text)), 1, 0) as done, x[0].start_s as start_s, x[0].end_s as end_s, x[0].text as text, x[0].n as n),
+      (a, e) -> if((a.n <= {SHORT} or e.n <= {SHORT}) and a.n + e.n <= {most + 5},
+        struct(a.done as done, a.start_s as start_s, e.end_s as end_s, concat(a.text, ' ', lower(substr(e.text, 1, 1)), substr(e.text, 2)) as text, a.n + e.n as n),
+        struct(concat(a.done, array(struct(a.start_s as start_s, a.end_s as end_s, a.text as text))) as done, e.start_s as start_s, e.end_s as end_s, e.text as text, e.n as n)),
+      a -> concat(a.done, array(struct(a.start_s as start_s, a.end_s as end_s, a.text as text))))""")
+    s = g.select("call_id", "run", "speaker", F.posexplode(folded).alias("pos", "s"))
+    number = F.row_number().over(W.partitionBy("call_id").orderBy("run", "pos"))
+    return s.select("call_id", number.alias("sent_no"), "s.start_s", "s.end_s", "s.text", "speaker")
 
 
 def sentences(words: DataFrame, untimed: DataFrame | None = None) -> DataFrame:
@@ -179,14 +186,7 @@ def sentences(words: DataFrame, untimed: DataFrame | None = None) -> DataFrame:
     p = sentence_pieces(words).select("call_id", "seg_idx", "piece", "start_s", "end_s", T.clean(F.col("raw")).alias("text"), "speaker")
     if untimed is not None:
         p = p.union(untimed.where("trim(text) <> ''").select("call_id", "seg_idx", F.lit(0).alias("piece"), "start_s", "end_s", T.clean(F.col("text")).alias("text"), "speaker"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seg_idx", "piece"], kind="stable")
-        speaker = [None if pd.isna(x) else x for x in rows.speaker]
-        got = glue(list(zip(rows.start_s, rows.end_s, rows.text, speaker, strict=True)))
-        return pd.DataFrame([[rows.call_id.iloc[0], k + 1, *r] for k, r in enumerate(got)], columns=[c.split()[0] for c in SENTENCE.split(", ")])
-
-    return p.groupBy("call_id").applyInPandas(run, keyed(SENTENCE, words))
+    return glued(p)
 
 
 def srt(segs: DataFrame) -> DataFrame:

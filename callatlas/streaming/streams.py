@@ -98,8 +98,14 @@ def elements(detections: DataFrame, keep_ms: int | None = None) -> DataFrame:
 
 
 def counters(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Events (call_id, ts, kind) per hour, every quarter of an hour, by kind."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour", "15 minutes"), "kind").agg(F.count("*").alias("n"), F.approx_count_distinct("call_id").alias("calls")).select(F.col("window.start").alias("from_ts"), "kind", "n", "calls")
+    """Events (call_id, ts, kind) per hour, every quarter of an hour, by kind: n is exact, calls an estimate.
+
+    An event goes into one pane of a quarter of an hour, a count and a sketch of its calls; an hour adds up four panes, so the state
+    doesn't grow with events and no event is counted four times over. The sketch (2^14 cells) errs by 0.8 % as a rule.
+    """
+    panes = events.withWatermark("ts", late).groupBy(F.window("ts", "15 minutes").alias("pane"), "kind").agg(F.count("*").alias("n"), F.hll_sketch_agg("call_id", 14).alias("seen"))
+    hours = panes.groupBy(F.window(F.window_time("pane"), "1 hour", "15 minutes"), "kind").agg(F.sum("n").alias("n"), F.hll_union_agg("seen").alias("seen"))
+    return hours.select(F.col("window.start").alias("from_ts"), "kind", "n", F.hll_sketch_estimate("seen").alias("calls"))
 
 
 def analysis_sessions(anchors: DataFrame, late: str = "10 seconds") -> DataFrame:

@@ -72,9 +72,10 @@ def test_clauses(text, parts):
     assert [" ".join(ws[i] for i in c) for c in S.clauses(ws, has_action)] == parts
 
 
-def test_glue_and_cuts():
+def test_glue_and_cuts(spark):
     rows = [(0.0, 1.0, "Your entire", "A"), (1.2, 2.0, "Screen right like so", "A"), (2.1, 3.0, "No.", "B"), (3.0, 4.0, "ab", "B"), (9.0, 9.5, "Late", "B")]
-    assert [r[2] for r in S.glue(rows)] == ["Your entire screen right like so", "No.", "Late"]
+    p = spark.createDataFrame([(1, k, 0, *r) for k, r in enumerate(rows)], "call_id long, seg_idx int, piece int, start_s double, end_s double, text string, speaker string")
+    assert [r["text"] for r in S.glued(p).orderBy("sent_no").collect()] == ["Your entire screen right like so", "No.", "Late"]
     assert S.cuts(3000, 1400, [(1100, 1101), (500, 503)])[0] == (0.0, 1100.5)
     assert S.cuts(100, 1400, []) == [(0.0, 100)]
 
