@@ -257,11 +257,12 @@ def stream_elements(spark, d):
 
 
 @query("""with p as (select time_bucket(interval 15 minute, ts::timestamp) as pane, user_id, event_type from events), h as (select pane - k * interval 15 minute as hour, user_id, event_type from p, range(0, 4) t(k))
- select hour as from_ts, event_type as kind, count(*) as n, count(distinct user_id) as calls from h group by 1, 2
- having epoch_us(hour + interval 1 hour) <= (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 from events)""")
+ select epoch_us(hour) // 1000000 as from_s, event_type as kind, count(*) as n, count(distinct user_id) as calls from h group by 1, 2
+ having (from_s + 3600) * 1000000 <= (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 from events)""")
 def stream_counters(spark, d):
     """What the watermark has closed; up to 2,048 calls a sketch still counts them one by one"""
-    return Z.run_to_end(Z.counters(_events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.col("event_type").alias("kind"))))
+    out = Z.run_to_end(Z.counters(_events(spark, d).select(F.col("user_id").alias("call_id"), "ts", F.col("event_type").alias("kind"))))
+    return out.select(F.unix_seconds("from_ts").alias("from_s"), "kind", "n", "calls")
 
 
 @query("""with e as (select user_id as call_id, epoch_us(ts) // 20000 as us from events where event_type <> 'click'), n as (select *, case when us - lag(us) over w > 4050000 then 1 else 0 end as starts from e window w as (partition by call_id order by us)),

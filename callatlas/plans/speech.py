@@ -56,10 +56,26 @@ def sentence_pieces(spark, d):
     return S.sentence_pieces(X.words(spark, d)).select("call_id", "seg_idx", "piece", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "raw", "speaker")
 
 
-@query()
+SENTENCES = f"""with recursive {X.segments_sql()},
+ brk as (select *, coalesce(lag(regexp_matches(word, '[.!?…]$') and not regexp_matches(word, '^[0-9]+\\.$')) over w, false) as brk from said window w as (partition by call_id, seg_idx order by word_idx)),
+ runs as (select *, sum(case when brk then 1 else 0 end) over (partition by call_id, seg_idx order by word_idx rows unbounded preceding) as run from brk),
+ parts as (select *, (row_number() over (partition by call_id, seg_idx, run order by word_idx) - 1) // 40 as part from runs),
+ raw as (select call_id, seg_idx, run, part, min(start_s + step * word_idx) as s, max(start_s + step * (word_idx + 1)) as e, string_agg(word, ' ' order by word_idx) as t, any_value(speaker) as speaker from parts group by call_id, seg_idx, run, part),
+ bare as (select * replace (trim(regexp_replace(t, '^(?:(?:äh|ähm|ehm|uh|uhm)\\b[,\\s]*|(?:also|so|okay|ok|ja|nun|gut|und|um|well|right|alright|now|and)\\s*,\\s*)+', '', 'i')) as t) from raw),
+ calm as (select * replace (regexp_replace(trim(regexp_replace(t, '(^|[^\\pL\\pN_])(?:(?:äh|ähm|ehm|uh|uhm)\\b,?\\s*)+', '\\1', 'gi')), '\\s+([,.!?])', '\\1', 'g') as t) from bare),
+ once as (select * replace (list_reduce(string_split(t, ' '), lambda x, y: case when regexp_extract(y, '^[\\pL\\pN_]+') <> '' and lower(regexp_extract(y, '^[\\pL\\pN_]+')) = lower(regexp_extract(x, '[\\pL\\pN_]+$')) then x || regexp_replace(y, '^[\\pL\\pN_]+', '') else x || ' ' || y end) as t) from calm),
+ rows as (select *, row_number() over (partition by call_id order by seg_idx, run, part) as k from (select * replace (upper(t[1]) || t[2:] as t) from once) where length(t) >= 3),
+ walk as (select call_id, k, 1 as sent_no, s, e, t, speaker from rows where k = 1
+  union all select call_id, k, case when joins then sent_no else sent_no + 1 end, case when joins then s0 else s end, e, case when joins then t0 || ' ' || lower(t[1]) || t[2:] else t end, speaker
+  from (select n.*, w.sent_no, w.s as s0, w.t as t0, w.speaker = n.speaker and w.t[-1] not in ('.', '!', '?', '…') and n.s - w.e < 1 and least(a, b) <= 6 and a + b <= 45 as joins
+   from walk w join rows n on w.call_id = n.call_id and n.k = w.k + 1, lateral (select len(string_split(w.t, ' ')) as a, len(string_split(n.t, ' ')) as b))),
+ sentences as (select call_id, sent_no::int as sent_no, min(s) as start_s, max(e) as end_s, arg_max(t, k) as text, any_value(speaker) as speaker from walk group by call_id, sent_no)"""
+
+
+@query(SENTENCES + " select call_id, sent_no, round(start_s, 6) as start_s, round(end_s, 6) as end_s, text, speaker from sentences")
 def call_sentences(spark, d):
     """B2, E3, E4"""
-    return S.sentences(S.words_of(segs(spark, d)))
+    return S.sentences(S.words_of(segs(spark, d))).select("call_id", "sent_no", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text", "speaker")
 
 
 @query("select conv_id as call_id, turn as seg_idx, " + "case when de + en < 3 then null when de >= 2 * en then 'de' when en >= 2 * de then 'en' end as language from (select conv_id, turn, " + ", ".join(f"len(list_filter(regexp_split_to_array(lower(text), '[ ,.!?;:\\n]'), lambda w: w in {words}))" + f" as {n}" for n, words in (("de", T.GERMAN_WORDS), ("en", T.ENGLISH_WORDS))) + " from conversations)")
