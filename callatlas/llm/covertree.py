@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from itertools import count
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -14,23 +15,32 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-K = 20
+K, LEAF = 20, 8
 
 
 class Node:
-    """A ball of a cover tree: rows of the points below it, centre, covering radius, children."""
+    """A ball of a cover tree: rows of the points below it (in a leaf), their number, centre, covering radius, children and their
+    centres, sizes, radii and norms side by side. bottom: a child is a leaf."""
 
-    __slots__ = ("children", "centre", "norm", "radius", "rows")
+    __slots__ = ("bottom", "centre", "centres", "children", "norm", "norms", "radii", "radius", "rows", "size", "sizes")
 
     def __init__(self, points: np.ndarray, rows: np.ndarray, at: int, far: np.ndarray):
-        self.rows, self.centre, self.children = rows, points[at], []
+        self.rows, self.size, self.centre, self.children, self.bottom = rows, len(rows), points[at], [], False
         self.norm, self.radius = float(np.sqrt(self.centre @ self.centre)), float(far.max())
 
+    def close(self) -> None:
+        """Once the tree stands: what the children look like from here."""
+        if self.children:
+            self.rows, self.bottom = None, any(not c.children for c in self.children)
+            self.centres, self.sizes = np.stack([c.centre for c in self.children]), np.array([c.size for c in self.children])
+            self.radii, self.norms = np.array([c.radius for c in self.children]), np.array([c.norm for c in self.children])
 
-def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
-    """Nodes are split over a net of centres taken farthest first, until all their points lie within half the radius of a
-    centre, or fan centres are taken; so children are apart by more than they cover. Covering radii are exact. A node of
-    leaf points, or of four times as many that lie in no groups, is not split."""
+
+def cover_tree(points: np.ndarray, leaf: int) -> Node:
+    """A simplified cover tree (levels, covering and separation of siblings, as Izbicki and Shelton 2015), built from above: a node is
+    split over a net of centres taken farthest first, its own first, until all its points lie within half its radius of one.
+    So children are apart by more than they cover. A net stops at the root of the node's size (32 at least), and wide children are
+    split again. Covering radii are exact. Nodes of leaf points or less are leaves, and no others but those of equal points."""
 
     def distances(rows: np.ndarray, at: int) -> np.ndarray:
         d = points[rows] - points[at]
@@ -38,12 +48,13 @@ def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
 
     rows = np.arange(len(points))
     root = Node(points, rows, 0, distances(rows, 0))
-    todo = [(root, 0)]
+    todo, nodes = [(root, 0)], []
     while todo:
         node, centre = todo.pop()
-        if len(node.rows) <= leaf or node.radius == 0:
+        nodes.append(node)
+        if node.size <= leaf or node.radius == 0:
             continue
-        best = distances(node.rows, centre)
+        best, fan = distances(node.rows, centre), max(32, isqrt(node.size))
         owner, centres = np.zeros(len(best), np.int64), [centre]
         while len(centres) < fan and best.max() > node.radius / 2:
             at = int(node.rows[int(best.argmax())])
@@ -51,15 +62,14 @@ def cover_tree(points: np.ndarray, leaf: int, fan: int = 32) -> Node:
             nearer = d < best
             owner[nearer], best[nearer] = len(centres), d[nearer]
             centres.append(at)
-        if len(node.rows) <= 4 * leaf and 4 * len(centres) > len(node.rows):
-            continue  # no groups in it: parts would bound no better than the whole
         for k, at in enumerate(centres):
             mine = owner == k
             if mine.any():
                 child = Node(points, node.rows[mine], at, best[mine])
                 node.children.append(child)
                 todo.append((child, at))
-        node.rows = node.rows if not node.children else None
+    for node in nodes:
+        node.close()
     return root
 
 
@@ -88,77 +98,117 @@ class Top:
         self.worst[rows] = np.maximum(self.score[rows, -1], self.least[rows])
 
 
-def bounds(q: Node, nodes: list[Node]) -> np.ndarray:
+def widened(b: np.ndarray) -> np.ndarray:
+    """Bounds with room for rounding."""
+    return b + 1e-9 * np.abs(b) + 1e-6
+
+
+def bounds(q: Node, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
     """No inner product of a point below q and one below each node is larger: <q, c> <= <q0, c0> + r|q0| + R|c0| + rR for balls
     (q0, R) and (c0, r)."""
-    c = np.stack([x.centre for x in nodes])
-    r = np.array([x.radius for x in nodes])
-    b = c @ q.centre + r * q.norm + q.radius * np.array([x.norm for x in nodes]) + q.radius * r
-    return b + 1e-9 * np.abs(b) + 1e-6
+    return widened(centres @ q.centre + radii * q.norm + q.radius * norms + q.radius * radii)
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, tree: Node, top: Top, leaf: int = 8) -> dict[str, int]:
-    """Dual-tree search: queries and data are descended together, and a pair of nodes is pruned when its bound is below the
-    worst kth score of the queries under it. Each group of queries first meets the leaf that lies best for it, so that
-    kth scores are there before pairs are judged; then best pairs come first. Gives the numbers of pairs met, pruned
-    and scored (pairs of nodes, the last of vectors)."""
+    """Dual-tree search: queries and data are descended together, the wider ball first, and a pair of nodes is pruned when its bound
+    is below the worst kth score of the queries under it. Each query first looks into a small node of
+    over k points that lies best for it, so that kth scores are known before pairs are judged. Leaves of queries
+    break up: each of their queries is a node of radius 0 against what is left, best pairs first; those below one node go
+    side by side. Gives the numbers of
+    pairs of nodes met and pruned, and of pairs of vectors scored."""
     told = {"met": 0, "pruned": 0, "scored": 0}
     if not len(queries) or not len(data):
         return told
+    k = top.score.shape[1]
+    norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
 
-    def score(q: Node, x: Node) -> None:
-        s = queries[q.rows] @ data[x.rows].T
-        s[query_ids[q.rows][:, None] == ids[x.rows][None, :]] = -np.inf
+    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        s = queries[q] @ data[x].T
+        s[query_ids[q][:, None] == ids[x][None, :]] = -np.inf
         told["scored"] += s.size
-        top.offer(q.rows, s, ids[x.rows])
-
-    def under(q: Node) -> np.ndarray:
-        """The rows below q, kept with it."""
-        if q.rows is None:
-            q.rows = np.concatenate([under(c) for c in q.children])
-        return q.rows
-
-    def seed(q: Node) -> None:
-        if q.children:
-            for c in q.children:
-                seed(c)
+        return s
+
+    def offer(q: np.ndarray, x: np.ndarray) -> None:
+        top.offer(q, scores(q, x), ids[x])
+
+    def under(node: Node) -> np.ndarray:
+        """The rows below a node."""
+        return node.rows if not node.children else np.concatenate([under(c) for c in node.children])
+
+    def judged(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of single queries with nodes, and which pairs stay."""
+        b = widened(queries[q] @ centres.T + norms[q][:, None] * radii)
+        keep = b >= top.worst[q][:, None]
+        told["met"] += keep.size
+        told["pruned"] += keep.size - int(keep.sum())
+        return b, keep
+
+    def seed(q: np.ndarray, x: Node) -> None:
+        """Queries go down together as long as they want the same node."""
+        if x.children and (x.sizes > k).any():
+            b = np.where(x.sizes > k, queries[q] @ x.centres.T + norms[q][:, None] * x.radii, -np.inf)
+            to = b.argmax(axis=1)
+            for j in np.unique(to).tolist():
+                seed(q[to == j], x.children[j])
             return
-        x = tree
-        while x.children:
-            x = x.children[int(np.argmax(bounds(q, x.children)))]
-        first[id(q)] = x
-        score(q, x)
+        s = scores(q, under(x))
+        if s.shape[1] >= k:
+            top.least[q] = np.maximum(top.least[q], -np.partition(-s, k - 1, axis=1)[:, k - 1])
+            top.worst[q] = np.maximum(top.worst[q], top.least[q])
 
     def walk(q: Node, frontier: list[Node]) -> None:
         """frontier: nodes of the data, none above another, that can matter to q."""
-        if q.children:
-            for child in q.children:
-                wider = [c for x in frontier for c in (x.children or [x])]
-                keep = bounds(child, wider) >= top.worst[under(child)].min()
-                told["met"] += len(wider)
-                told["pruned"] += len(wider) - int(keep.sum())
-                if keep.any():
-                    walk(child, [x for x, k in zip(wider, keep, strict=True) if k])
-            return
-        turn = count()
-        heap = [(-b, next(turn), x) for b, x in zip(bounds(q, frontier).tolist(), frontier, strict=True)]
-        heapq.heapify(heap)
-        told["met"] += len(heap)
+        last = [q] if not q.children else [c for c in q.children if not c.children]
+        if last:
+            finish(np.concatenate([c.rows for c in last]), frontier)
+        for child in q.children:
+            if not child.children:
+                continue
+            wider = []
+            for x in frontier:
+                wider += x.children if x.children and not x.bottom and x.radius > child.radius else [x]
+            keep = bounds(child, np.stack([x.centre for x in wider]), np.array([x.radius for x in wider]), np.array([x.norm for x in wider])) >= top.worst[under(child)].min()
+            told["met"] += len(wider)
+            told["pruned"] += len(wider) - int(keep.sum())
+            if keep.any():
+                walk(child, [x for x, k in zip(wider, keep, strict=True) if k])
+
+    def finish(rows: np.ndarray, frontier: list[Node]) -> None:
+        turn, heap = count(), []
+
+        def push(q: np.ndarray, nodes: list[Node], b: np.ndarray, keep: np.ndarray) -> None:
+            for j in np.flatnonzero(keep.any(axis=0)).tolist():
+                mine = keep[:, j]
+                heapq.heappush(heap, (-float(b[mine, j].max()), next(turn), nodes[j], q[mine], b[mine, j]))
+
+        push(rows, frontier, *judged(rows, np.stack([x.centre for x in frontier]), np.array([x.radius for x in frontier])))
         while heap:
-            b, _, x = heapq.heappop(heap)
-            if -b < top.worst[q.rows].min():
-                told["pruned"] += len(heap) + 1
-                return
-            if x.children:
-                told["met"] += len(x.children)
-                for c, v in zip(x.children, bounds(q, x.children).tolist(), strict=True):
-                    heapq.heappush(heap, (-v, next(turn), c))
-            elif x is not first[id(q)]:
-                score(q, x)
-
-    first: dict[int, Node] = {}
+            _, _, x, q, b = heapq.heappop(heap)
+            alive = b >= top.worst[q]  # kth scores may have risen since
+            told["pruned"] += len(q) - int(alive.sum())
+            q = q[alive]
+            if not len(q):
+                continue
+            if not x.children:
+                offer(q, x.rows)
+                continue
+            b, keep = judged(q, x.centres, x.radii)
+            last = np.array([not c.children for c in x.children])
+            if last.any():
+                some = keep & last
+                cols = np.flatnonzero(some.any(axis=0))
+                if len(cols):
+                    live, parts, sizes = np.flatnonzero(some.any(axis=1)), [x.children[j].rows for j in cols.tolist()], x.sizes[cols]
+                    if 4 * int((some[live][:, cols] @ sizes).sum()) >= 3 * len(live) * int(sizes.sum()):
+                        offer(q[live], np.concatenate(parts))
+                    else:  # queries want different leaves
+                        for i in live.tolist():
+                            offer(q[i : i + 1], np.concatenate([r for r, w in zip(parts, some[i, cols].tolist(), strict=True) if w]))
+                keep &= ~last
+            push(q, x.children, b, keep)
+
     root = cover_tree(queries, leaf)
-    seed(root)
+    seed(np.arange(len(queries)), tree)
     walk(root, [tree])
     return told
 
@@ -195,7 +245,8 @@ class Cells:
         if d not in self.pivots:
             return np.full(len(x), -1 - d), np.zeros(len(x))
         n, p = self.pivots[d]
-        at = np.argmax(x @ p.T - 0.5 * np.einsum("ij,ij->i", p, p), axis=1)
+        half, step = 0.5 * np.einsum("ij,ij->i", p, p), max(1, 2**22 // len(p))
+        at = np.concatenate([np.argmax(x[a : a + step] @ p.T - half, axis=1) for a in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
         diff = x - p[at]
         return n + at, np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
@@ -207,18 +258,20 @@ class Cells:
                 yield np.arange(len(x)), -1 - d
             return
         n, p = self.pivots[d]
-        norm, dots = np.sqrt(np.einsum("ij,ij->i", x, x)), x @ p.T
-        for k in range(len(p)):
-            if n + k in self.first:
-                bound = dots[:, k] + norm * self.radius[n + k]
-                yield np.flatnonzero(bound + 1e-9 * np.abs(bound) + 1e-6 >= least), n + k
+        there = np.array([k for k in range(len(p)) if n + k in self.first], np.int64)
+        radii, norm, step = np.array([self.radius[n + k] for k in there]), np.sqrt(np.einsum("ij,ij->i", x, x)), max(1, 2**22 // len(p))
+        for a in range(0, len(x) if len(there) else 0, step):
+            near = widened(x[a : a + step] @ p[there].T + norm[a : a + step][:, None] * radii) >= least[a : a + step][:, None]
+            for k in np.flatnonzero(near.any(axis=0)).tolist():
+                yield a + np.flatnonzero(near[:, k]), n + int(there[k])
 
 
-def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, block: int = 2048, pivots: int = 256, sample: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, block: int = 2048, pivots: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products of each query; ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by every; all other rows are candidates. Vectors lie in cells around
-    pivots, which come from a sample of sample vectors by hash; a cell of more than shard rows is divided by hash. Each
+    pivots: as many as four a shard, but no more than the root of the number of vectors (or pivots, if that is more), so a cell's
+    shards don't grow with the table. They come from a sample by hash of twice as many vectors; a cell of more than shard rows is divided by hash. Each
     shard is a cover tree in one task, and queries come to it in blocks of block rows, each a tree of its own. A query
     is searched first in its own shard, which gives it a kth score, then in those shards only whose cell can reach that
     score. A shard sends its k best a query, and the best of these are taken. Vectors of different lengths have no inner
@@ -226,9 +279,11 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, bloc
     are exact up to 2**20 in size. Fewer candidates than k: all. No rows: none.
     """
     n = rows.count()
+    pivots = min(max(pivots, isqrt(n)), max(1, 4 * n // shard))
+    sample = max(4096, 2 * pivots)
     h = F.xxhash64("vec_id")
     some = rows.where(h <= int(-(2**63) + min(1.0, (2 * sample + 200) / max(1, n)) * (2**64 - 1025))).orderBy(h, "vec_id").limit(sample).toArrow()  # sample rows at most
-    cells = Cells(*[pa.concat_arrays(some.column(c).chunks) if some.num_rows else pa.array([], t) for c, t in (("vec_id", pa.int64()), ("v", pa.list_(pa.int64())))], min(pivots, max(1, 4 * n // shard)))
+    cells = Cells(*[pa.concat_arrays(some.column(c).chunks) if some.num_rows else pa.array([], t) for c, t in (("vec_id", pa.int64()), ("v", pa.list_(pa.int64())))], pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +302,12 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, bloc
     home = home.select((F.col("first") + F.pmod(h, F.col("parts")).cast("int")).alias("s"), "vec_id", "v")
     data = home.select("s", F.lit(0).alias("kind"), "vec_id", "v", F.lit(float("-inf")).alias("least"))
     asked = home.where(F.col("vec_id") % every == 0)
-    own = cut(_searched(data, asked.select("s", F.lit(1).alias("kind"), "vec_id", "v", F.lit(float("-inf")).alias("least")), shards, k, block))
+    own = _searched(data, asked.select("s", F.lit(1).alias("kind"), "vec_id", "v", F.lit(float("-inf")).alias("least")), shards, k, block)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if shards <= 1:  # no other shard to go to
+        return best(own)
+    own = cut(own)
     kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
     seeded = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("s", "vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
 
@@ -266,9 +326,7 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, shard: int = 16384, bloc
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), s, np.int32)), pa.array(np.ones(len(to), np.int32)), t.column("vec_id"), t.column("v"), t.column("least")], ["s", "kind", "vec_id", "v", "least"])
 
     routed = seeded.mapInArrow(route, "s int, kind int, vec_id long, v array<long>, least double")
-    found = own.union(_searched(data, routed, shards, k, block))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(own.union(_searched(data, routed, shards, k, block)))
 
 
 def _searched(data: DataFrame, asked: DataFrame, shards: int, k: int, block: int) -> DataFrame:
@@ -290,7 +348,7 @@ def _searched(data: DataFrame, asked: DataFrame, shards: int, k: int, block: int
             nonlocal data
             if data:
                 for d, (_, ids, v) in joined(data)[1].items():
-                    trees[d] = (ids, v, cover_tree(v, 128))
+                    trees[d] = (ids, v, cover_tree(v, LEAF))
                 data = []
 
         def answer() -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,20 @@ def test_node_pairs_are_pruned_on_clustered_vectors():
     assert (top.id == want).all()
 
 
+@pytest.mark.parametrize("groups,dims,most", [(400, 64, 0.05), (400, 384, 0.1), (1, 64, 1.1)])
+def test_few_pairs_are_scored_where_groups_are_many(groups, dims, most):
+    x = clustered(16384 if groups > 1 else 1500, dims, groups, seed=2)
+    ids = np.arange(len(x)) % 1200 if groups == 1 else np.arange(len(x))  # repeated ids too
+    q = np.arange(len(x)) % 20 == 0
+    top = covertree.Top(int(q.sum()), 20)
+    told = covertree.search(x[q], ids[q], x, ids, covertree.cover_tree(x, covertree.LEAF), top)
+    assert told["scored"] < most * q.sum() * len(x) and told["pruned"] > 0
+    s = x[q] @ x.T
+    s[ids[q][:, None] == ids[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :20]
+    assert (top.id == ids[order]).all() and (top.score == np.take_along_axis(s, order, 1)).all()
+
+
 def test_queries_go_only_to_cells_that_can_matter(spark):
     x = clustered(4000, 16, 40, seed=3)
     v = pa.array([[int(c) for c in row] for row in x], pa.list_(pa.int64()))
