@@ -347,3 +347,22 @@ def coverage(steps: DataFrame, sentences: DataFrame) -> DataFrame:
     """Calls whose steps end before half of the speech."""
     c = steps.groupBy("call_id").agg(F.max("end_s").alias("covered_s")).join(sentences.groupBy("call_id").agg(F.max_by("end_s", "sent_no").alias("speech_s")), "call_id")
     return c.where("covered_s < 0.5 * speech_s")
+
+
+def finished(written_steps: DataFrame, missing: DataFrame, languages: DataFrame, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, notes) of written articles. languages has a row an article: call_id, spoken, article.
+
+    Missing steps are sentences of the call, so they are restored only into an article in the spoken language. Notes are (call_id,
+    note, n, covered_s, speech_s): written with the number of written steps; restored or not_restored with the number of
+    missing ones; short where the steps, restored ones too, end before half of the speech. Unknown languages are equal
+    to each other only; a call without missing steps has no note of them.
+    """
+    known = languages.select("call_id", F.col("spoken").eqNullSafe(F.col("article")).alias("same"))
+    m = missing.join(known, "call_id")
+    steps = restored(written_steps, m.where("same").drop("same"))
+    per = written_steps.groupBy("call_id").agg(F.count("*").alias("n"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("covered_s", "speech_s")]
+    wrote = known.join(per, "call_id", "left").select("call_id", F.lit("written").alias("note"), F.coalesce("n", F.lit(0)).alias("n"), *none)
+    left = m.groupBy("call_id", "same").agg(F.count("*").alias("n")).select("call_id", F.when(F.col("same"), "restored").otherwise("not_restored").alias("note"), "n", *none)
+    short = coverage(steps, sentences).select("call_id", F.lit("short").alias("note"), F.lit(None).cast("long").alias("n"), "covered_s", "speech_s")
+    return steps, wrote.unionByName(left).unionByName(short)

@@ -321,6 +321,44 @@ def restored_steps(spark, d):
     return A.restored(ws, missing).select("call_id", "number", "instruction", "actor", "was_restored", F.round("time_s", 6).alias("time_s"))
 
 
+def _finished(spark, d):
+    """Articles whose drafts have a step a click and whose model wrote every third of them, some in the other language."""
+    c = X.derived(spark, d, "clicks").withColumn("end_s", F.col("time_s") + 1.0)
+    number = F.expr("row_number() over (partition by call_id order by time_s, vis_seq)")
+    step = [F.concat(F.lit("S"), (F.col("vis_seq") % 5).cast("string")).alias("section"), F.lit("t").alias("title"), F.col("vis_seq").cast("string").alias("instruction"), F.lit(None).cast("string").alias("details"), F.when(F.col("vis_seq") % 2 == 1, "support").otherwise("customer").alias("actor"), "time_s", "end_s"]
+    drafts = c.select("call_id", number.alias("number"), F.array(F.lit(1), F.lit(2)).alias("point"), *step)
+    wrote = c.where("vis_seq % 3 = 1").select("call_id", number.alias("number"), *step)
+    calls = c.select("call_id").distinct().withColumns({"resolved": F.col("call_id") % 6 != 5, "spoken": F.when(F.col("call_id") % 2 == 0, "de").otherwise("en")})
+    calls = calls.withColumn("article", F.when(F.col("call_id") % 3 == 0, "en").otherwise(F.col("spoken")))
+    said = X.derived(spark, d, "instructions").select("call_id", F.expr("row_number() over (partition by call_id order by start_s, ref_seq)").alias("sent_no"), "end_s")
+    return A.finished(wrote, A.missing_steps(drafts, wrote, calls), calls, said)
+
+
+FINISHED = X.derived_sql("clicks", "instructions") + """,
+ drafts as (select call_id, vis_seq, row_number() over (partition by call_id order by time_s, vis_seq) as number, time_s, time_s + 1.0e0 as end_s from clicks),
+ wrote as (select call_id, vis_seq, row_number() over (partition by call_id order by time_s, vis_seq) as number, time_s, end_s from drafts where vis_seq % 3 = 1),
+ calls as (select distinct call_id, call_id % 6 <> 5 as resolved, call_id % 3 <> 0 or call_id % 2 = 1 as same from clicks),
+ missing as (select d.*, same from drafts d join (select call_id, min(time_s) as first_s, any_value(same) as same from wrote join calls using (call_id) where resolved group by call_id) f using (call_id)
+  where d.time_s >= first_s and not exists (select 1 from wrote w where w.call_id = d.call_id and w.time_s < d.end_s and d.time_s < w.end_s)),
+ merged as (select call_id, vis_seq, time_s, end_s, number as place, false as was_restored from wrote union all select call_id, vis_seq, time_s, end_s, number + 1000000, true from missing where same),
+ steps as (select *, row_number() over w as number, last_value(case when not was_restored then vis_seq end ignore nulls) over (partition by call_id order by time_s, place rows unbounded preceding) as own from merged window w as (partition by call_id order by time_s, place))"""
+
+
+@query(FINISHED + " select call_id, number::int as number, vis_seq::varchar as instruction, 'S' || (own % 5) as section, case when own % 2 = 1 then 'support' else 'customer' end as actor, was_restored, round(time_s, 6) as time_s from steps")
+def finished_steps(spark, d):
+    """Missing clicks restored in the spoken language only"""
+    return _finished(spark, d)[0].select("call_id", "number", "instruction", "section", "actor", "was_restored", F.round("time_s", 6).alias("time_s"))
+
+
+@query(FINISHED + """, speech as (select call_id, arg_max(end_s, n) as speech_s from (select call_id, end_s, row_number() over (partition by call_id order by start_s, ref_seq) as n from instructions) group by call_id)
+ select call_id, 'written' as note, count(w.vis_seq) as n, null::double as covered_s, null::double as speech_s from calls left join wrote w using (call_id) group by call_id
+ union all select call_id, case when same then 'restored' else 'not_restored' end, count(*), null, null from missing group by call_id, same
+ union all select call_id, 'short', null, round(covered_s, 6), round(speech_s, 6) from (select call_id, max(end_s) as covered_s from steps group by call_id) join speech using (call_id) where covered_s < 0.5e0 * speech_s""")
+def article_notes(spark, d):
+    """J4"""
+    return _finished(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("covered_s", "speech_s")})
+
+
 def truth(spark, d):
     r = X.derived(spark, d, "instructions").where("ref_seq % 3 <> 0")
     return r.select("call_id", F.col("ref_seq").alias("gt_idx"), F.col("text").alias("action_utterance"), F.col("start_s").alias("utterance_start_s"), F.col("end_s").alias("utterance_end_s"), (F.col("anchor_s") + 0.2).alias("event_time_s"), F.lit("click").alias("event_type"), F.array((F.col("ref_seq") % 1900).cast("int"), (F.col("ref_seq") % 1000).cast("int")).alias("point"), F.array(F.lit(0), F.lit(0), F.lit(900), F.lit(900)).alias("target_bbox"), F.lit(None).cast("string").alias("ui_target_text"), (F.col("ref_seq") % 4 != 0).alias("observable"), "speaker")
