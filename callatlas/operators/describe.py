@@ -81,9 +81,10 @@ def timeline_text(lines: DataFrame) -> DataFrame:
 
 
 def graph_documents(events: DataFrame, unbound: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
-    """(call_id, document): the event graph of each call as JSON without nulls."""
+    """(call_id, document): the event graph of each call as JSON without nulls; a call without events or references has empty lists."""
     e = events.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "type", "temporal", "spatial", "target", "audio_references", "evidence", "grounding_status", "overall_confidence"))).alias("events"))
     u = unbound.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct(F.format_string("audio_%04d", "ref_seq").alias("audio_ref_id"), F.col("speaker").alias("speaker_id"), F.bround("start_s", 3).alias("start_s"), F.bround("end_s", 3).alias("end_s"), F.col("text").alias("transcript"), F.lit("no_visual_event_found").alias("relation")))).alias("unbound_audio_references"))
     j = e.join(u, "call_id", "full")
+    j = j.withColumns({c: F.coalesce(c, F.array().cast(j.schema[c].dataType)) for c in ("events", "unbound_audio_references")})
     video = F.struct(F.col("call_id").cast("string").alias("id"), F.lit(width).alias("width_px"), F.lit(height).alias("height_px"))
     return j.select("call_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), video.alias("video"), "events", "unbound_audio_references"), {"ignoreNullFields": "true"}).alias("document"))

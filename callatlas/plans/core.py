@@ -292,3 +292,15 @@ def pointing_and_tracking(spark, d):
     samples = e.where("vis_seq % 3 = 0").select("call_id", "vis_seq", "time_s", "x", "y", F.col("detector_confidence").alias("confidence"))
     out = targets.tracker_evidence(targets.pointing_fallback(e, points), samples)
     return out.select("call_id", "vis_seq", "x", "y", "point_source", F.size("evidence").alias("n_evidence"))
+
+
+@query(X.derived_sql("clicks", "elements") + f", early as ({ELEMENT_AT.format(tol='0.6e0', shift='(-0.3e0)')}), late as ({ELEMENT_AT.format(tol='1.0e0', shift='0.0e0')})" + """,
+ t as (select c.call_id, coalesce(early.element_seq, late.element_seq) as element_seq, min(c.time_s - 3.0e0) as low, max(c.time_s + c.vis_seq % 7) as high from clicks c left join early using (call_id, vis_seq) left join late using (call_id, vis_seq) where c.vis_seq % 2 = 0 group by 1, 2)
+ select call_id, element_seq, round(least(first_seen_s, coalesce(low, first_seen_s)), 6) as first_seen_s, round(greatest(last_seen_s, coalesce(high, last_seen_s)), 6) as last_seen_s from elements left join t using (call_id, element_seq)""")
+def elements_seen_longer(spark, d):
+    """Tracker samples before and after every second event widen the time in which its target was seen"""
+    elements = X.derived(spark, d, "elements")
+    e = targets.targets_at_points(events(spark, d), elements)
+    at = F.explode(F.array(F.col("time_s") - 3.0, F.col("time_s"), F.col("time_s") + F.col("vis_seq") % 7))
+    samples = events(spark, d).where("vis_seq % 2 = 0").select("call_id", "vis_seq", at.alias("time_s"))
+    return targets.seen_longer(elements, e, samples).select("call_id", "element_seq", *[F.round(c, 6).alias(c) for c in ("first_seen_s", "last_seen_s")])

@@ -247,6 +247,19 @@ def stream_reference_clicks(spark, d):
     return Z.run_to_end(Z.references_to_clicks(r, c)).select("call_id", "ref_seq", "vis_seq")
 
 
+@query("""with e as (select user_id as call_id, event_id, event_type = 'click' as click, epoch_us(ts) // 20000 as us from events),
+ wm as (select min(us) // 1000 * 1000 - 10000000 as us from (select max(us) as us from e group by click)),
+ p as (select a.call_id, a.event_id as ref_seq, a.us, b.event_id as vis_seq from e a left join e b on a.call_id = b.call_id and b.click and b.us - a.us between -1500000 and 2500000 where not a.click)
+ select call_id, ref_seq, vis_seq from p where vis_seq is not null or us + 2500000 < (select us from wm)""")
+def stream_all_references(spark, d):
+    """References without a click too, once the watermark is past the last click that they could have"""
+    at = F.timestamp_micros((F.unix_micros("ts") / 20000).cast("long"))
+    e = _events(spark, d).withColumn("at", at)
+    r = e.where("event_type <> 'click'").select(F.col("user_id").alias("call_id"), F.col("event_id").alias("ref_seq"), F.col("at").alias("anchor_ts"))
+    c = e.where("event_type = 'click'").select(F.col("user_id").alias("call_id"), F.col("event_id").alias("vis_seq"), F.col("at").alias("click_ts"))
+    return Z.run_to_end(Z.references_to_clicks(r, c, how="leftOuter")).select("call_id", "ref_seq", "vis_seq")
+
+
 @query()
 def stream_elements(spark, d):
     """I5"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,8 +14,9 @@ from ..operators.quantiles import exact_quantiles
 from ..operators import fusion, targets
 from ..operators import transcripts as S
 from ..sources import fixtures as X
+from ..sources import packages
 from . import core
-from .held import held
+from .held import held, shared_root
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -91,6 +94,10 @@ def call_counts(spark, d):
     return X.words(spark, d).groupBy("call_id").agg(F.countDistinct("seg_idx").alias("n_segments"), F.count("*").alias("n_words"), F.countDistinct("speaker").alias("n_speakers"))
 
 
+def _stamped(ms: str, short: bool = False) -> str:
+    return f"printf('%02d:%02d', floor({ms} / 60000)::bigint, floor({ms} / 1000)::bigint % 60)" + ("" if short else f" || printf(',%03d', {ms} % 1000)")
+
+
 STAMP = "printf('%02d:%02d:%02d,%03d', ({t}) // 3600, ({t}) // 60 % 60, ({t}) % 60, {ms})"
 
 
@@ -206,6 +213,22 @@ def article_pages(spark, d):
     return A.package(A.markdown(a, s, "2024-01-01")).select("call_id", "path", F.decode("content", "UTF-8").alias("content"))
 
 
+@query(f"with {X.segments_sql()}" + """, page as (select call_id, string_agg(text, chr(10) order by turn) as text from seg group by call_id)
+ select call_id, 'call-' || call_id || '/article.md' as path, case when call_id % 3 = 0 then 'r2' else 'r1' end as run, strlen(body)::int as bytes, md5(body) as digest from (select call_id, text || case when call_id % 3 = 0 then ' (new)' else '' end as body from page)
+ union all select call_id, 'call-' || call_id || printf('/images/step-%02d.jpg', turn + 1), 'r1', strlen(text)::int, md5(text) from seg where turn % 2 = 0 and call_id % 3 <> 0""")
+def published_packages(spark, d):
+    """A run of all calls with images, a run that replaces every third, and a run that ends before its commit"""
+    t = X.segments(spark, d)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), "\n")
+    pages = t.groupBy("call_id").agg(text.alias("markdown")).withColumn("slug", F.concat(F.lit("call-"), F.col("call_id").cast("string")))
+    images = t.select("call_id", (F.col("seg_idx") + 1).alias("number"), F.when(F.col("seg_idx") % 2 == 0, F.encode("text", "UTF-8")).alias("image"))
+    store = f"{shared_root(spark).rstrip('/')}/packages-{uuid.uuid4().hex}"
+    packages.publish(A.package(pages, images), store, "r1")
+    packages.publish(A.package(pages.where("call_id % 3 = 0").withColumn("markdown", F.concat("markdown", F.lit(" (new)")))), store, "r2")
+    packages.prepare(A.package(pages.withColumn("markdown", F.lit("unfinished")), images), store, "r3")
+    return packages.files(spark, store).select("call_id", "path", "run", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+
+
 def _worded(c: str, words: dict) -> str:
     return f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in words.items() if k) + f" else '{words[None]}' end"
 
@@ -228,10 +251,6 @@ def _described(de: bool) -> str:
  || case when ref_seq is null then '' else {pick(' Die Zuordnung zur Audioanweisung wird mit ', ' The association with the spoken instruction is rated at ')} || {f"replace({sure}, '.', ',')" if de else sure} || {pick(' Gesamtvertrauen bewertet.', ' overall confidence.')} end end"""
 
 
-def _stamped(ms: str, short: bool = False) -> str:
-    return f"printf('%02d:%02d', floor({ms} / 60000)::bigint, floor({ms} / 1000)::bigint % 60)" + ("" if short else f" || printf(',%03d', {ms} % 1000)")
-
-
 TOLD = core.recursive(core.GRAPH) + f""", told as (select g.*, {core.rounded("g.time_s")} as peak_s, e.x1, e.y1, e.x2, e.y2, e.text as target_text, e.class, r.text as said, r.speaker, {core.rounded("r.start_s")} as rs, {core.rounded("r.end_s")} as re
   from g left join elements e on g.call_id = e.call_id and g.target_seq = e.element_seq left join refs r on g.call_id = r.call_id and g.ref_seq = r.ref_seq)"""
 
@@ -278,7 +297,7 @@ def observed_actions(spark, d):
     return A.observed_actions(e, F.when(F.col("call_id") % 2 == 0, "de").otherwise("en"))
 
 
-@query()
+@query(SENTENCES + f""" select call_id, string_agg('[' || sent_no || '] (' || {_stamped("round(start_s * 1000)::bigint", True)} || ') ' || coalesce(speaker || ': ', '') || text, chr(10) order by sent_no) as transcript from sentences group by call_id""")
 def article_prompts(spark, d):
     """D10"""
     return A.prompts(S.sentences(S.words_of(segs(spark, d))))
