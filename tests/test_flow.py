@@ -1,7 +1,11 @@
 """Files of calls, under names that are text, through to files of event graphs."""
 
 import json
+import re
 
+import pytest
+
+from callatlas.operators import targets
 from callatlas.plans import flow
 from callatlas.sources import readers
 
@@ -37,3 +41,40 @@ def test_files_become_graphs(spark, tmp_path):
     assert [x["audio_references"][0]["transcript"] for x in b["events"]] == ["Hier klicken und"] and b["events"][0]["target"] is None
     assert [x["transcript"] for x in b["unbound_audio_references"]] == ["dort ziehen."]
     assert [r["file_name"] for r in readers.malformed(spark, f"{tmp_path}/t", "language string").collect()] == ["broken"]
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """Joins without broadcast and plans as they are before they run."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def exchanges(df):
+    return len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_tables_in_buckets_meet_without_an_exchange(spark, plain_plans):
+    """The same graphs from tables in buckets by call; none of the joins after matching deals rows anew."""
+    d = "/root/testdata/sf0.001"
+    from callatlas.plans import core
+    from callatlas.sources import fixtures as X
+
+    docs, events, elements = X.transcripts(spark, d), core.events(spark, d), X.derived(spark, d, "elements")
+    told, alone = flow.event_graphs(docs, events, elements)
+    names = [f"flow_test_{n}" for n in ("events", "elements", "references", "bound")]
+    try:
+        e, s = flow.by_call(events, names[0], 4), flow.by_call(elements, names[1], 4)
+        met, left = flow.event_graphs(docs, e, s, keep=flow.tables("flow_test", 4))
+        assert exchanges(targets.targets_at_points(e, s)) == 0 < exchanges(targets.targets_at_points(events, elements))
+        assert exchanges(met) == exchanges(left) == 0 < exchanges(told)
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(met) == rows(told) and rows(left) == rows(alone) and len(rows(met)) > 50
+    finally:
+        for n in names:
+            spark.sql(f"drop table if exists {n}")
