@@ -43,7 +43,27 @@ def transcript_words(spark, d):
     return S.words_of(segs(spark, d)).select("call_id", "seg_idx", "word_idx", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round("score", 6).alias("score"), "speaker")
 
 
-@query()
+def _matches(text: str, pattern: str) -> str:
+    """A pattern of the library over text for the oracle, whose \\w knows ASCII only."""
+    return f"regexp_matches({text}, '" + pattern.replace("\\w", "[\\pL\\pN_]") + "', 'i')"
+
+
+QUOTED_SQL = T.QUOTED_TARGET.replace("'", "''")
+ACTING = "|".join(f"(?:{p})" for _, p in T.ACTIONS)
+#: Words one after the other: part and held are the clause that the word leaves behind, own the one that it is in, null for none.
+CLAUSES = f"""with recursive {X.segments_sql()},
+ tok as (select call_id, seg_idx, turn, word_idx, trim(word) as word, start_s + step * word_idx as s, start_s + step * (word_idx + 1) as e, regexp_matches(trim(word), '[,;.]$') as stops, lower(regexp_replace(trim(word), '[^\\pL\\pN_]+$', '')) in {S.MARKERS} as marks from said),
+ walk as (select call_id, seg_idx, -1::bigint as word_idx, 0 as part, '' as held, null::int as own from seg
+  union all select call_id, seg_idx, word_idx, case when ends then part + 1 else part end, case when ends then '' else heard end, case when not marks then part end
+  from (select *, {_matches("heard", ACTING)} and (marks or stops) as ends from (select t.*, w.part, case when marks then w.held else trim(w.held || ' ' || t.word) end as heard from walk w join tok t on t.call_id = w.call_id and t.seg_idx = w.seg_idx and t.word_idx = w.word_idx + 1))),
+ clause as (select call_id, seg_idx, own as ordinal, string_agg(word, ' ' order by word_idx) as text, coalesce(arg_min(e, word_idx) filter (where {_matches("word", T.DEICTIC)}), max(e)) as anchor_s,
+   list_reduce(list_prepend(0.0::double, list(case when (turn + word_idx) % 5 = 0 then 0.27::double else 0.9::double end order by word_idx)), lambda x, y: x + y) / count(*) as mean
+  from walk join tok using (call_id, seg_idx, word_idx) where own is not null group by call_id, seg_idx, own),
+ asked as (select *, case {' '.join(f"when {_matches('text', p)} then '{name}'" for name, p in T.ACTIONS)} else 'unknown' end as spoken_action, case when regexp_extract(text, '{QUOTED_SQL}', 1) <> '' then trim(regexp_extract(text, '{QUOTED_SQL}', 1)) when trim(regexp_extract(text, '{T.PREPOSITION_TARGET}', 1)) not in ('', {str(T.POLITE)[1:-1]}) then trim(regexp_extract(text, '{T.PREPOSITION_TARGET}', 1)) end as target from clause)"""
+
+
+@query(CLAUSES + f""" select call_id, printf('audio_%04d', row_number() over (partition by call_id order by seg_idx, ordinal) - 1) as ref_id, seg_idx::int as seg_idx, ordinal, text, round(anchor_s, 6) as anchor_s, spoken_action,
+ case when {_matches("target", T.DEICTIC)} and target not like '% %' then null else target end as explicit_target, {core.rounded("mean")} as asr_confidence, 1.0::double as alignment_confidence from asked where spoken_action <> 'unknown'""")
 def transcript_instructions(spark, d):
     """E10, D1, E1"""
     return S.instructions(segs(spark, d)).select("call_id", "ref_id", "seg_idx", "ordinal", "text", F.round("anchor_s", 6).alias("anchor_s"), "spoken_action", "explicit_target", "asr_confidence", "alignment_confidence")
