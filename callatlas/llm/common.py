@@ -48,12 +48,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reduced(big: DataFrame, key, few: DataFrame, few_key, buckets: int = 1 << 18) -> DataFrame:
+def reduced(big: DataFrame, key, few: DataFrame, few_key, buckets: int = 1 << 18, how: str = "left_semi") -> DataFrame:
     """The rows of big whose key can be among those of few: all that are, and others by chance. The hash buckets of few are
-    sent to all tasks, a number each and buckets numbers at most; an exact join follows and shuffles less."""
+    sent to all tasks, a number each and buckets numbers at most; an exact join follows and shuffles less. how left_anti
+    gives the rows that are left, none of which is among few."""
     bucket = lambda c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
     held = few.select(bucket(few_key).alias("bucket_of_few")).distinct()
-    return big.join(F.broadcast(held), bucket(key) == F.col("bucket_of_few"), "left_semi")
+    return big.join(F.broadcast(held), bucket(key) == F.col("bucket_of_few"), how)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, shared_dir, table
+from .common import new_folder, reduced, shared_dir, table
 
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -190,18 +190,25 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     d = pages.select("page_id", "url", "html", F.sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    ids = d.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    small, d = d.where(F.col("payload_bytes") < least), d.where(F.col("payload_bytes") >= least)
+    ids = d.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
     same = ids.groupBy(F.col("payload_digest").alias("same")).agg(F.max(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("all"))
     same = same.where("all > 1 and first.page_id is not null").select("same", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("firsts"))
-    j = d.join(same, d["payload_digest"] == same["same"], "left")
-    repeats = F.coalesce((F.col("page_id") == F.col("first_id")) & (F.col("firsts") > 1), F.lit(False))
-    plain = j.where(~repeats).select(*d.columns, F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
-    # equal rows are counted before they meet, and each is a record again
-    many = j.where(repeats).groupBy("page_id", "url", "payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.min("html").alias("html"))
-    least_url = many.groupBy(F.col("payload_digest").alias("own")).agg(F.min(F.struct(F.col("url").isNotNull().alias("known"), "url")).alias("least"))
-    many = many.join(least_url, F.col("payload_digest") == F.col("own")).withColumn("k", F.explode(F.expr("sequence(1L, n)")))
-    response = (F.col("k") == 1) & F.col("url").eqNullSafe(F.col("least.url"))
-    return plain.union(many.select(*d.columns, F.when(~response, F.col("page_id")).alias("refers_to")))
+    # rows that can't be of a repeated first page_id take their texts along to be told from revisits
+    again = same.where("firsts > 1").select(F.col("same").alias("payload_digest"), F.col("first_id").alias("page_id"))
+    key = ["payload_digest", "page_id"]
+    far = reduced(d, key, again, key, how="left_anti").join(same, F.col("payload_digest") == F.col("same"), "left")
+    plain = far.select(*d.columns, F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    # of the others, one text a payload goes along; equal rows are counted before they meet, and each is a record again
+    near = reduced(d, key, again, key)
+    texts = near.groupBy(F.col("payload_digest").alias("text_of")).agg(F.min("html").alias("html"))
+    many = near.groupBy("page_id", "url", "payload_digest", "payload_bytes").agg(F.count("*").alias("n"))
+    many = many.join(same.select("same", "first_id"), F.col("payload_digest") == F.col("same"), "left")
+    least_url = many.where("page_id = first_id").groupBy(F.col("payload_digest").alias("own")).agg(F.min(F.struct(F.col("url").isNotNull().alias("known"), "url")).alias("least"))
+    many = many.join(least_url, F.col("payload_digest") == F.col("own"), "left").join(texts, F.col("payload_digest") == F.col("text_of"))
+    many = many.withColumn("k", F.explode(F.expr("sequence(1L, n)")))
+    response = (F.col("k") == 1) & F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("least.url"))
+    return small.withColumn("refers_to", F.lit(None).cast("long")).union(plain).union(many.select(*d.columns, F.when(~response, F.col("first_id")).alias("refers_to")))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
