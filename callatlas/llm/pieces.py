@@ -11,13 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
 from .common import pieces as slices
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
-#: Stretches of at most so many characters, and so many of them, whose ids a task keeps.
-SHORT, KEPT = 64, 1 << 18
+#: Stretches of at most so many characters, and twice so many of them, whose ids a worker keeps.
+SHORT, KEPT = 64, 1 << 16
+#: Bytes of text that are encoded at a time.
+PIECE = 4_000_000
 
 
 class Codec:
@@ -41,6 +44,7 @@ class Codec:
         # no piece holds these two characters in a row, so every path has a boundary between them
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         # the trie of the pieces: character to (node, id of the piece that ends there, its score)
         self.trie: dict[str, tuple] = {}
         for p, i in self.ids.items():
@@ -131,13 +135,16 @@ class Codec:
         return base
 
     def stretch(self, chars: str) -> list[int]:
-        """viterbi() of a stretch; those of short ones are kept, KEPT at most."""
+        """viterbi() of a stretch; those of short ones are kept. Once KEPT have come, those that do not come again go with the
+        next KEPT."""
         found = self.kept.get(chars)
         if found is None:
-            found = self.viterbi(chars)
+            found = self.older.get(chars)
+            if found is None:
+                found = self.viterbi(chars)
             if len(chars) <= SHORT:
                 if len(self.kept) >= KEPT:
-                    self.kept.clear()
+                    self.kept, self.older = {}, self.kept
                 self.kept[chars] = found
         return found
 
@@ -250,7 +257,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for b in slices(batches, "text", 4_000_000):
+        for b in lean(slices(batches, "text", PIECE)):
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], codec.encode(b.column("text").cast(pa.string()))], [*names, "ids"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
@@ -281,7 +288,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for b in slices(batches, "text", 4_000_000):
+        for b in lean(slices(batches, "text", PIECE)):
             text = b.column("text").cast(pa.string())
             ids = codec.encode(text)
             same = pc.equal(pc.fill_null(codec.decode_all(ids), "\x00"), pc.fill_null(pc.replace_substring(text, SPACE, " "), "\x00"))

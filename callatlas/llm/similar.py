@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, pieces, reduced
+from .common import components, cut, lean, pieces, reduced
 from .lines import doc_key
 from .simhash import within
 
@@ -23,6 +23,8 @@ BANDS, ROWS = 24, 6
 RADIUS = 26
 #: Characters of the texts of one side of a group.
 CHUNK = 2_000_000
+#: Bytes of text that are hashed at a time.
+PIECE = 2_000_000
 _RNG = np.random.default_rng(42)
 SALT, FACTOR = (_RNG.integers(0, 2**63, (BANDS * ROWS, 1)).astype(np.uint64) for _ in range(2))
 FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
@@ -90,7 +92,7 @@ def near(sets: list[np.ndarray], least: float = LEAST, radius: int = RADIUS) ->
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def blocks(fps: np.ndarray, radius: int, size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(fps: np.ndarray, radius: int, size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) within the radius, a pair of blocks of fingerprints at a time."""
     for a in range(0, len(fps), size):
         for b in range(0, a + 1, size):
@@ -107,7 +109,7 @@ def with_bands(docs: DataFrame) -> DataFrame:
     """(doc_key, doc_id, sid, bands): sid is a digest of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in lean(pieces(batches, "text", PIECE)):
             sid, keys = np.zeros(b.num_rows, np.uint64), []
             for k, t in enumerate(b.column("text").to_pylist()):
                 h = shingles(t)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, split_words, table
+from .common import cut, lean, pieces, split_words, table
 from .lines import doc_key
 
 #: Words in a window, and from one window to the next. Every window of every text is scored.
@@ -18,6 +18,8 @@ WINDOW, STRIDE = 24, 12
 #: Labelled documents that the network is trained on, at most, a third of them toxic where there are enough; each is read whole.
 SAMPLE = 4500
 HIDDEN, WIDTH, BUCKETS = 8, 12, 1 << 15
+#: Bytes of text that are scored at a time.
+PIECE = 2_000_000
 #: Logits are kept between -MOST and MOST, and cut between the classes at a STEPS-th.
 MOST, STEPS = 30.0, 16
 
@@ -62,9 +64,12 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def all_grams(words: pa.Array, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """grams() of many words, step at a time, as 32-bit numbers."""
-    parts = [grams(words.slice(k, step)) for k in range(0, len(words), step)]
-    sizes = np.concatenate([np.diff(at) for _, at in parts]) if parts else np.zeros(0, np.int64)
-    return np.concatenate([b.astype(np.int32) for b, _ in parts]) if parts else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sizes)))
+    buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(words), step):
+        b, at = grams(words.slice(k, step))
+        buckets.append(b.astype(np.int32))
+        sizes.append(np.diff(at))
+    return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
 
 
 def means(table_: np.ndarray, b: np.ndarray, at: np.ndarray, step: int = 20_000) -> np.ndarray:
@@ -106,9 +111,12 @@ class Network:
 
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Inputs of the gates for each word, with a last row for padding, which leaves a state as it is."""
-        pad = np.zeros((1, 3 * HIDDEN), np.float32)
-        pad[0, :HIDDEN] = 40.0
-        return {d: np.concatenate((x @ self.p[f"W{d}"] + self.p[f"c{d}"], pad)) for d in "fb"}
+        out = {d: np.zeros((len(x) + 1, 3 * HIDDEN), np.float32) for d in "fb"}
+        for d, y in out.items():
+            np.matmul(x, self.p[f"W{d}"], out=y[:-1])
+            y[:-1] += self.p[f"c{d}"]
+            y[-1, :HIDDEN] = 40.0
+        return out
 
     def run(self, inputs: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows ids (n, WINDOW) into the projected words; states and gates too if keep."""
@@ -183,17 +191,18 @@ def layout(start: np.ndarray, size: np.ndarray, ids: np.ndarray, pad: int) -> tu
     return np.where(mask, ids[np.minimum(at, len(ids) - 1)], pad), mask
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256, rate: float = 0.02, seed: int = 0) -> Network:
+def fit(texts: list[str] | pa.Array, toxic: np.ndarray, rounds: int = 8, batch: int = 256, rate: float = 0.02, seed: int = 0) -> Network:
     """Train on the windows of labelled texts. A toxic text vouches only for its worst window: after two rounds in which four
     of its windows count, drawn at random, the one that scores highest does. Of clean texts all windows are clean."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    words, rows = split_words(pa.array(texts, pa.string()))
+    words, rows = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     if not len(words):
         return net
     enc = words.dictionary_encode()
     ids, vocabulary = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
-    b, at = all_grams(vocabulary)
     start, size, row = windows(rows)
+    del words, rows, enc  # a worker's memory is short, and only numbers are needed from here on
+    b, at = all_grams(vocabulary)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     mean = lambda: means(net.p["E"], b, at)
@@ -231,7 +240,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256,
 
 
 def window_scores(net: Network, x: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, batch: int = 4096) -> np.ndarray:
-    inputs, out = net.project(x.astype(np.float32)), np.zeros(len(start), np.float32)
+    inputs, out = net.project(x.astype(np.float32, copy=False)), np.zeros(len(start), np.float32)
     for k in range(0, len(start), batch):
         local, mask = layout(start[k : k + batch], size[k : k + batch], ids, len(x))
         out[k : k + batch] = net.run(inputs, local, mask)
@@ -283,7 +292,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
         held = [b for b in batches if b.num_rows]
         if held:
             t = pa.Table.from_batches(held)
-            net = fit(t.column("text").to_pylist(), t.column("label").to_numpy().astype(np.int64))
+            held.clear()
+            net = fit(t.column("text").combine_chunks(), t.column("label").to_numpy().astype(np.int64))
+            del t
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(list(net.p)), pa.array([v.tobytes() for v in net.p.values()], pa.binary())], ["name", "value"])
 
     net = Network()
@@ -297,7 +309,7 @@ def logits(docs: DataFrame, net: Network, keyed: bool = False) -> DataFrame:
     more = [F.unhex(doc_key()).alias("doc_key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 6_000_000):
+        for b in lean(pieces(batches, "text", PIECE)):
             key = [b.column("doc_key")] if keyed else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score_texts(net, b.column("text"))), *key], ["doc_id", "tox_logit", *["doc_key"] * keyed])
 
