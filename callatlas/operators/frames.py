@@ -239,13 +239,14 @@ def settled_screenshots(steps: DataFrame, thumbs: DataFrame) -> DataFrame:
     and a step without thumbnails too.
 
     Steps meet the times in their span (15 s at most) first, then those pixels; they stream through by step and time, so a worker
-    holds three thumbnails: of the step before, the best so far, and the one whose next isn't known yet.
+    holds three thumbnails: of the step before, the best so far, and the one whose next isn't known yet. Spark can't tell how many
+    frames come from a row of their source, so it is told to merge, or it would send their times to the driver as a small table.
     """
     low = F.when(F.col("has_click"), F.col("screenshot_s")).otherwise(F.col("time_s"))
     high = F.when(F.col("has_click"), F.col("screenshot_s") + 0.5).otherwise(F.least(F.greatest("end_s", F.col("time_s") + 1) + 1, F.col("time_s") + 15))
     s = steps.select("call_id", "number", F.col("screenshot_s").cast("double").alias("shot"), F.coalesce("has_click", F.lit(False)).alias("click"), low.alias("low"), high.alias("high"))
-    own = overlapping(s.select("call_id", "number", "low", "high"), thumbs.select("call_id", "frame_idx", "pts_s"), ("low", "high"), ("pts_s", "pts_s"), 16.0).select("call_id", "number", "frame_idx")
-    rows = s.join(own.join(thumbs, ["call_id", "frame_idx"]), ["call_id", "number"], "left")
+    own = overlapping(s.select("call_id", "number", "low", "high"), thumbs.select("call_id", "frame_idx", "pts_s").hint("merge"), ("low", "high"), ("pts_s", "pts_s"), 16.0).select("call_id", "number", "frame_idx")
+    rows = s.join(own.join(thumbs.hint("merge"), ["call_id", "frame_idx"]).hint("merge"), ["call_id", "number"], "left")
 
     def start():
         prev = now = best = pending = None

@@ -93,3 +93,10 @@ def test_no_call_is_a_group(spark, calls):
     for df in (P.key_frames(calls[1], s.select("call_id", "time_s")), P.settled_screenshots(s, calls[1])):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
+
+
+def test_thumbnails_are_never_broadcast(spark, calls):
+    s = spark.createDataFrame([(1, 1, 0.0, 5.0, 1.0, False)], "call_id long, number int, time_s double, end_s double, screenshot_s double, has_click boolean")
+    df = P.settled_screenshots(s, calls[1])  # few rows by Spark's estimate
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
