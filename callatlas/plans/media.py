@@ -40,7 +40,7 @@ def frames(spark, d):
     k = X.durations(spark, d).select("call_id", at.alias("k"))
     new = X.derived(spark, d, "clicks").groupBy("call_id", F.ceil(F.col("time_s") * FPS).cast("int").alias("k")).agg(F.count("*").alias("new"))
     so_far = F.sum(F.coalesce("new", F.lit(0))).over(W.partitionBy("call_id").orderBy("k"))
-    g = k.join(new, ["call_id", "k"], "left").select("call_id", "k", so_far.alias("n"))
+    g = k.join(new, ["call_id", "k"], "left").select("call_id", "k", so_far.alias("n")).sortWithinPartitions("call_id", "k")  # as the window leaves them
 
     def draw(batches):
         for b in batches:
@@ -58,9 +58,9 @@ def frames(spark, d):
 
 
 def filed(spark, d, columns=()):
-    """The frames of frames() written to files of calls and read from them."""
+    """The frames of frames() written to files of calls, where they are drawn, and read from them."""
     path = f"{shared_root(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
-    frame_files.write_frames(frames(spark, d), path).write.format("noop").mode("overwrite").save()
+    frame_files.write_frames(frames(spark, d), path, by_call=True).write.format("noop").mode("overwrite").save()
     return frame_files.frames(spark, path, columns).withColumn("call_id", F.col("call_id").cast("long"))
 
 

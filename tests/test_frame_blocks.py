@@ -3,7 +3,9 @@
 import struct
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from callatlas.plans import media
 from callatlas.sources import frame_files as S
 
 SCHEMA = "call_id long, frame_idx int, pts_s double, width int, height int, pixels binary"
@@ -53,3 +55,18 @@ def test_small_files_share_a_partition(spark, tmp_path):
     S.write_frames(spark.createDataFrame(rows_of(40, 2, 8, 8, False), SCHEMA), f"file://{tmp_path}/f").collect()
     assert S.frames(spark, f"file://{tmp_path}/f").rdd.getNumPartitions() == 1
     assert S.frames(spark, f"file://{tmp_path}/f", part_bytes=10 * 72).rdd.getNumPartitions() == 8
+
+
+def test_frames_are_written_where_they_are_drawn(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "write_frames", lambda df, path, **options: seen.append(write(df, path, **options)) or seen[-1])
+    d = "/root/testdata/sf0.001"
+    got = media.filed(spark, d).select("call_id", "frame_idx", "pts_s", F.md5("pixels").alias("m"))
+    want = media.frames(spark, d).select("call_id", "frame_idx", "pts_s", F.md5("pixels").alias("m"))
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("draw(")]
+    assert "Exchange" not in above and "Sort" not in above
+
+
+write = S.write_frames
